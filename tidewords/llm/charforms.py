@@ -28,7 +28,7 @@ from pyspark.sql.types import StringType
 LATIN_CYRILLIC = "aа cс eе iі jј oо pр sѕ xх yу hһ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ"
 LATIN_GREEK = "oο vν uυ iι pρ aα xχ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ"
 
-LATIN, GREEK, CYRILLIC = "A-Za-zÀ-ÖØ-öø-ɏ", "Ͱ-Ͽἀ-῿", "Ѐ-ԯ"
+LATIN, GREEK, CYRILLIC = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\u0370-\u03ff\u1f00-\u1fff", "\u0400-\u052f"
 
 
 @cache
@@ -65,9 +65,9 @@ def _properties() -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
         kind = ucd.category(c)
         if kind in ("Cs", "Cn", "Co"):
             continue
-        if kind == "Zs" or c in "  \u0085":
+        if kind in ("Zs", "Zl", "Zp") or n == 0x85:
             single[c] = " "
-        elif kind == "Cf" or kind == "Cc" or 0xFE00 <= n <= 0xFE0F or c in "͏ᅟᅠ឴឵ㅤﾠ":
+        elif kind == "Cf" or kind == "Cc" or 0xFE00 <= n <= 0xFE0F or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0":
             single[c] = ""
         elif 0xFF10 <= n <= 0xFF19 or 0xFF21 <= n <= 0xFF3A or 0xFF41 <= n <= 0xFF5A:
             single[c] = chr(n - 0xFEE0)
@@ -81,7 +81,7 @@ def _properties() -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
             elif "LIGATURE" in ucd.name(c, ""):
                 single[c] = ucd.normalize("NFKC", c)
     single |= dict.fromkeys("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", " ") | {chr(n): "" for n in [*range(9), *range(0x0E, 0x1C), 0x7F]} | {chr(n): "" for n in range(0xE0000, 0xE01F0)}
-    return single, frozenset(marks), frozenset("‍︎️")
+    return single, frozenset(marks), frozenset("\u200d\ufe0e\ufe0f")
 
 
 def _ranges(chars: set[str]) -> list[tuple[int, int]]:
@@ -107,7 +107,7 @@ def _unstable() -> tuple[str, str, re.Pattern, re.Pattern]:
 
 
 def _pictograph(c: str) -> bool:
-    return ucd.category(c) in ("So", "Sk") or 0x1F000 <= ord(c) <= 0x1FAFF or c in "‍️♀♂↔-↪"
+    return ucd.category(c) in ("So", "Sk") or 0x1F000 <= ord(c) <= 0x1FAFF or c in "\u200d\ufe0f\u2640\u2642\u2194-\u21aa"
 
 
 def _segment(text: str, a: int, b: int) -> str:
@@ -118,9 +118,9 @@ def _segment(text: str, a: int, b: int) -> str:
         c = text[i]
         if c in joiners:
             before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
-            if c == "‍" and before and after and _pictograph(before) and _pictograph(after):
+            if c == "\u200d" and before and after and _pictograph(before) and _pictograph(after):
                 out.append(c)
-            elif c != "‍" and before and (_pictograph(before) or before in "0123456789#*©®‼⁉™ℹ〰〽"):
+            elif c != "\u200d" and before and (_pictograph(before) or before in "0123456789#*\u00a9\u00ae\u203c\u2049\u2122\u2139\u3030\u303d"):
                 out.append(c)
         else:
             out.append(single.get(c, c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm import charforms, profiles
+from tidewords.llm import bpe, charforms, leakage, profiles
 from tidewords.session import read
 
 
@@ -87,6 +87,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", profiles.level_of(F.col("levels"), grade.levels).cast("int").alias("level")).where("level is not null")
 
 
-QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p7_found": p7_found, "p7_shares": p7_shares, "p10_found": p10_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    return bpe.encoded(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold a passage."""
+    return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL: dict[str, str] = {}
