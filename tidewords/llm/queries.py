@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm import bpe, charforms, leakage, profiles
+from tidewords.llm import bpe, charforms, leakage, profiles, splits
 from tidewords.session import read
 
 
@@ -97,6 +97,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources that must stay together."""
+    return splits.together(splits.components(read(spark, sf_dir, "clips"), read(spark, sf_dir, "sources")))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every clip."""
+    clips = read(spark, sf_dir, "clips")
+    return splits.dealt(splits.components(clips, read(spark, sf_dir, "sources")), clips, read(spark, sf_dir, "split_plan"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL: dict[str, str] = {}
