@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm import bpe, charforms, leakage, profiles, splits
+from tidewords.llm import bpe, charforms, leakage, pieces, profiles, splits
 from tidewords.session import read
 
 
@@ -97,6 +97,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all oversized clip candidates and paragraphs."""
+    limits = {r.tbl: r for r in read(spark, sf_dir, "size_limits").where("tbl in ('clip_candidates', 'paragraphs')").collect()}
+    timed, text = limits["clip_candidates"], limits["paragraphs"]
+    clips = keyed(spark, sf_dir, "clip_candidates", "text", "start_s", "end_s", "words")
+    clips = pieces.timed_pieces(clips, ["tbl", "row_key"], timed.max_size, timed.overlap)
+    paras = pieces.text_pieces(keyed(spark, sf_dir, "paragraphs", "text"), ["tbl", "row_key"], int(text.max_size), int(text.overlap))
+    return clips.unionByName(paras).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clip candidates and paragraphs that exceed their limit: those that come out in pieces."""
+    return p4_pieces(spark, sf_dir).where("piece_no = 0").select("tbl", "row_key").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sources that must stay together."""
     return splits.together(splits.components(read(spark, sf_dir, "clips"), read(spark, sf_dir, "sources")))
@@ -108,6 +123,17 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.dealt(splits.components(clips, read(spark, sf_dir, "sources")), clips, read(spark, sf_dir, "split_plan"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+
+SQL: dict[str, str] = {
+    "p4_found": """
+WITH c AS (
+  SELECT ref, start_s AS s, end_s AS e, list_filter(words, lambda w: isfinite(w.start_s) AND isfinite(w.end_s) AND w.end_s >= w.start_s) AS ws FROM clip_candidates),
+d AS (
+  SELECT ref, CASE WHEN isfinite(s) AND isfinite(e) THEN round((e - s) * 1000)
+    ELSE round((list_max(list_transform(ws, lambda w: w.end_s)) - list_min(list_transform(ws, lambda w: w.start_s))) * 1000) END AS ms FROM c)
+SELECT DISTINCT 'clip_candidates' AS tbl, ref AS row_key FROM d WHERE ms > (SELECT max_size * 1000 FROM size_limits WHERE tbl = 'clip_candidates')
+UNION ALL
+SELECT DISTINCT 'paragraphs', source_id || ':' || para_no FROM paragraphs
+WHERE len(list_filter(regexp_split_to_array(text, '[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '')) > (SELECT max_size FROM size_limits WHERE tbl = 'paragraphs')""",
+}
