@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm import bpe, charforms, leakage, pieces, profiles, splits
+from tidewords.llm import bpe, charforms, leakage, pieces, profiles, splits, turns
 from tidewords.session import read
 
 
@@ -112,6 +112,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no = 0").select("tbl", "row_key").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that open a speaker's turn."""
+    said = turns.with_turns(read(spark, sf_dir, "segments"), read(spark, sf_dir, "turns"))
+    return said.where("opens").select("source_id", "pos")
+
+
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All speech in order: turn, speaker and clean text of every spoken segment."""
+    said = turns.with_turns(read(spark, sf_dir, "segments"), read(spark, sf_dir, "turns"), text=True)
+    return turns.numbered(said).select("source_id", "turn_no", "pos", "speaker", "start_s", "end_s", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sources that must stay together."""
     return splits.together(splits.components(read(spark, sf_dir, "clips"), read(spark, sf_dir, "sources")))
@@ -123,7 +135,7 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.dealt(splits.components(clips, read(spark, sf_dir, "sources")), clips, read(spark, sf_dir, "split_plan"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL: dict[str, str] = {
     "p4_found": """
