@@ -37,14 +37,17 @@ def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str], *, s
     return df.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after")).drop("before", "after", _BLOCK)
 
 
-def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, size: int = SIZE) -> DataFrame:
-    """``df`` with ``name``, the sum of ``value`` over the rows up to and with this one."""
+def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, size: int = SIZE, highest: bool = False) -> DataFrame:
+    """``df`` with ``name``, the sum (or with ``highest`` the maximum) of ``value`` over the rows up to and with this one."""
+    agg = F.max if highest else F.sum
     df = with_block(df, order, size).withColumn(name, value)
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, _BLOCK).agg(F.sum(name).alias("__s")).select(*keys, _BLOCK, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__carried"))
-    df = df.withColumn(name, F.sum(name).over(inside)).join(sums, [*keys, _BLOCK])
-    return df.withColumn(name, F.col(name) + F.col("__carried")).drop("__carried", _BLOCK)
+    carried = agg("__s").over(before)
+    sums = df.groupBy(*keys, _BLOCK).agg(agg(name).alias("__s")).select(*keys, _BLOCK, (carried if highest else F.coalesce(carried, F.lit(0))).alias("__carried"))
+    df = df.withColumn(name, agg(name).over(inside)).join(sums, [*keys, _BLOCK])
+    whole = F.greatest(name, "__carried") if highest else F.col(name) + F.col("__carried")
+    return df.withColumn(name, whole).drop("__carried", _BLOCK)
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, name: str, *, size: int = SIZE) -> DataFrame:
