@@ -252,7 +252,7 @@ def with_turns(segments: DataFrame, turns: DataFrame, *, text: bool = False) ->
     bare = bare.join(_carried(bare, F.col("heard"), "inherited"), ["source_id", "block"])
     bare = bare.select(*rows.columns, F.coalesce(F.last("heard", ignorenulls=True).over(before), "inherited").alias("speaker"))
 
-    out = by_label.unionByName(bare)
+    out = settle(by_label.unionByName(bare), "spoken")
     last = _carried(out, F.coalesce("speaker", F.lit("")), "previous")
     prior = F.coalesce(F.lag(F.coalesce("speaker", F.lit(""))).over(here), F.col("previous"))
     opens = prior.isNull() | (prior != F.coalesce("speaker", F.lit("")))
