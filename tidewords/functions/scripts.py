@@ -35,10 +35,8 @@ def _class(name: str) -> str:
 def counts(text: Column) -> list[Column]:
     """Number of letters of each script in the order of RANGES, then of all others."""
     own = [F.regexp_count(text, F.lit(f"[{_class(n)}&&[\\p{{L}}]]")) for n in RANGES]
-    rest = F.regexp_count(text, F.lit("\\p{L}"))
-    for c in own:
-        rest = rest - c
-    return [*own, rest]
+    every = "".join(_class(n) for n in RANGES)
+    return [*own, F.regexp_count(text, F.lit(f"[\\p{{L}}&&[^{every}]]"))]
 
 
 def dominant(text: Column) -> Column:
@@ -46,12 +44,15 @@ def dominant(text: Column) -> Column:
 
     Of equals the first in the order of RANGES, which no rule here can tell from another: a tie has no majority.
     """
-    n = counts(text)
-    top = F.greatest(*n)
-    name = F.lit("other")
-    for script, c in reversed(list(zip(RANGES, n, strict=False))):
-        name = F.when(c == top, F.lit(script)).otherwise(name)
-    return F.when(top > 0, F.struct(name.alias("script"), top.alias("n"), F.regexp_count(text, F.lit("\\p{L}")).alias("letters")))
+    names = F.array(*[F.lit(x) for x in [*RANGES, "other"]])
+
+    def pick(n: Column) -> Column:
+        top = F.array_max(n)
+        letters = F.aggregate(n, F.lit(0), lambda a, x: a + x)
+        return F.when(top > 0, F.struct(F.element_at(names, F.array_position(n, top).cast("int")).alias("script"), top.alias("n"), letters.alias("letters")))
+
+    # inside the lambda the counts have a name, so that they are counted once
+    return F.transform(F.array(F.array(*counts(text))), pick)[0]
 
 
 def base_code(language: Column) -> Column:

@@ -62,7 +62,8 @@ def reasons(candidates: DataFrame, limits: Limits | None = None, *, with_compres
     text = strip(F.coalesce("text", F.lit("")))
     ms = F.coalesce(F.round((F.col("end_s") - F.col("start_s")) * 1000), F.lit(0.0))
     script = scripts.target(F.col("language"))
-    top = scripts.dominant(text)
+    candidates = candidates.withColumn("__top", F.when(script.isNotNull(), scripts.dominant(text)))
+    top = F.col("__top")
     wrong = (top["script"] != script) & (2 * top["n"] > top["letters"])
     spaced = script.isNotNull() & ~script.isin(*scripts.UNSPACED) & (ms > 0)
     rate = F.length(text) * 1000 / F.nullif(ms, F.lit(0.0))
@@ -71,7 +72,7 @@ def reasons(candidates: DataFrame, limits: Limits | None = None, *, with_compres
     if lim.require_script:
         first = first.when(script.isNotNull() & wrong, "non_target_script")
     first = first.when(spaced & ((rate < lim.least_chars_s) | (rate > lim.most_chars_s)), "char_rate")
-    out = candidates.withColumn("reason", first)
+    out = candidates.withColumn("reason", first).drop("__top")
     unsure = mean_confidence(F.col("words")) < lim.least_confidence
     if not with_compression:
         return out.withColumn("reason", F.coalesce("reason", F.when(unsure, "confidence")))
