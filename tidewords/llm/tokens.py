@@ -67,7 +67,7 @@ class Tokens:
     def column(self, name: str) -> np.ndarray:
         """The column's values by token row."""
         done, have = self._done[name]
-        if done < len(self.ids):
+        if done < len(self.ids) or have is None:
             new = self._make[name](list(self.ids)[done:])
             have = new if have is None else np.concatenate([have, new])
             self._done[name] = [len(self.ids), have]
