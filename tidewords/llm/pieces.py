@@ -2,7 +2,7 @@
 
 Method: structure-tree packing. An item's words are the leaves of a tree: lines, then sentences or
 pauses of speech, then clauses or short pauses, then words. Only subtrees that are too large are gone
-down into; sibling subtrees are merged bottom-up, the smallest neighbours first, as long as they fit.
+down into; on the way up each subtree is merged with the siblings before it as long as they fit.
 What is packed is at most the limit less the overlap; every piece but the first then also takes the
 overlap from the end of the piece before.
 
@@ -35,13 +35,14 @@ def pack(a: int, b: int, cuts: list[int], size: Callable[[int, int], float], mos
     at = [a, *(i for i in range(a + 1, b) if cuts[i] <= level), b]
     if len(at) == 2:
         return pack(a, b, cuts, size, most, level + 1)
-    parts = [p for x, y in zip(at, at[1:], strict=False) for p in pack(x, y, cuts, size, most, level + 1)]
-    while True:  # siblings that fit together, the smallest first
-        fit = [(size(x[0], y[1]), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if size(x[0], y[1]) <= most]
-        if not fit:
-            return parts
-        i = min(fit)[1]
-        parts[i : i + 2] = [(parts[i][0], parts[i + 1][1])]
+    out: list[tuple[int, int]] = []
+    for x, y in zip(at, at[1:], strict=False):
+        for a, b in pack(x, y, cuts, size, most, level + 1):
+            if out and size(out[-1][0], b) <= most:  # a sibling that still fits
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
 
 
 def _strength(before: str, newline: bool) -> int:
