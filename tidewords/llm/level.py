@@ -50,7 +50,7 @@ def shape(tokens: list[str], rarity: dict[str, float], unseen: float) -> np.ndar
         if w and not w.isdigit() and t[-1] != ":" and w not in NO_WORDS:
             # a capital inside a sentence is mostly a name, which is rare at every level
             out[i, :7] = 1, len(w), len(w) >= 7, len(w) >= 11, min(rarity.get(w, unseen), unseen), w in CONNECTIVES, w in SUBORDINATORS
-        out[i, 7] = t[-1:] in ",;:" and bool(w)
+        out[i, 7] = t[-1:] in ",;" and bool(w)  # a colon follows a speaker's label
     return out
 
 
@@ -73,7 +73,7 @@ def unit_features(shapes: np.ndarray, unit: np.ndarray, form: np.ndarray) -> np.
     n = int(unit[-1]) + 1
     s = np.stack([np.bincount(unit, shapes[:, j], n) for j in range(8)], 1)
     words = np.maximum(s[:, 0], 1)
-    real = form >= 0
+    real = (form >= 0) & (shapes[:, 0] > 0)
     distinct = np.bincount(np.unique(unit[real] * (1 << 32) + form[real]) >> 32, minlength=n)
     return np.stack([s[:, 1] / words, s[:, 2] / words, s[:, 3] / words, s[:, 4] / words, np.minimum(distinct / words, 1.5), s[:, 5] / words, s[:, 6] / words, s[:, 7] / words, np.log(words)], 1)
 
