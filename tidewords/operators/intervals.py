@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewords.session import settle
+
 #: Milliseconds in a time block.
 BLOCK_MS = 3_600_000
 
@@ -86,7 +88,8 @@ def _events(periods: DataFrame, block_ms: int) -> DataFrame:
 def _swept(df: DataFrame, bridge_ms: int, block_ms: int) -> DataFrame:
     """Events in time order with the count after each (``active``) and the time of the next (``next_t``)."""
     # A minus event moved on by bridge_ms - 1 would join periods here too, but the gaps are measured between true ends.
-    local = df.mapInArrow(_local(bridge_ms), "key string, start_ms bigint, end_ms bigint")
+    # written once, as the events and the blocks both come from it and the input is far larger
+    local = settle(df.mapInArrow(_local(bridge_ms), "key string, start_ms bigint, end_ms bigint"), "periods")
     inside = Window.partitionBy("key", "block").orderBy("t")
     events = _events(local, block_ms).select("*", F.sum("d").over(inside).alias("run"), F.lead("t").over(inside).alias("after"))
     blocks = events.groupBy("key", "block").agg(F.sum("d").alias("net"), F.min("t").alias("first_t"))
