@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewords.llm.charforms import canonical
 from tidewords.llm.people import NOBODY, person, person_of
+from tidewords.operators import blocks
 from tidewords.session import settle
 
 #: Seconds in a block of segments and in a bucket of the overlap join.
@@ -232,7 +233,8 @@ def with_turns(segments: DataFrame, turns: DataFrame, *, text: bool = False) ->
     label = F.when(F.col("form").startswith("#") | F.col("form").startswith("?"), F.col("form")).otherwise(F.col("speaker"))
     said = F.when(label.isNotNull(), F.col("rest")).otherwise(F.col("whole"))
     start = F.when(F.col("start_s").isNotNull() & ~F.isnan("start_s") & (F.abs("start_s") < 1e9), F.col("start_s"))
-    block = F.coalesce(F.floor(start / BLOCK_S), F.lit(1 << 40))
+    # segments without a start follow in blocks of positions
+    block = F.coalesce(F.floor(start / BLOCK_S), F.lit(1 << 40) + F.floor(F.col("pos") / blocks.SIZE))
     rows = seg.select("source_id", "pos", block.alias("block"), start.alias("start_s"), "end_s", label.alias("label"), said.alias("text"), (said != "").alias("is_said"))
     rows = rows.withColumn("cue", F.col("label").isNotNull() & ~F.col("is_said"))
     kind = rows.schema["pos"].dataType.simpleString()
