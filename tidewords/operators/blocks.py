@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewords.session import settle
+
 #: Positions in a block.
 SIZE = 4_096
 _BLOCK = "__block"
@@ -55,6 +57,23 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, *, size: int
     return running(df, keys, order, F.lit(1).cast("bigint"), name, size=size)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, the row's number from 1 in the order of any columns.
+
+    The rows are parted by range of keys and order, so a hot key lies in several partitions; the partitions, in order,
+    are the blocks, and are written so that a task that runs again finds the same ones.
+    """
+    df = settle(df.repartitionByRange(*keys, *order).withColumn(_BLOCK, F.spark_partition_id()), "ranked")
+    over = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, _BLOCK).agg(F.count("*").alias("__m")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(_BLOCK).alias("__b"), F.coalesce(F.sum("__m").over(over), F.lit(0)).alias("__start"))
+    at = F.row_number().over(Window.partitionBy(*keys, _BLOCK).orderBy(*order))
+    same = F.col(_BLOCK) == F.col("__b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = df.withColumn(name, at).join(counts, same).withColumn(name, F.col(name) + F.col("__start"))
+    return out.drop("__b", "__start", _BLOCK, *[f"__{k}" for k in keys])
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """One pass of Python over each group's rows in order.
 

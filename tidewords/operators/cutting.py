@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewords.functions import text as tx
@@ -138,29 +138,25 @@ def _last_two(pieces: DataFrame) -> DataFrame:
     return tail.join(rest.groupBy("source_id").agg(F.max(row).alias("body")), "source_id")
 
 
-def _repaired(rows: DataFrame, pieces: DataFrame, ends: DataFrame, fn) -> DataFrame:
-    """``source_id, pos, piece``: the first position of each row's piece after the tails are repaired.
+def _repaired(placed: DataFrame, ends: DataFrame, fn) -> DataFrame:
+    """``placed`` with ``piece``, the first position of each row's piece, after the tails are repaired.
 
-    ends: sources whose tail goes back, with ``a``, ``t``, ``z`` (first positions of body and tail, last of the
-    tail) and ``whole``, whether one piece holds both. fn folds over the rows of the two and gives the cut.
+    ends: sources whose tail goes back, with ``a``, the first position of the piece before it, and ``whole``, whether
+    one piece holds both. fn folds over the rows of the two and gives the cut.
     """
-    span = F.expr("named_struct('first_pos', first_pos, 'last_pos', last_pos)")
-    lean = pieces.select("source_id", F.explode(F.sequence(F.floor(F.col("first_pos") / blocks.SIZE), F.floor(F.col("last_pos") / blocks.SIZE))).alias("b"), span.alias("p"))
-    placed = rows.withColumn("b", F.floor(F.col("pos") / blocks.SIZE)).join(lean, ["source_id", "b"]).where("pos between p.first_pos and p.last_pos")
-    placed = placed.select(*rows.columns, F.col("p.first_pos").alias("piece"))
+    cols = placed.columns
     placed = placed.join(ends, "source_id", "left")
     inner = F.col("a").isNotNull() & (F.col("piece") >= F.col("a"))
-    again = placed.where(inner & ~F.col("whole"))
-    cut = blocks.fold(again.drop("whole", "t", "z"), ["source_id"], ["pos"], fn, "source_id string, cut bigint")
+    cut = blocks.fold(placed.where(inner & ~F.col("whole")).drop("whole"), ["source_id"], ["pos"], fn, "source_id string, cut bigint")
     placed = placed.join(cut, "source_id", "left")
     piece = F.when(inner & F.col("whole"), F.col("a")).when(inner & F.col("cut").isNotNull(), F.when(F.col("pos") < F.col("cut"), F.col("a")).otherwise(F.col("cut"))).otherwise(F.col("piece"))
-    return placed.select(*rows.columns, piece.cast("bigint").alias("piece"))
+    return placed.withColumn("piece", piece.cast("bigint")).select(*cols)
 
 
-def _pieces(rows: DataFrame, fn, sizes: list[Column], names: list[str]) -> DataFrame:
-    """Pieces of all runs: ``source_id, first_pos, last_pos`` and sizes."""
-    runs = blocks.fold(rows, ["source_id", "run_no"], ["pos"], fn, "source_id string, pos bigint, first_pos bigint")
-    return runs.join(rows, ["source_id", "pos"]).groupBy("source_id", "first_pos").agg(F.max("pos").alias("last_pos"), *[s.alias(n) for s, n in zip(sizes, names, strict=True)])
+def _placed(rows: DataFrame, numbers: list[str], fn) -> DataFrame:
+    """``rows`` with ``piece``, the first position of the piece the fold over ``numbers`` puts each row in."""
+    runs = blocks.fold(rows.select("source_id", "pos", "run_no", *numbers), ["source_id", "run_no"], ["pos"], fn, "source_id string, pos bigint, piece bigint")
+    return settle(rows.join(runs, ["source_id", "pos"]), "placed")
 
 
 def _marked(cols: dict[str, list], ends: list[int]) -> dict[str, list]:
@@ -168,7 +164,7 @@ def _marked(cols: dict[str, list], ends: list[int]) -> dict[str, list]:
     for b in ends:
         first += [cols["pos"][a]] * (b - a)
         a = b
-    return {"source_id": cols["source_id"], "pos": cols["pos"], "first_pos": first}
+    return {"source_id": cols["source_id"], "pos": cols["pos"], "piece": first}
 
 
 # --- paragraphs --------------------------------------------------------------------------------
@@ -214,11 +210,11 @@ def paragraphs(segments: DataFrame, *, pause_s: float = 2.0, least: int = 40, mo
     least = max(1, least)
     most, pause_ms = max(least, most), 1000 * max(pause_s, LEAST_PAUSE_S)
     rows = settle(with_runs(break_scores(with_gaps(segments)), F.col("pause_ms") > pause_ms), "lines")
-    lean = rows.select("source_id", "pos", "run_no", "n_words", "score", "pause_ms")
     fn = partial(lambda cols, a, b: _marked(cols, cut_by_words(cols["n_words"], cols["score"], a, b)), a=least, b=most)
-    pieces = settle(_pieces(lean, fn, [F.sum("n_words"), F.max_by("pause_ms", "pos")], ["size", "pause_after"]), "pieces")
+    placed = _placed(rows, ["n_words", "score"], fn)
+    pieces = placed.groupBy("source_id", F.col("piece").alias("first_pos")).agg(F.sum("n_words").alias("size"), F.max_by("pause_ms", "pos").alias("pause_after"))
     two = _last_two(pieces).where((F.col("tail.size") < least) & (F.coalesce("body.pause_after", F.lit(0.0)) <= LONG_PAUSE * pause_ms))
-    ends = two.select("source_id", F.col("body.first_pos").alias("a"), F.col("tail.first_pos").alias("t"), F.col("tail.last_pos").alias("z"), (F.col("body.size") + F.col("tail.size") <= most).alias("whole"))
+    ends = two.select("source_id", F.col("body.first_pos").alias("a"), (F.col("body.size") + F.col("tail.size") <= most).alias("whole"))
 
     def again(cols: dict[str, list]) -> dict[str, list]:
         total, score = np.cumsum(cols["n_words"]), np.asarray(cols["score"])
@@ -228,7 +224,7 @@ def paragraphs(segments: DataFrame, *, pause_s: float = 2.0, least: int = 40, mo
         k = halve(score[:-1], left, total[-1] - left, least, total[-1] / 2, 1.0)
         return {"source_id": cols["source_id"][:1], "cut": [cols["pos"][k + 1]]}
 
-    placed = _repaired(rows.select("source_id", "pos", "text", "start_ms", "end_ms", "n_words", "score"), pieces, ends, again)
+    placed = _repaired(placed.select("source_id", "pos", "text", "start_ms", "end_ms", "n_words", "score", "piece"), ends, again)
     said = F.when(tx.word_count(F.col("text")) > 0, F.struct("pos", "text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), " ")
     out = placed.groupBy("source_id", "piece").agg(text.alias("text"), F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.sum("n_words").alias("n_words")).where("n_words > 0")
@@ -277,15 +273,15 @@ def clips(words: DataFrame, *, least_s: float = 1.0, most_s: float = 15.0, pause
     pause = GAP * F.coalesce(F.col("gap_ms"), F.lit(0)) / 1000
     w = with_runs(w.withColumn("score", pause + worth).withColumn("plain", pause + plain), F.col("gap_ms") > pause_ms)
     w = settle(w.drop("next", "start_s", "end_s"), "words")
-    lean = w.select("source_id", "pos", "run_no", "start_ms", "end_ms", "score", "gap_ms")
     fn = partial(lambda cols, a, b, t: _marked(cols, cut_by_time(cols["start_ms"], cols["end_ms"], cols["score"], a, b, t)), a=least, b=most, t=target)
-    pieces = settle(_pieces(lean, fn, [F.min("start_ms"), F.max("end_ms"), F.max_by("gap_ms", "pos")], ["lo", "hi", "gap_after"]), "pieces")
+    placed = _placed(w, ["start_ms", "end_ms", "score"], fn)
+    pieces = placed.groupBy("source_id", F.col("piece").alias("first_pos")).agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"), F.max_by("gap_ms", "pos").alias("gap_after"))
     usual = w.where("gap_ms > 0").groupBy("source_id").agg(F.median("gap_ms").alias("usual"))
     two = _last_two(pieces).join(usual, "source_id", "left")
     scale = F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1000 * LEAST_PAUSE_S))
     two = two.where((F.col("tail.hi") - F.col("tail.lo") < least) & (F.coalesce("body.gap_after", F.lit(0)) <= isolate * scale))
     extent = F.greatest("body.hi", "tail.hi") - F.least("body.lo", "tail.lo")
-    ends = two.select("source_id", F.col("body.first_pos").alias("a"), F.col("tail.first_pos").alias("t"), F.col("tail.last_pos").alias("z"), (extent <= most).alias("whole"))
+    ends = two.select("source_id", F.col("body.first_pos").alias("a"), (extent <= most).alias("whole"))
 
     def again(cols: dict[str, list]) -> dict[str, list]:
         a, b, score = (np.asarray(cols[c], float) for c in ("start_ms", "end_ms", "plain"))
@@ -297,18 +293,13 @@ def clips(words: DataFrame, *, least_s: float = 1.0, most_s: float = 15.0, pause
         return {"source_id": cols["source_id"][:1], "cut": [cols["pos"][k + 1]]}
 
     kept = ["source_id", "pos", "text", "joins_left", "start_ms", "end_ms", "confidence", "blank", "plain", "gap_ms"]
-    placed = _repaired(w.select(*kept), pieces, ends, again)
+    placed = _repaired(placed.select(*kept, "piece"), ends, again)
     said = F.when(~F.col("blank"), F.struct("pos", "joins_left", tx.strip(F.col("text")).alias("t")))
     parts = F.array_sort(F.collect_list(said))
     text = tx.strip(F.aggregate(parts, F.lit(""), lambda acc, x: F.concat(acc, F.when(x["joins_left"] | (acc == ""), F.lit("")).otherwise(F.lit(" ")), x["t"])))
-    inner = F.when(F.col("pos") < F.max("pos").over(_piece_window()), F.col("gap_ms"))
-    placed = placed.withColumn("inner", inner)
+    # the gap after a piece's last word isn't inside it
+    placed = placed.withColumn("inner", F.when(F.col("pos") < F.max("pos").over(Window.partitionBy("source_id", "piece")), F.col("gap_ms")))
     out = placed.groupBy("source_id", "piece").agg(text.alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), F.count_if(~F.col("blank")).alias("said"), F.avg("confidence").alias("confidence"), F.coalesce(F.max("inner"), F.lit(0)).alias("silence_ms")).where("said > 0")
     out = out.withColumn("oversized", F.col("end_ms") - F.col("start_ms") > most)
     return blocks.numbered(out, ["source_id"], "piece", "clip_no").select("source_id", "clip_no", "text", "start_ms", "end_ms", "n_words", "oversized", "confidence", "silence_ms")
 
-
-def _piece_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source_id", "piece")

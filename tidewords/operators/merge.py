@@ -6,9 +6,11 @@ import hashlib
 import json
 from dataclasses import asdict, is_dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewords.operators import blocks
+
 
 def unique_names(df: DataFrame, base: str, order: str, name: str = "unique_name") -> DataFrame:
     """``df`` with ``name``: the base for its first row in ``order``, then ``base-2``, ``base-3`` ...
@@ -16,9 +18,7 @@ def unique_names(df: DataFrame, base: str, order: str, name: str = "unique_name"
     Rows of one base are numbered; should a suffixed name be some row's own base, that row keeps it and the
     suffixed one takes the next number free among ``base-n`` of the table. Rows with a null base get null.
     """
-    over = Window.partitionBy(base).orderBy(order)
-    n = F.row_number().over(over)
-    first = df.withColumn("__n", n)
+    first = blocks.ranked(df, [base], [order], "__n")
     taken = df.where(F.col(base).rlike("-[0-9]+$")).select(F.regexp_extract(base, "^(.*)-[0-9]+$", 1).alias("__b"), F.regexp_extract(base, "-([0-9]+)$", 1).cast("bigint").alias("__t")).distinct()
     used = taken.groupBy("__b").agg(F.array_sort(F.collect_set("__t")).alias("__used"))
     out = first.join(used, first[base] == used["__b"], "left").drop("__b")
@@ -29,8 +29,6 @@ def unique_names(df: DataFrame, base: str, order: str, name: str = "unique_name"
 
 def clip_numbers(clips: DataFrame, order: str) -> DataFrame:
     """``clips`` with ``clip_id``, ``<source>_NNNN`` without holes, from 1, in ``order`` within each source."""
-    from tidewords.operators import blocks
-
     out = blocks.numbered(clips, ["source_id"], order, "__n")
     text = F.col("__n").cast("string")
     return out.withColumn("clip_id", F.concat("source_id", F.lit("_"), F.when(F.length(text) >= 4, text).otherwise(F.lpad(text, 4, "0")))).drop("__n")
