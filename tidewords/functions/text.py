@@ -60,12 +60,22 @@ def bare(c: Column) -> Column:
 
 
 def last_word(c: Column) -> Column:
-    return F.coalesce(F.try_element_at(words(c), F.lit(-1)), F.lit(""))
+    return F.coalesce(F.try_element_at(F.split(F.regexp_replace(c, f"[{SPACE}]+$", ""), f"[{SPACE}]+"), F.lit(-1)), F.lit(""))
+
+
+def first_word(c: Column) -> Column:
+    """The first word that is no hesitation, as :func:`bare` has it; empty without any."""
+    filler = f"[{SPACE}]*[{STRIPPED}]*(?:{'|'.join(FILLERS)})[{STRIPPED}]*(?![^{SPACE}])"
+    return bare(F.regexp_extract(c, f"(?i)^(?:{filler})*+[{SPACE}]*([^{SPACE}]+)", 1))
 
 
 def ends_abbreviation(c: Column, *, decimals: bool = False) -> Column:
     """The last token is an abbreviation or dotted initials; with ``decimals`` also an initial or a number with a point."""
-    last = bare(last_word(c))
+    return is_abbreviation(bare(last_word(c)), decimals=decimals)
+
+
+def is_abbreviation(last: Column, *, decimals: bool = False) -> Column:
+    """:func:`ends_abbreviation` of a text's last word, bare."""
     out = last.isin(*ABBREVIATIONS) | last.rlike(r"^([a-z]\.)+$")
     return out | last.rlike(r"[0-9]\.[0-9]") if decimals else out
 

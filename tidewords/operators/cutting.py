@@ -36,19 +36,16 @@ def latest(df: DataFrame, keys: list[str], by: str | None) -> DataFrame:
 # --- what a boundary is worth -------------------------------------------------------------------
 
 
-def closing(text: Column, sentence: Column, clause: Column, ellipsis: Column | None = None) -> Column:
-    """Worth of the ending of the text before a boundary, in points without the pause."""
-    last = tx.bare(tx.last_word(text))
+def closing(last: Column, sentence: Column, clause: Column, ellipsis: Column | None = None) -> Column:
+    """Worth of the ending of a text before a boundary, in points without the pause. last: its last word, bare."""
     hanging = last.isin(*tx.DANGLING) | last.rlike(r"(n['\x{2019}]t|['\x{2019}](s|re|m|ve|ll|d))$")
     plain = F.when(last == "", 0.0).when(hanging, -DANGLING).when(last.rlike(r"\p{Nd}"), -DANGLING / 2).otherwise(0.0)
     out = F.when(sentence, SENTENCE).when(clause, CLAUSE).otherwise(plain)
     return out if ellipsis is None else F.when(ellipsis, ELLIPSIS).otherwise(out)
 
 
-def opening(text: Column, ended: Column) -> Column:
-    """Worth of the opening of the text after a boundary; hesitations are skipped, null is worth nothing."""
-    heads = F.filter(F.transform(tx.words(text), tx.bare), lambda w: ~w.isin(*tx.FILLERS))
-    head = F.get(heads, F.lit(0))
+def opening(head: Column, ended: Column) -> Column:
+    """Worth of the opening of the text after a boundary. head: its first word that is no hesitation, bare; null is worth nothing."""
     out = F.when(head.isin(*tx.STRONG_MARKERS), MARKER).when(head.isin(*tx.WEAK_MARKERS), WEAK_MARKER)
     return F.coalesce(out.when(head.isin(*tx.DANGLING) & ~ended, -CONTINUATION), F.lit(0.0))
 
@@ -187,12 +184,11 @@ def with_gaps(segments: DataFrame) -> DataFrame:
 def break_scores(gapped: DataFrame) -> DataFrame:
     """``gapped`` of :func:`with_gaps` with ``n_words`` and ``score``, the worth of a break after each line."""
     raw = F.coalesce("text", F.lit(""))
-    abbreviated = tx.ends_abbreviation(raw)
-    ellipsis, mark = tx.ends_ellipsis(raw), tx.ends_sentence_mark(raw)
-    full = mark & ~abbreviated
-    soft = (mark & abbreviated) | tx.ends_clause_mark(raw)
-    worth = closing(raw, full, soft, ellipsis) + opening(F.col("next.text"), full & ~ellipsis)
-    return gapped.select("source_id", "pos", "text", "start_ms", "end_ms", "pause_ms", tx.word_count(F.col("text")).cast("bigint").alias("n_words"), (GAP * F.coalesce(F.col("pause_ms") / 1000, F.lit(0.0)) + worth).alias("score"))
+    # each of these is used several times; as columns they are computed once
+    df = gapped.withColumns({"__last": tx.bare(tx.last_word(raw)), "__head": tx.first_word(F.col("next.text")), "__soft": tx.ends_ellipsis(raw), "__mark": tx.ends_sentence_mark(raw), "__clause": tx.ends_clause_mark(raw)})
+    df = df.withColumn("__full", F.col("__mark") & ~tx.is_abbreviation(F.col("__last")))
+    worth = closing(F.col("__last"), F.col("__full"), F.col("__mark") | F.col("__clause"), F.col("__soft")) + opening(F.col("__head"), F.col("__full") & ~F.col("__soft"))
+    return df.select("source_id", "pos", "text", "start_ms", "end_ms", "pause_ms", tx.word_count(F.col("text")).cast("bigint").alias("n_words"), (GAP * F.coalesce(F.col("pause_ms") / 1000, F.lit(0.0)) + worth).alias("score"))
 
 
 def with_runs(rows: DataFrame, pause: Column) -> DataFrame:
@@ -247,13 +243,15 @@ def repaired_words(words: DataFrame) -> DataFrame:
     w = w.withColumn("start_ms", start)
     w = w.withColumn("end_ms", F.greatest(F.when(finite("end_s"), F.round(F.col("end_s") * 1000).cast("bigint")).otherwise(F.col("start_ms")), F.col("start_ms")))
     w = blocks.neighbours(w, ["source_id"], "pos", ["start_ms", "text", "joins_left"]).drop("prev")
-    t = tx.strip(F.col("text"))
+    w = w.withColumn("__t", tx.strip(F.col("text")))
+    t = F.col("__t")
+    w = w.withColumns({"__soft": tx.ends_ellipsis(t), "last": tx.bare(tx.last_word(t))})
     goes_on = F.coalesce("next.joins_left", F.lit(False))
-    ellipsis = tx.ends_ellipsis(t)
-    sentence = ~goes_on & ~ellipsis & tx.ends_sentence_mark(t) & ~tx.ends_abbreviation(t, decimals=True)
+    ellipsis = F.col("__soft")
+    sentence = ~goes_on & ~ellipsis & tx.ends_sentence_mark(t) & ~tx.is_abbreviation(F.col("last"), decimals=True)
     clause = ~goes_on & (tx.ends_clause_mark(t) | ellipsis)
     gap = F.greatest(F.lit(0).cast("bigint"), F.col("next.start_ms") - F.col("end_ms"))
-    return w.withColumn("gap_ms", F.when(F.col("next").isNotNull(), gap)).withColumn("sentence", sentence).withColumn("clause", clause).withColumn("blank", t == "")
+    return w.withColumn("gap_ms", F.when(F.col("next").isNotNull(), gap)).withColumn("sentence", sentence).withColumn("clause", clause).withColumn("blank", t == "").drop("__t", "__soft")
 
 
 def clips(words: DataFrame, *, least_s: float = 1.0, most_s: float = 15.0, pause_s: float = 2.0, target_s: float | None = None, isolate: float = 2.0) -> DataFrame:
@@ -268,11 +266,12 @@ def clips(words: DataFrame, *, least_s: float = 1.0, most_s: float = 15.0, pause
     pause_ms = 1000 * max(pause_s, LEAST_PAUSE_S)
     target = min(most, max(least, least + TARGET * (most - least) if target_s is None or not np.isfinite(target_s) else 1000 * target_s))
     w = repaired_words(words)
-    worth = closing(F.col("text"), F.col("sentence"), F.col("clause")) + opening(F.col("next.text"), F.col("sentence"))
+    w = w.withColumn("head", tx.first_word(F.col("next.text")))
+    worth = closing(F.col("last"), F.col("sentence"), F.col("clause")) + opening(F.col("head"), F.col("sentence"))
     plain = F.when(F.col("sentence"), SENTENCE).when(F.col("clause"), CLAUSE).otherwise(0.0)
     pause = GAP * F.coalesce(F.col("gap_ms"), F.lit(0)) / 1000
     w = with_runs(w.withColumn("score", pause + worth).withColumn("plain", pause + plain), F.col("gap_ms") > pause_ms)
-    w = settle(w.drop("next", "start_s", "end_s"), "words")
+    w = settle(w.drop("next", "start_s", "end_s", "last", "head"), "words")
     fn = partial(lambda cols, a, b, t: _marked(cols, cut_by_time(cols["start_ms"], cols["end_ms"], cols["score"], a, b, t)), a=least, b=most, t=target)
     placed = _placed(w, ["start_ms", "end_ms", "score"], fn)
     pieces = placed.groupBy("source_id", F.col("piece").alias("first_pos")).agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"), F.max_by("gap_ms", "pos").alias("gap_after"))

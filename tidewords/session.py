@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,24 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     at = f"{shared_dir(spark)}/tidewords-{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, if ``PYTHONPATH`` doesn't already: on this machine by its path,
+    on other machines as a zip in the shared folder. Once per context."""
+    root = str(Path(__file__).resolve().parents[1])
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or root in sc.environment.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, sc.environment.get("PYTHONPATH", "")) if p)
+    if sc.master.startswith("local"):
+        return
+    folder = shared_dir(spark).removeprefix("file://")
+    if "://" in folder:
+        return  # not a file system of this machine: pass the package with --py-files
+    os.makedirs(folder, exist_ok=True)
+    at = os.path.join(folder, f"tidewords-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(Path(root, "tidewords").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(at)
