@@ -1,3 +1,7 @@
+import glob
+import os
+
+import duckdb
 import pytest
 
 from tidewords.llm import queries
@@ -19,12 +23,10 @@ def test_runs_with_its_columns(spark, data, name):
         assert df.distinct().count() == rows
 
 
-def test_sql_agrees(spark, data):
-    import duckdb
-
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_sql_agrees(spark, data, name):
     con = duckdb.connect()
-    for t in ("clip_candidates", "paragraphs", "size_limits"):
-        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
-    for name, sql in queries.SQL.items():
-        got = {tuple(r) for r in queries.QUERIES[name](spark, data).collect()}
-        assert got == set(con.execute(sql).fetchall()), name
+    for p in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from read_parquet('{p}')")
+    got = {tuple(r) for r in queries.QUERIES[name](spark, data).collect()}
+    assert got == set(con.execute(queries.SQL[name]).fetchall())

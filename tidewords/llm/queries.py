@@ -137,7 +137,38 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
+# Classes of characters for the SQL.
+_WIDE = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}"
+_UNSEEN = "\\x{AD}\\x{34F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FE00}-\\x{FE0F}\\x{FEFF}"
+_SPACES = "\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_SOLID = "[^ \\t-\\r" + _SPACES + "]*"
+_LATIN, _OTHER = "[A-Za-z\\x{C0}-\\x{24F}]", "[\\x{370}-\\x{3FF}\\x{400}-\\x{52F}]"
+_FULL = "".join(chr(n) for n in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)])
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _FULL)
+_LOOKS, _LOOK = "аесорхуіһјѕАВСЕНІКМОРТХУοινυρΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aecopxyihjsABCEHIKMOPTXYoivupABEHIKMNOPTYXZ"
+
 SQL: dict[str, str] = {
+    "p1_found": f"""
+WITH t AS (SELECT 'words' AS tbl, source_id || ':' || pos AS row_key, text FROM words UNION ALL SELECT 'clips', id, text FROM clips),
+e AS (SELECT tbl, row_key, regexp_replace(text, '([\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}])[\\x{{200D}}\\x{{FE0F}}]+', '\\1', 'g') AS x FROM t)
+SELECT DISTINCT tbl, row_key FROM e
+WHERE regexp_matches(x, '[{_WIDE}{_UNSEEN}{_SPACES}\\x{{300}}-\\x{{36F}}\\x{{FB00}}-\\x{{FB06}}]') OR regexp_matches(x, '{_LATIN}{_SOLID}{_OTHER}|{_OTHER}{_SOLID}{_LATIN}')""",
+    "p6_found": f"""
+WITH n AS (SELECT DISTINCT source_id, trim(replace(regexp_replace(translate(regexp_replace(speaker, '[{_UNSEEN}]', '', 'g'), '{_FULL}{_LOOKS}', '{_NARROW}{_LOOK}'), '[ _{_SPACES}]+', ' ', 'g'), ':', '')) AS s FROM clips WHERE speaker IS NOT NULL AND source_id IS NOT NULL),
+p AS (SELECT source_id, lower(CASE WHEN contains(s, ',') THEN trim(split_part(s, ',', 2)) || ' ' || trim(split_part(s, ',', 1)) ELSE s END) AS s FROM n),
+k AS (SELECT source_id, 'p:' || s AS tie FROM p WHERE s NOT IN ('', 'host', 'guest', 'unknown') AND NOT regexp_matches(s, '^(speaker|spk) ?[0-9]+$')
+  UNION SELECT source_id, 'v:' || CASE WHEN trim(coalesce(video_id, '')) <> '' THEN trim(video_id) ELSE regexp_extract(source, '(?:[?&]v=|/)([A-Za-z0-9_-]{{11}})(?:[&?#]|$)', 1) END FROM sources),
+e AS (SELECT DISTINCT a.source_id AS a, b.source_id AS b FROM k a JOIN k b USING (tie) WHERE tie <> 'v:' AND a.source_id <> b.source_id),
+r AS (WITH RECURSIVE w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT * FROM w)
+SELECT DISTINCT a AS source_a, b AS source_b FROM r WHERE a < b""",
+    "p7_found": f"""
+WITH t AS (SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS row_key, text FROM documents UNION SELECT 'clips', id, text FROM clips UNION SELECT 'segments', source_id || ':' || pos, text FROM segments),
+s AS (SELECT tbl, row_key, list_filter(regexp_split_to_array(lower(translate(text, '{_FULL}', '{_NARROW}')), '[ \\t-\\r{_SPACES}]+'), lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}]*[0-9]{{1,3}}:[0-9]{{2}}(:[0-9]{{2}})?([.,][0-9]{{1,3}})?[^\\p{{L}}\\p{{N}}]*$')) AS raw FROM t),
+w AS (SELECT tbl, row_key, list_filter(list_transform(raw, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: x <> '') AS ws FROM s),
+g AS (SELECT tbl, row_key, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 10),
+q AS (SELECT tbl, row_key, len(ws) AS n, i, row_number() OVER (PARTITION BY tbl, row_key, ws[i:i + 4] ORDER BY i) AS k FROM g),
+c AS (SELECT tbl, row_key, n, count(DISTINCT i + o) AS again FROM q, (SELECT unnest(range(5)) AS o) WHERE k > 1 GROUP BY tbl, row_key, n)
+SELECT tbl, row_key FROM c WHERE 2 * again >= n""",
     "p4_found": """
 WITH c AS (
   SELECT ref, start_s AS s, end_s AS e, list_filter(words, lambda w: isfinite(w.start_s) AND isfinite(w.end_s) AND w.end_s >= w.start_s) AS ws FROM clip_candidates),
