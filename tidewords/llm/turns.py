@@ -192,11 +192,13 @@ def _overlapping(segments: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def _carried(df: DataFrame, what: Column, name: str) -> DataFrame:
-    """``source_id, block, name``: the last value of ``what`` in the blocks before each block."""
+    """``source_id, block, name, has_any``: the last value of ``what`` in the blocks before each block, and whether the
+    source has any."""
     last = df.where(what.isNotNull()).groupBy("source_id", "block").agg(F.max(F.struct("rank", what.alias("v")))["v"].alias("v"))
     every = df.select("source_id", "block").distinct().join(last, ["source_id", "block"], "left")
     over = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return every.select("source_id", "block", F.last("v", ignorenulls=True).over(over).alias(name))
+    some = F.max(F.col("v").isNotNull()).over(Window.partitionBy("source_id"))
+    return every.select("source_id", "block", F.last("v", ignorenulls=True).over(over).alias(name), some.alias("has_any"))
 
 
 def with_turns(segments: DataFrame, turns: DataFrame, *, text: bool = False) -> DataFrame:
@@ -229,7 +231,9 @@ def with_turns(segments: DataFrame, turns: DataFrame, *, text: bool = False) ->
     strange = words.join(parts, ["source_id", "form"], "left_semi").select("source_id", "speaker").distinct()
     forms = _forms(known.unionByName(strange))
 
-    seg = seg.join(forms, ["source_id", "form"], "left")
+    # only segments with a form, a few, meet the names
+    named = seg.where("form is not null").join(forms, ["source_id", "form"], "left").select(*seg.columns, "speaker")
+    seg = named.unionByName(seg.where("form is null").withColumn("speaker", F.lit(None).cast("string")))
     label = F.when(F.col("form").startswith("#") | F.col("form").startswith("?"), F.col("form")).otherwise(F.col("speaker"))
     said = F.when(label.isNotNull(), F.col("rest")).otherwise(F.col("whole"))
     start = F.when(F.col("start_s").isNotNull() & ~F.isnan("start_s") & (F.abs("start_s") < 1e9), F.col("start_s"))
@@ -240,22 +244,22 @@ def with_turns(segments: DataFrame, turns: DataFrame, *, text: bool = False) ->
     kind = rows.schema["pos"].dataType.simpleString()
     rows = settle(rows.repartition("source_id", "block").sortWithinPartitions("source_id", "block").mapInArrow(_order, f"source_id string, pos {kind}, block bigint, start_s double, end_s double, label string, text string, is_said boolean, cue boolean, rank bigint"), "ordered")
 
-    labelled = rows.where("label is not null").select("source_id").distinct()
     here = Window.partitionBy("source_id", "block").orderBy("rank")
     before = here.rowsBetween(Window.unboundedPreceding, 0)
-    by_label = rows.join(labelled, "source_id", "left_semi")
-    by_label = by_label.join(_carried(by_label, F.col("label"), "inherited"), ["source_id", "block"])
+    # one join by block tells what a block inherits and whether its source has labels at all
+    joined = rows.join(_carried(rows, F.col("label"), "inherited"), ["source_id", "block"])
+    by_label = joined.where("has_any")
     # what is said before the first label belongs to a speaker of its own
     speaker = F.coalesce(F.last("label", ignorenulls=True).over(before), "inherited", F.lit("?"))
     by_label = by_label.select(*rows.columns, speaker.alias("speaker")).where("is_said")
 
-    bare = rows.join(labelled, "source_id", "left_anti").where("is_said")
+    bare = joined.where("not has_any and is_said").select(*rows.columns)
     bare = bare.join(_overlapping(bare, heard), ["source_id", "pos"], "left")
     bare = bare.join(_carried(bare, F.col("heard"), "inherited"), ["source_id", "block"])
     bare = bare.select(*rows.columns, F.coalesce(F.last("heard", ignorenulls=True).over(before), "inherited").alias("speaker"))
 
     out = settle(by_label.unionByName(bare), "spoken")
-    last = _carried(out, F.coalesce("speaker", F.lit("")), "previous")
+    last = _carried(out, F.coalesce("speaker", F.lit("")), "previous").drop("has_any")
     prior = F.coalesce(F.lag(F.coalesce("speaker", F.lit(""))).over(here), F.col("previous"))
     opens = prior.isNull() | (prior != F.coalesce("speaker", F.lit("")))
     return out.join(last, ["source_id", "block"]).select("source_id", "pos", "block", "rank", "start_s", "end_s", F.nullif("speaker", F.lit("?")).alias("speaker"), opens.alias("opens"), *(["text"] if text else []))
