@@ -168,9 +168,9 @@ q AS (SELECT *, coalesce(text, '') AS t, {_w("coalesce(text, '')")} AS ws, list_
 r AS (SELECT *, coalesce({_b("list_last(ws)")}, '') AS lw, heads[1] AS head, regexp_matches(t, '(\\.\\.\\.|\\x{{2026}})[{_CL}]*$') AS soft, regexp_matches(t, '[{tx.SENTENCE_MARKS}][{_CL}]*$') AS mark, regexp_matches(t, '[{tx.CLAUSE_MARKS}][{_CL}]*$') AS clause FROM q),
 u AS (SELECT *, lw IN {_IN(tx.ABBREVIATIONS)} OR regexp_matches(lw, '^([a-z]\\.)+$') AS abbr FROM r)
 SELECT source_id, CAST(pos AS BIGINT) AS pos, CAST(len(ws) AS BIGINT) AS n_words,
-  CASE WHEN soft THEN 100 WHEN mark AND NOT abbr THEN 200 WHEN mark OR clause THEN 60 WHEN lw = '' THEN 0
+  CAST(CASE WHEN soft THEN 100 WHEN mark AND NOT abbr THEN 200 WHEN mark OR clause THEN 60 WHEN lw = '' THEN 0
     WHEN lw IN {_IN(tx.DANGLING)} OR regexp_matches(lw, '(n[''\\x{{2019}}]t|[''\\x{{2019}}](s|re|m|ve|ll|d))$') THEN -250 WHEN regexp_matches(lw, '\\p{{Nd}}') THEN -125 ELSE 0 END
-  + CASE WHEN head IN {_IN(tx.STRONG_MARKERS)} THEN 80 WHEN head IN {_IN(tx.WEAK_MARKERS)} THEN 40 WHEN head IN {_IN(tx.DANGLING)} AND NOT (mark AND NOT abbr AND NOT soft) THEN -100 ELSE 0 END AS worth FROM u"""
+  + CASE WHEN head IN {_IN(tx.STRONG_MARKERS)} THEN 80 WHEN head IN {_IN(tx.WEAK_MARKERS)} THEN 40 WHEN head IN {_IN(tx.DANGLING)} AND NOT (mark AND NOT abbr AND NOT soft) THEN -100 ELSE 0 END AS BIGINT) AS worth FROM u"""
 _STAMP = "lpad(CAST(CAST(floor({0}) AS BIGINT) // 3600 AS VARCHAR), CAST(greatest(2, len(CAST(CAST(floor({0}) AS BIGINT) // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
 
 SQL = {
