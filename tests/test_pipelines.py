@@ -29,6 +29,53 @@ def test_verification(spark):
     assert got["a"] == "marginal"
 
 
+def test_verification_measures_the_files(spark):
+    names = ["fine", "off", "hot", "some", "spare", "stereo"]
+    clips = spark.createDataFrame([(f"{s}_{i:04}", s, f"wavs/{s}_{i:04}.wav", "hello there", 2.0) for s in names for i in range(4)], "id string, source_id string, audio_path string, text string, duration_s double")
+    rows = [(f"wavs/{s}_{i:04}.wav", 2.06 if s == "off" else 2.04, 2 if (s, i) == ("stereo", 0) else 1, 2, 16_000) for s in names for i in range(4)]
+    rows += [("wavs/spare_0009.wav", 1.0, 1, 2, 16_000), ("wavs/gone_0001.wav", 1.0, 1, 2, 16_000), ("wavs/notes.wav", None, None, None, None)]
+    shape = "path string, actual_s double, channels int, width int, rate int"
+    files = spark.createDataFrame(rows, shape)
+    sources = spark.createDataFrame([(s, "en") for s in [*names, "gone"]], "source_id string, language string")
+    edges = spark.createDataFrame([(r[0], 0.9 if "hot" in r[0] or "some_0000" in r[0] else float("nan") if "fine_0000" in r[0] else 0.1) for r in rows], "path string, edge_ratio double")
+    heard = clips.selectExpr("id", "text as heard").union(spark.createDataFrame([("x", "x")], "id string, heard string"))
+    verdicts = lambda files, **more: {r.source_id: (r.verdict, [x for x in r.reasons if x not in ("pairing", "unmeasured")]) for r in pipelines.verification(clips, files, sources, **more).collect()}
+    got = verdicts(files, edges=edges)
+    assert got == {"fine": ("marginal", []), "off": ("not trainable", ["structure"]), "hot": ("not trainable", ["edges"]), "some": ("marginal", ["some_edges"]), "spare": ("marginal", ["tidy"]), "gone": ("marginal", ["tidy"]), "stereo": ("not trainable", ["structure"])}
+    # all texts are alike, so pairing has no gap; without edges none are hot
+    assert verdicts(files, heard=heard)["hot"] == ("not trainable", []) and verdicts(files)["hot"] == ("marginal", [])
+    assert verdicts(spark.createDataFrame([*rows[1:], (*rows[0][:4], 8_000)], shape))["fine"] == ("not trainable", ["structure"])
+    lines = clips.selectExpr("concat_ws('|', id, text, text) as line")
+    assert verdicts(files, lines=lines)["fine"] == ("marginal", [])
+    for bad in ("one|two", "fine_0001|hello|goodbye"):
+        assert verdicts(files, lines=lines.union(spark.createDataFrame([(bad,)], "line string")))["fine"] == ("marginal", ["tidy"])
+
+
+def test_verify_reads_the_audio(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    tone = (np.sin(np.arange(24_000) * 220 * 2 * np.pi / 16_000) * 9_000).astype(np.int16)
+    soft = tone.copy()
+    soft[:1_600] = soft[-1_600:] = 0
+    (tmp_path / "wavs").mkdir()
+    for name, x in (("a_0001", soft), ("b_0001", np.concatenate([soft[:8_000], soft[-8_000:]])), ("c_0001", tone), ("a b_0001", soft)):
+        with wave.open(str(tmp_path / "wavs" / f"{name}.wav"), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(16_000)
+            w.writeframes(x.tobytes())
+    names = ["a", "b", "c", "d", "a b"]
+    spark.createDataFrame([(f"{s}_0001", s, f"wavs/{s}_0001.wav", "hello there", 1.5) for s in names], "id string, source_id string, audio_path string, text string, duration_s double").write.parquet(str(tmp_path / "clips.parquet"))
+    spark.createDataFrame([(s, "en") for s in names], "source_id string, language string").write.parquet(str(tmp_path / "sources.parquet"))
+    assert main(["verify", str(tmp_path), str(tmp_path / "report")]) == 2
+    rows = {r.source_id: r for r in spark.read.parquet(str(tmp_path / "report")).collect()}
+    assert {s: r.reasons for s, r in rows.items()} == {"a": ["unmeasured"], "a b": ["unmeasured"], "b": ["structure", "unmeasured"], "c": ["edges", "unmeasured"], "d": ["structure", "unmeasured"]}
+    assert (rows["b"].off, rows["d"].missing, rows["a"].malformed) == (1, 1, None)
+    (tmp_path / "metadata.csv").write_text("a_0001|hello there\n")
+    main(["verify", str(tmp_path), str(tmp_path / "report")])
+    assert {r.malformed for r in spark.read.parquet(str(tmp_path / "report")).collect()} == {1}
+
+
 def test_command_line(spark, data, tmp_path):
     assert main(["transcripts", data, str(tmp_path / "md")]) == 0
     names = sorted(p.name for p in (tmp_path / "md").iterdir() if p.suffix == ".md")

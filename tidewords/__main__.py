@@ -1,4 +1,8 @@
-"""``python -m tidewords transcripts|dataset|verify DATA OUT``: the three pipelines over a folder of Parquet tables."""
+"""``python -m tidewords transcripts|dataset|verify DATA OUT``: the three pipelines over a folder of Parquet tables.
+
+verify also reads the dataset folder (``--audio``, else DATA): the WAV files that the clips' audio_path names relative to
+it, and metadata.csv if there is one.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,12 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from tidewords.plans import pipelines
-from tidewords.session import read
+from tidewords.session import read, settle
 from tidewords.sinks import rows
 from tidewords.sinks.named import write_named
+from tidewords.sources.landed import wav_listing
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -22,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("out")
     p.add_argument("--speakers", choices=("tag", "dominant", "per_speaker"))
     p.add_argument("--language")
+    p.add_argument("--audio", help="verify: the dataset folder with the audio files")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tidewords").getOrCreate()
     table = lambda name: read(spark, a.data, name)
@@ -38,9 +43,12 @@ def main(argv: list[str] | None = None) -> int:
         if a.speakers == "per_speaker":
             rows.write_by_speaker(clips, f"{a.out}/by_speaker")
         return 0
-    clips = table("clips")
-    files = clips.select(F.col("audio_path").alias("path"), F.col("duration_s").alias("actual_s")).distinct()
-    report = pipelines.verification(clips, files, table("sources"))
+    root = (a.audio or a.data).rstrip("/")
+    files = settle(wav_listing(spark, root), "files")  # the audio is read once
+    index = f"{root}/metadata.csv"
+    at = spark._jvm.org.apache.hadoop.fs.Path(index)
+    lines = spark.read.text(index).withColumnRenamed("value", "line") if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+    report = pipelines.verification(table("clips"), files, table("sources"), lines=lines, edges=files.select("path", "edge_ratio"))
     report.write.mode("overwrite").parquet(a.out)
     return 2 if spark.read.parquet(a.out).where("verdict = 'not trainable'").limit(1).count() else 0
 

@@ -66,16 +66,16 @@ def wrapped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: textwrap.fill(t, 80, break_long_words=False, break_on_hyphens=False), na_action="ignore")
 
 
+def loud_edges(x: np.ndarray, rate: int) -> float | None:
+    """Loudness of the louder edge of 25 ms by that of the body; None for short and silent ones."""
+    edge = int(rate * 25 / 1000)
+    rms = lambda y: float(np.sqrt(np.mean(y * y))) if len(y) else 0.0
+    if not edge or len(x) < 4 * edge or (body := rms(x[edge:-edge])) < 1e-3:
+        return None
+    return max(rms(x[:edge]), rms(x[-edge:])) / body
+
+
 @F.pandas_udf(DoubleType())
 def edge_ratio(samples: pd.Series, rate: pd.Series) -> pd.Series:
-    """Loudness of the louder edge of 25 ms by that of the body; null for short and silent ones."""
-    out = []
-    for s, r in zip(samples, rate, strict=True):
-        edge = int(r * 25 / 1000) if s is not None else 0
-        x = np.asarray(s, np.float32) if s is not None else np.zeros(0, np.float32)
-        rms = lambda y: float(np.sqrt(np.mean(y * y))) if len(y) else 0.0
-        if s is None or not edge or len(x) < 4 * edge or (body := rms(x[edge:-edge])) < 1e-3:
-            out.append(None)
-        else:
-            out.append(max(rms(x[:edge]), rms(x[-edge:])) / body)
-    return pd.Series(out, dtype="float64")
+    """:func:`loud_edges` of a column of samples."""
+    return pd.Series([None if s is None else loud_edges(np.asarray(s, np.float32), r) for s, r in zip(samples, rate, strict=True)], dtype="float64")

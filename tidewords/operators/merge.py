@@ -66,11 +66,14 @@ def reusable(wanted: DataFrame, state: DataFrame, files: DataFrame, mark: str |
     return good.select("source_id").distinct().join(missing, "source_id", "left_anti")
 
 
+def owner(path: str) -> Column:
+    """The source that a clip file, ``<source>_NNNN.wav``, is named after; empty for other files."""
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(.+)_\d{4}\.wav$", 1)
+
+
 def orphans(files: DataFrame, clips: DataFrame, sources: DataFrame) -> DataFrame:
     """``path`` of clip files, ``<source>_NNNN.wav`` of a source at hand, that no clip refers to."""
-    name = F.element_at(F.split("path", "/"), -1)
-    owner = F.regexp_extract(name, r"^(.+)_\d{4}\.wav$", 1)
-    own = files.select("path", owner.alias("source_id")).where("source_id <> ''").join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    own = files.select("path", owner("path").alias("source_id")).where("source_id <> ''").join(sources.select("source_id").distinct(), "source_id", "left_semi")
     return own.join(clips.select(F.col("audio_path").alias("path")).where("path is not null").distinct(), "path", "left_anti").select("path").distinct()
 
 

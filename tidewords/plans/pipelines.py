@@ -84,20 +84,72 @@ def _judged(cut: DataFrame, lim: filters.Limits) -> DataFrame:
     return df.withColumn("reason", F.coalesce("reason", late)).drop("__ratio")
 
 
-def verification(clips: DataFrame, files: DataFrame, sources: DataFrame, heard: DataFrame | None = None, *, sample: int = 8, seed: int = 0) -> DataFrame:
-    """One row per source with clips: structure counts, script share, verdict and reasons; pairing is of all sources together.
+def verification(clips: DataFrame, files: DataFrame, sources: DataFrame, heard: DataFrame | None = None, *, lines: DataFrame | None = None, edges: DataFrame | None = None, sample: int = 8, seed: int = 0) -> DataFrame:
+    """One row per source with clips or with clip files that no clip refers to: counts of what is wrong, script share, hot
+    edges, verdict and reasons. Pairing, agreement of the index and the number of sample rates are of all sources together.
 
-    files: path, actual_s. heard: id, heard, what was recognized again from the clips; without it pairing is unmeasured.
+    files: path, actual_s, and where known channels, width, rate (:func:`~tidewords.sources.landed.wav_info`). clips without
+    duration_s list no durations. heard: id, heard, what was recognized again from the clips. lines: line, the pipe-delimited
+    index. edges: path, edge_ratio. What isn't given is unmeasured; of that only pairing counts against.
     """
-    checks = verify.structure(clips.where("source_id is not null"), files)
+    own = clips.where("source_id is not null")
+    checks = verify.structure(own, files)
     share = verify.script_share(clips, sources).select("source_id", (F.col("matching") / F.col("judged")).alias("script_share"))
-    out = checks.join(share, "source_id", "left")
+    out = checks.join(share, "source_id", "left").join(_off(own, files), "source_id", "left").join(_unfit(own, files), "source_id", "left")
+    left = merge.orphans(files, clips, sources).groupBy(merge.owner("path").alias("source_id")).agg(F.count("*").alias("orphans"))
+    out = out.join(left, "source_id", "full").join(_hot(own, files, edges), "source_id", "left")
+    out = out.fillna(0, ["rows", "missing", "duplicated", "empty", "control", "off", "unfit", "orphans"])
+    out = out.crossJoin(F.broadcast(_rates(own, files)))  # one row, as are those below
+    if lines is None:
+        out = out.withColumn("malformed", F.lit(None).cast("bigint")).withColumn("mismatched", F.lit(None).cast("bigint"))
+    else:
+        out = out.crossJoin(F.broadcast(verify.csv_mismatch(clips, lines)))
     if heard is None:
         out = out.withColumn("pairing_mean", F.lit(None).cast("double")).withColumn("pairing_gap", F.lit(None).cast("double"))
     else:
         rows = clips.select("id", "text").where("id is not null").groupBy("id").agg(F.max("text").alias("text")).join(heard.groupBy("id").agg(F.max("heard").alias("heard")), "id")
         measured = verify.pairing(verify.controls(verify.sampled(rows, sample, seed))).select("pairing_mean", "pairing_gap")
-        out = out.crossJoin(F.broadcast(measured))  # one row
-    fatal = (F.col("missing") > 0) | (F.col("duplicated") > 0) | (F.col("empty") > 0) | (F.col("control") > 0)
-    v = verify.verdict(F.col("pairing_gap"), F.col("pairing_mean"), F.col("script_share"), F.lit(None).cast("double"), fatal=fatal)
+        out = out.crossJoin(F.broadcast(measured))
+    fatal = (F.col("missing") > 0) | (F.col("duplicated") > 0) | (F.col("empty") > 0) | (F.col("control") > 0) | (F.col("off") > 0) | (F.col("unfit") > 0) | (F.col("rates") > 1)
+    soft = (F.col("orphans") > 0) | (F.coalesce("malformed", F.lit(0)) > 0) | (F.coalesce("mismatched", F.lit(0)) > 0)
+    v = verify.verdict(F.col("pairing_gap"), F.col("pairing_mean"), F.col("script_share"), F.col("hot_edges"), fatal=fatal, soft=soft)
     return out.withColumn("v", v).select(*out.columns, F.col("v.verdict").alias("verdict"), F.col("v.reasons").alias("reasons"))
+
+
+def _off(own: DataFrame, files: DataFrame) -> DataFrame:
+    """``source_id, off``: clips of each source whose listed duration isn't that of their file."""
+    if "duration_s" not in own.columns:
+        return own.groupBy("source_id").agg(F.lit(0).cast("bigint").alias("off"))
+    finite = lambda c: F.when(F.abs(c) < 1e9, F.col(c)).cast("double").alias(c)
+    named = own.select(F.struct("source_id", "id").alias("id"), "audio_path", finite("duration_s"))
+    return verify.duration_off(named, files.select("path", finite("actual_s"))).groupBy("id.source_id").agg(F.count("*").alias("off"))
+
+
+def _used(own: DataFrame, files: DataFrame, cols: list[str]) -> DataFrame:
+    """``source_id, path`` and ``cols`` of the files that clips refer to."""
+    return own.select("source_id", F.col("audio_path").alias("path")).distinct().join(files.select("path", *cols), "path")
+
+
+def _unfit(own: DataFrame, files: DataFrame) -> DataFrame:
+    """``source_id, unfit``: files of each source that can't be read or aren't mono and of 16 bits."""
+    if not {"channels", "width"} <= set(files.columns):
+        return own.groupBy("source_id").agg(F.lit(0).cast("bigint").alias("unfit"))
+    fit = F.coalesce((F.col("channels") == 1) & (F.col("width") == 2), F.lit(False))
+    return _used(own, files, ["channels", "width"]).where(~fit).groupBy("source_id").agg(F.countDistinct("path").alias("unfit"))
+
+
+def _rates(own: DataFrame, files: DataFrame) -> DataFrame:
+    """``rates``: in one row the number of sample rates; null where the listing has none."""
+    if "rate" not in files.columns:
+        return own.sparkSession.createDataFrame([(None,)], "rates bigint")
+    return _used(own, files, ["rate"]).agg(F.countDistinct("rate").alias("rates"))
+
+
+def _hot(own: DataFrame, files: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """``source_id, hot_edges``: of the clips whose file is there and measured, the share with loud edges."""
+    if edges is None:
+        return own.select("source_id").distinct().withColumn("hot_edges", F.lit(None).cast("double"))
+    ratio = edges.where("edge_ratio is not null and not isnan(edge_ratio)").groupBy(F.col("path").alias("audio_path")).agg(F.max("edge_ratio").alias("r"))
+    here = ratio.join(files.select(F.col("path").alias("audio_path")), "audio_path", "left_semi")
+    one = own.select("source_id", "id", "audio_path").distinct().join(here, "audio_path")
+    return one.groupBy("source_id").agg(F.avg((F.col("r") > verify.HOT).cast("double")).alias("hot_edges"))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.functions.exact import unescape
+from tidewords.functions.exact import loud_edges, unescape
 from tidewords.functions.text import collapse, duration_seconds, is_noise_cue, strip
 from tidewords.operators import blocks
 
@@ -115,8 +116,11 @@ def index_rows(spark: SparkSession, root: str, kind: str) -> DataFrame:
     raise ValueError(f"no such index: {kind}")
 
 
-def wav_info(files: DataFrame) -> DataFrame:
-    """``path, channels, width, rate, actual_s`` of PCM files (``spark.read.format("binaryFile")``); nulls if unreadable."""
+def wav_info(files: DataFrame, *, edges: bool = False) -> DataFrame:
+    """``path, channels, width, rate, actual_s`` of PCM files (``spark.read.format("binaryFile")``); nulls if unreadable.
+
+    With ``edges`` also ``edge_ratio``, :func:`~tidewords.functions.exact.loud_edges` of 16-bit files, of several channels their mean.
+    """
     import io
     import wave
 
@@ -126,13 +130,30 @@ def wav_info(files: DataFrame) -> DataFrame:
             for data in batch.column("content"):
                 try:
                     with wave.open(io.BytesIO(data.as_py())) as w:
-                        rows.append((w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes() / w.getframerate()))
+                        rows.append((w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes() / w.getframerate(), ratio(w) if edges else None))
                 except (wave.Error, EOFError, ZeroDivisionError, TypeError):
-                    rows.append((None,) * 4)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array(c, pa.int32()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["path", "channels", "width", "rate", "actual_s"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, channels int, width int, rate int, actual_s double")
+                    rows.append((None,) * 5)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            arrays = [batch.column("path"), *(pa.array(c, pa.int32()) for c in cols[:3]), *(pa.array(c, pa.float64()) for c in cols[3:])]
+            yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
+
+    def ratio(w: wave.Wave_read) -> float | None:
+        if w.getsampwidth() != 2:
+            return None
+        raw, k = w.readframes(w.getnframes()), w.getnchannels()
+        x = np.frombuffer(raw[: len(raw) // (2 * k) * 2 * k], np.int16).astype(np.float32) / 32768
+        return loud_edges(x.reshape(-1, k).mean(axis=1), w.getframerate())
+
+    names = ["path", "channels", "width", "rate", "actual_s", *["edge_ratio"] * edges]
+    return files.select("path", "content").mapInArrow(run, "path string, channels int, width int, rate int, actual_s double" + ", edge_ratio double" * edges)
+
+
+def wav_listing(spark: SparkSession, root: str) -> DataFrame:
+    """:func:`wav_info` with edges of every ``.wav`` file under a folder; paths are relative to it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(root)
+    return wav_info(found.withColumn("path", F.substr("path", F.lit(len(at) + 2))), edges=True)
 
 
 def recognized(files: DataFrame, recognize: Callable[[str], list[dict]], schema: str) -> DataFrame:
