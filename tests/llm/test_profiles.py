@@ -110,3 +110,25 @@ def test_rows_of_every_kind(spark):
     assert got[0].stretches == [] and got[3].stretches[0].lang == "en" and sum(x.size for x in got[3].stretches) == got[3].words
     assert sum(got[0].langs) == 0 and got[3].langs[language.LANGS.index("en")] > 0
     assert profiles.profiled(df.limit(0), ["doc_id"], lang=lang).count() == 0
+
+
+def test_labels_lose_no_repetitive_text():
+    # any line with more than MIXED repeated words is boilerplate, whatever stands around it
+    emit, trans = repetition.field()
+    bins = repetition._bins(np.array([repetition.MIXED, repetition.MIXED + 1 / repetition.LINE]))
+    pull = trans[0, 0] * 2 - trans[0, 1] - trans[1, 0]
+    assert bins[0] < bins[1] and (emit[bins[1] :, 1] - emit[bins[1] :, 0] > max(pull, trans[0, 0] - trans[0, 1], trans[0, 0] - trans[1, 0])).all()
+    rng = np.random.default_rng(3)
+    texts = [[*range(6)] * 2]  # "a b c d e f a b c d e f": half repeated, a sixth in a boilerplate line
+    for _ in range(3_000):
+        size = int(rng.integers(5, 60))
+        text = list(range(size))
+        while len(text) < 2 * size:
+            a, k = int(rng.integers(0, size - 4)), int(rng.integers(5, 9))
+            at = int(rng.integers(size // 2, len(text) + 1))
+            text[at:at] = text[a : a + k]
+        texts.append(text)
+    words, again, boiler = repetition.measure(np.concatenate(texts), np.array([len(t) for t in texts]))
+    exact = 2 * again >= words
+    assert exact[0] and 100 < exact.sum() < len(texts)
+    assert (repetition.repetitive(words, again, boiler) == exact).all()

@@ -20,10 +20,10 @@ PASSAGE = 5
 LINE = 10
 LEAST_WORDS = 10
 LIMIT = 0.5
-#: Boilerplate share from which a record is measured exactly. The field labels a line boilerplate from
-#: about a third of repeated words, so that a record at LIMIT has at least (.5 - .35) / (1 - .35) of it.
-MAYBE = 0.2
 BINS = 6
+#: Highest share of repeated words, an edge of the bins, of a line that the field may label content: above it the emission
+#: outweighs any transition. So a record at LIMIT has at least (LIMIT - MIXED) / (1 - MIXED) = 1/6 of its words in boilerplate lines.
+MIXED = 0.4
 
 
 def repeated_words(forms: np.ndarray, doc: np.ndarray, passage: int = PASSAGE) -> np.ndarray:
@@ -144,4 +144,5 @@ def measure(forms: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def repetitive(words: np.ndarray, again: np.ndarray, boiler: np.ndarray, *, least: int = LEAST_WORDS, limit: float = LIMIT) -> np.ndarray:
     """True for records whose labels let them reach the limit and whose exact share does."""
-    return (words >= least) & (boiler >= MAYBE) & (again >= limit * words)
+    maybe = (limit - MIXED) / (1 - MIXED) - 1e-9  # rounding
+    return (words >= least) & (boiler >= maybe) & (again >= limit * words)
