@@ -52,6 +52,29 @@ def test_sources_without_labels(spark):
     assert got == {("a", 0), ("a", 3), ("a", 4), ("b", 0), ("c", 0)}
 
 
+def test_full_labels_that_no_turn_knows(spark):
+    said = {
+        "a": ["Anna Smith: hello", "more of it", "Bob Jones: yes", "Note: well"],  # one each
+        "b": ["before", "Anna Smith: hello", "Anna Smith: again"],
+        "c": ["Breaking News: it rains", "and pours"],
+        "d": ["Anna: which one", "Anna Smith: me", "Anna Jones: or me"],
+        "e": ["SPEAKER_01: hi", "Anna Smith: hello"],
+        "f": ["Host: hi", "Anna Smith: hello"],
+        "g": ["ASHABELL: hi", "Anna Smith: hello"],
+    }
+    segs = [(s, i, t, float(i), i + 1.0) for s, lines in said.items() for i, t in enumerate(lines)]
+    tns = [("d", "Anna Smith", 0.0, 1.0), ("d", "Anna Jones", 1.0, 2.0), ("g", "Brda Ashabell", 0.0, 1.0)]
+    got = {s: [] for s in said}
+    for r in sorted(_run(spark, segs, tns, text=True).collect(), key=lambda r: (r.source_id, r.pos)):
+        got[r.source_id].append((r.speaker, r.opens, r.text))
+    anna = ("anna smith", True, "hello")
+    assert got["a"] == [anna, ("anna smith", False, "more of it"), ("bob jones", True, "yes"), ("bob jones", False, "Note: well")]
+    assert got["b"] == [(None, True, "before"), anna, ("anna smith", False, "again")]
+    assert got["c"] == [(None, True, "Breaking News: it rains"), (None, False, "and pours")]
+    assert got["d"] == [("anna", True, "which one"), ("anna smith", True, "me"), ("anna jones", True, "or me")]
+    assert [got[s][1] for s in "efg"] == [anna] * 3
+
+
 def test_blocks_hand_on_labels(spark):
     segs = [("a", i, ("Brda: " if i % 40 == 0 else "") + "talk", i * 30.0, i * 30.0 + 5) for i in range(100)]
     got = [r.pos for r in _run(spark, segs, [("a", "Brda Ashabell", 0.0, 1.0)]).where("opens").collect()]

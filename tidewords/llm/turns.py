@@ -96,12 +96,13 @@ def _parsed(df: DataFrame) -> DataFrame:
 
 
 def _forms(people: DataFrame) -> DataFrame:
-    """``source_id, form, speaker``: the ways to write each named person of a source that mean nobody else there."""
+    """``source_id, form, speaker``: the ways to write each named person of a source. One that may mean several of them
+    is a speaker of its own, by that form."""
     words = F.split("speaker", " ")
     first, last = words[0], F.element_at(words, -1)
     forms = F.explode(F.array_distinct(F.array(F.col("speaker"), first, last, F.concat_ws(" ", F.left(first, F.lit(1)), last), F.concat_ws(" ", last, first))))
     out = people.where("not startswith(speaker, '#')").select("source_id", "speaker", forms.alias("form"))
-    return out.groupBy("source_id", "form").agg(F.min("speaker").alias("speaker"), F.max("speaker").alias("other")).where("speaker = other").select("source_id", "form", "speaker")
+    return out.groupBy("source_id", "form").agg(F.min("speaker").alias("speaker"), F.max("speaker").alias("other")).select("source_id", "form", F.when(F.col("speaker") == F.col("other"), F.col("speaker")).otherwise(F.col("form")).alias("speaker"))
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,14 +222,20 @@ def with_turns(segments: DataFrame, turns: DataFrame, *, text: bool = False) ->
 
     heard = turns.select("source_id", person_of(F.col("speaker")).alias("speaker"), "start_s", "end_s").where("source_id is not null and speaker is not null")
     # a full name in a label makes its person known as well
-    full = seg.where("form is not null and form like '% %' and length(split(form, ' ')[0]) > 1").select("source_id", F.col("form").alias("speaker")).distinct()
+    labels = seg.where("form is not null").groupBy("source_id", "form").agg(F.count("*").alias("n"))
+    is_full = "form like '% %' and not startswith(form, '?') and length(split(form, ' ')[0]) > 1"
+    full = labels.where(is_full).select("source_id", F.col("form").alias("speaker"), "n")
     known = heard.select("source_id", "speaker").distinct()
     turned = known.select("source_id", F.concat_ws(" ", F.expr("substring_index(speaker, ' ', -1)"), F.expr("substring_index(speaker, ' ', 1)")).alias("speaker"))
-    # "One thing:" is no name: two words that no turn knows count only if other labels of the source use either alone
-    parts = seg.where("form is not null and form not like '% %'").select("source_id", "form").distinct()
+    # "Breaking News:" may be no name: words that no turn knows count only if they label several segments, if the source has
+    # another label, or if its labels use either word alone
+    parts = labels.where("form not like '% %'").select("source_id", "form")
     strange = full.join(known, ["source_id", "speaker"], "left_anti").join(turned, ["source_id", "speaker"], "left_anti")
+    sure = labels.where(f"startswith(form, '#') or startswith(form, '?') or {is_full}").select("source_id", "form")
+    sure = sure.unionByName(parts.join(_forms(known), ["source_id", "form"], "left_semi")).groupBy("source_id").agg(F.countDistinct("form").alias("forms"))
     words = strange.select("source_id", "speaker", F.explode(F.split("speaker", " ")).alias("form"))
-    strange = words.join(parts, ["source_id", "form"], "left_semi").select("source_id", "speaker").distinct()
+    alone = words.join(parts, ["source_id", "form"], "left_semi").select("source_id", "speaker")
+    strange = strange.join(sure, "source_id").where("n > 1 or forms > 1").select("source_id", "speaker").unionByName(alone).distinct()
     forms = _forms(known.unionByName(strange))
 
     # only segments with a form, a few, meet the names
