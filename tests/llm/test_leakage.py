@@ -53,6 +53,19 @@ def test_exact_length():
     assert _search(item, [frame(words[10:30]), frame(words[10:29]), frame(words[:20]), frame(words[40:])]) == {(0, 7), (2, 7), (3, 7)}
 
 
+def test_passage_off_the_first_diagonal_of_its_band():
+    # a chance q-gram before the passage, 18 words off its diagonal but in its band, begins the best stretch
+    rng = random.Random(2)
+    short = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    chance, passage, long = ["klmn", "opqr"], short(20), ["".join(rng.choice("stuvwx") for _ in range(30)) for _ in range(3)]
+    item = [(7, " ".join([*chance, *passage, *long, *short(10)]))]
+    for ahead in range(30):  # bands begin anywhere
+        text = lambda words: " ".join([*short(ahead), *chance, *short(18), *words, *short(30)])  # noqa: E731, B023
+        assert _search(item, [text(passage), text(passage[:16])]) == {(0, 7)}
+        # of two places in the text with the same q-grams the later holds the passage
+        assert _search(item, [" ".join([*short(ahead), *passage[:6], *short(12), *passage, *short(30)])]) == {(0, 7)}
+
+
 def test_longest():
     f = lambda s: leakage.longest(np.array([c == "x" for c in s]))
     assert f("x" * 20) == 20 and f("xxxxxxxxx.xxxxxxxxxx") == 20 and f("xxx.xxx.xxx.xxx") < 12 and f("...") == 0 and f("") == 0

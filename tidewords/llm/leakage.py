@@ -12,8 +12,9 @@ passages may have more changes, but gain more q-grams than those cost. Q-grams t
 than ``COMMON`` places of the items are left out of the count and of the bound alike; they are
 counted only for items whose bound would fall under ``WEAK`` without them. Shared
 q-grams are counted in diagonal bands that overlap by half, so that such a set lies wholly in one,
-and there in stretches of the item as long as a passage; bands of which a stretch reaches the item's
-bound are aligned word by word inside the band.
+and there in stretches of the item as long as a passage. In bands of which a stretch reaches the item's
+bound the same is counted around each word diagonal that has q-grams, with room for what the edits shift,
+and wherever it reaches the bound again the texts are aligned word by word inside that room.
 
 The items' q-grams are the broadcast side: blocks of ``BLOCK`` items, each of bounded size, so more
 items mean more blocks, not a larger broadcast. Documents are searched where they lie, whole; there is
@@ -37,8 +38,9 @@ CHANGED, INSERTED = 3, 2
 COMMON, WEAK = 12, 12
 #: Tokens of texts that are searched at a time: their arrays stay in the cache.
 AT_ONCE = 50_000
-#: Word diagonals on each side of a stretch's first; its edits shift by CHANGED + 3 * INSERTED words at most.
-ROOM = 12
+#: Word diagonals on each side of the one aligned at; edits shift by CHANGED + 3 * INSERTED words at most, and the one
+#: aligned at is up to NEAR from those of the q-grams.
+ROOM, NEAR = 12, 2
 #: Of a passage's words at most this share may be changed or missing, at most GAP of them in a row.
 ERRORS, GAP = 0.17, 2
 #: Items in one broadcast, and characters of an item at most (longer ones make blocks of their own).
@@ -177,6 +179,17 @@ def longest(hit: np.ndarray) -> int:
     return int(best)
 
 
+def _leans(lean: np.ndarray, spot: np.ndarray, reach: int, bound: int) -> Iterator[int]:
+    """The word diagonals to align at: those around which q-grams in a stretch of the item reach the bound. Any q-gram's
+    diagonal is within NEAR of one that is tried. spot: places in the item, ascending."""
+    step = 2 * NEAR + 1
+    for at in np.unique(lean // step).tolist():
+        mid = at * step + NEAR
+        s = np.unique(spot[np.abs(lean - mid) <= ROOM])
+        if len(s) >= bound and (s[bound - 1 :] - s[: len(s) - bound + 1] < reach).any():
+            yield mid
+
+
 class _Forms:
     """Characters of the word forms of a token table."""
 
@@ -249,37 +262,43 @@ def search(index: Index, table: Tokens, texts: list[str | None]) -> list[tuple[i
     item, spot, where, text, pair = item[on], spot[on], where[on], text[on], held_by[on]
     # band k spans the cells k and k + 1 of the diagonals
     cell = (where - spot + int(spot.max())) // index.half + 1
-    key = (pair * (int(cell.max()) + 1) + cell) * (1 << 20) + spot
-    key, at = np.unique(np.concatenate([key, key - (1 << 20)]), return_index=True)  # a place of the item counts once in a band
-    at %= len(item)
-    item, text, spot, where = item[at], text[at], spot[at], where[at]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] >> 20) != (key[:-1] >> 20)]))
+    wide = int(spot.max()) + 1
+    key = (pair * (int(cell.max()) + 1) + cell) * wide + spot
+    key = np.concatenate([key, key - wide])
+    hits = np.argsort(key, kind="stable")
+    key = key[hits]
+    hits %= len(item)
+    once = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # a place of the item counts once in a band
+    band, at = key[once] // wide, hits[once]
+    new = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
     # the most q-grams in any stretch of the item as long as its longest passage of LEAST words
-    group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(item)))) * (1 << 32)
-    inside = np.searchsorted(group + spot, group + spot + index.reach[item]) - np.arange(len(spot))
-    size_of = np.diff(np.append(new, len(item)))
-    enough = np.maximum.reduceat(inside, new) >= index.bound[item[new]]
-    top = np.lexsort((-inside, group))[new][enough]  # by band, where its best stretch begins
+    place = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(at)))) * (1 << 32) + spot[at]
+    inside = np.searchsorted(place, place + index.reach[item[at]]) - np.arange(len(at))
+    enough = np.flatnonzero(np.maximum.reduceat(inside, new) >= index.bound[item[at[new]]])
+    begins = once[new]
+    stops = np.append(begins[1:], len(hits))
     found: dict[tuple[int, int], None] = {}
     tried: set[tuple[tuple[int, int], int]] = set()
     doc_start = np.searchsorted(doc, np.arange(len(lens)))
     doc_end = np.searchsorted(doc, np.arange(len(lens)), side="right")
-    for a in top:
-        n = int(item[a])
-        pair = (int(text[a]), index.ids[n])
+    for k in enough:
+        own = hits[begins[k] : stops[k]]
+        n = int(item[own[0]])
+        pair = (int(text[own[0]]), index.ids[n])
         if pair in found:
             continue
         base = doc_start[pair[0]]
-        # the word diagonal on which the best stretch begins, and room on both sides for what the edits shift
         words = index.words[n]
-        lean_w = int(word_at[where[a]] - base - np.searchsorted(index.ends[n], spot[a], side="right"))
-        if (pair, lean_w) in tried:
-            continue
-        tried.add((pair, lean_w))
-        low = max(0, lean_w - ROOM)
-        region = [forms.names[f] for f in form[base + low : min(doc_end[pair[0]], base + max(0, lean_w + len(words) + ROOM))]]
-        if longest(present(words, region, lean_w - low, ROOM)) >= LEAST and longest(aligned(words, region, lean_w - low, ROOM)) >= LEAST:
-            found[pair] = None
+        lean = word_at[where[own]] - base - np.searchsorted(index.ends[n], spot[own], side="right")
+        for lean_w in _leans(lean, spot[own], int(index.reach[n]), int(index.bound[n])):
+            if (pair, lean_w) in tried:
+                continue
+            tried.add((pair, lean_w))
+            low = max(0, lean_w - ROOM)
+            region = [forms.names[f] for f in form[base + low : min(doc_end[pair[0]], base + max(0, lean_w + len(words) + ROOM))]]
+            if longest(present(words, region, lean_w - low, ROOM)) >= LEAST and longest(aligned(words, region, lean_w - low, ROOM)) >= LEAST:
+                found[pair] = None
+                break
     return list(found)
 
 
