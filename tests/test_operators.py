@@ -126,6 +126,33 @@ def test_merge(spark):
         pick(number=0)
 
 
+def test_merge_gathers_no_source(spark, data):
+    import random
+
+    from tidewords.plans import records
+
+    rng = random.Random(4)
+    names = ["a"] * 60 + [f"a-{n}" for n in rng.sample(range(90), 40)] + [None, "b-2", "b", "b", "c-99999999999999999999", "c"]
+    want, used = {}, {}
+    for n in {*names} - {None}:
+        used.setdefault(n.rpartition("-")[0], set()).add(n)
+    for i, n in enumerate(names):
+        k, free = names[: i + 1].count(n), 1
+        for _ in range(k - 1):
+            free += 1
+            while f"{n}-{free}" in used.get(n, ()):
+                free += 1
+        want[i] = n if n is None or k == 1 else f"{n}-{free}"
+    named = merge.unique_names(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "base string, pos int"), "base", "pos")
+    assert {r.pos: r.unique_name for r in named.collect()} == want
+    state = spark.createDataFrame([("a", "f", True), ("b", "f", True), ("c", "f", True)], "source_id string, fingerprint string, ok boolean")
+    paths = spark.createDataFrame([("a", "p1"), ("a", None), ("b", "p1"), ("b", "p9"), ("c", None)], "source_id string, path string")
+    files = spark.createDataFrame([("p1",), (None,)], "path string")
+    assert sorted(r[0] for r in merge.reusable(state, state, files, "f", paths).collect()) == ["a", "c"]
+    for df in (named, records.resume(spark, data)):
+        assert "collect_" not in df._jdf.queryExecution().toString()
+
+
 def test_verdicts(spark):
     rows = [(0.6, 0.95, 0.99, 0.0), (0.1, 0.95, 0.99, 0.0), (0.6, 0.7, 0.99, 0.0), (0.6, 0.8, 0.9, 0.2), (None, None, None, None), (0.6, 0.95, 0.5, 0.9)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, gap double, acc double, script double, edges double")

@@ -19,12 +19,14 @@ def unique_names(df: DataFrame, base: str, order: str, name: str = "unique_name"
     suffixed one takes the next number free among ``base-n`` of the table. Rows with a null base get null.
     """
     first = blocks.ranked(df, [base], [order], "__n")
-    taken = df.where(F.col(base).rlike("-[0-9]+$")).select(F.regexp_extract(base, "^(.*)-[0-9]+$", 1).alias("__b"), F.regexp_extract(base, "-([0-9]+)$", 1).cast("bigint").alias("__t")).distinct()
-    used = taken.groupBy("__b").agg(F.array_sort(F.collect_set("__t")).alias("__used"))
-    out = first.join(used, first[base] == used["__b"], "left").drop("__b")
-    # the n-th row takes the n-th number that no base has: every used number up to it moves it on by one
-    number = F.aggregate(F.coalesce("__used", F.array().cast("array<bigint>")), F.col("__n").cast("bigint"), lambda a, t: F.when((t >= 2) & (t <= a), a + 1).otherwise(a))
-    return out.withColumn(name, F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), number.cast("string")))).drop("__n", "__used")
+    taken = df.where(F.col(base).rlike("-[0-9]+$")).select(F.regexp_extract(base, "^(.*)-[0-9]+$", 1).alias("__of"), F.regexp_extract(base, "-([0-9]+)$", 1).try_cast("bigint").alias("__t")).where(f"__t between 2 and {1 << 60}").distinct()
+    # the n-th row takes the n-th number that no base has: the j-th used number moves on all rows from the (t - j + 1)-th
+    moves = blocks.ranked(taken, ["__of"], ["__t"], "__j").select("__of", (2 * (F.col("__t") - F.col("__j") + 1)).alias("__at"), F.lit(1).cast("bigint").alias("__u"))
+    rows = first.where(F.col(base).isNotNull() & (F.col("__n") > 1)).select(F.col(base).alias("__of"), (2 * F.col("__n").cast("bigint") + 1).alias("__at"), F.lit(0).cast("bigint").alias("__u"))
+    moved = blocks.running(moves.unionByName(rows), ["__of"], "__at", F.col("__u"), "__k").where("__u = 0 and __k > 0").select("__of", ((F.col("__at") - 1) / 2).cast("bigint").alias("__m"), "__k")
+    out = first.join(moved, (first[base] == moved["__of"]) & (first["__n"] == moved["__m"]), "left")
+    number = F.col("__n").cast("bigint") + F.coalesce("__k", F.lit(0))
+    return out.withColumn(name, F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), number.cast("string")))).drop("__n", "__of", "__m", "__k")
 
 
 def clip_numbers(clips: DataFrame, order: str) -> DataFrame:
@@ -56,13 +58,14 @@ def fingerprint(config: object, *, without: tuple[str, ...] = ("token", "formats
     return hashlib.sha1(json.dumps({k: v for k, v in plain.items() if k not in without}, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def reusable(wanted: DataFrame, state: DataFrame, files: DataFrame, mark: str | Column) -> DataFrame:
+def reusable(wanted: DataFrame, state: DataFrame, files: DataFrame, mark: str | Column, paths: DataFrame | None = None) -> DataFrame:
     """``source_id`` of the sources that need not be built again: built well under the same fingerprint, every file there.
 
-    state: source_id, fingerprint, ok, paths ARRAY<STRING>; files: path.
+    state: source_id, fingerprint, ok; paths: source_id, path, a row for each file, else state has paths ARRAY<STRING>; files: path.
     """
     good = state.where((F.col("fingerprint") == (F.lit(mark) if isinstance(mark, str) else mark)) & F.col("ok")).join(wanted.select("source_id").distinct(), "source_id", "left_semi")
-    missing = good.select("source_id", F.explode("paths").alias("path")).join(files.select("path").distinct(), "path", "left_anti").select("source_id").distinct()
+    own = good.select("source_id", F.explode("paths").alias("path")) if paths is None else paths.select("source_id", "path").where("path is not null")
+    missing = own.join(files.select("path").distinct(), "path", "left_anti").select("source_id").distinct()
     return good.select("source_id").distinct().join(missing, "source_id", "left_anti")
 
 

@@ -184,9 +184,9 @@ def measures(spark: SparkSession, d: str) -> DataFrame:
 def resume(spark: SparkSession, d: str) -> DataFrame:
     """Sources that need not be built again: verified as trainable by the model asked for, every clip on file."""
     v = read(spark, d, "verifications").distinct()
-    paths = _clips(spark, d).groupBy("source_id").agg(F.collect_set("audio_path").alias("paths"))
-    state = v.join(paths, "source_id").select("source_id", F.col("model").alias("fingerprint"), (F.col("verdict") == "trainable").alias("ok"), "paths")
-    return merge.reusable(_sources(spark, d), state, _files(spark, d), "whisper-small")
+    paths = _clips(spark, d).select("source_id", F.col("audio_path").alias("path"))
+    state = v.join(paths.select("source_id").distinct(), "source_id").select("source_id", F.col("model").alias("fingerprint"), (F.col("verdict") == "trainable").alias("ok"))
+    return merge.reusable(_sources(spark, d), state, _files(spark, d), "whisper-small", paths)
 
 
 def ljspeech_lines(spark: SparkSession, d: str) -> DataFrame:
