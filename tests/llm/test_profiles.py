@@ -132,3 +132,24 @@ def test_labels_lose_no_repetitive_text():
     exact = 2 * again >= words
     assert exact[0] and 100 < exact.sum() < len(texts)
     assert (repetition.repetitive(words, again, boiler) == exact).all()
+
+
+def test_samples_past_the_bound_leave_out_no_label(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(language, "fit", got.append)
+    monkeypatch.setattr(level, "fit", got.append)
+    many = spark.range(2_500).selectExpr("'de' as lang", "concat('a', id) as text", "1 as level")
+    few = spark.createDataFrame([("uk", "b", 5), ("uk", "c", 5), (None, "d", None), ("uk", None, 5)], "lang string, text string, level int")
+    profiles.language_model(many.unionByName(few), few.select("text"))
+    assert len(got[0]) == language.MOST_SAMPLES + 3 and got[0][1_998:] == [("uk", "b"), ("uk", "c"), ("en", "b"), ("en", "c"), ("en", "d")]
+    monkeypatch.setattr(level, "MOST_SAMPLES", 100)
+    profiles.level_model(many.unionByName(few))
+    assert len(got[1]) == 100 and got[1][98:] == [(5, "b"), (5, "c")]
+    # under the bound all rows come, in order
+    profiles.language_model(few)
+    assert got[2] == [("uk", "b"), ("uk", "c")]
+    monkeypatch.undo()
+    de, uk = [("de", f"Ein ganz gewöhnlicher Satz Nummer {i}.") for i in range(2_100)], [("uk", "Це звичайне речення про погоду.")] * 20
+    model = language.fit(de + uk, sequences=40, rounds=10)
+    (mark, _), _ = _decode(model, [uk[0][1]])
+    assert (mark == language.LANGS.index("uk")).all()

@@ -173,7 +173,7 @@ def _woven(samples: list[tuple[str, str]], n: int, length: int, rng: random.Rand
 def fit(samples: list[tuple[str, str]], *, sequences: int = 440, length: int = 60, rounds: int = 60, seed: int = 11) -> Model:
     """The field of highest penalized likelihood on woven sequences, by Adam. samples: (language, text)."""
     rng = random.Random(seed)
-    seqs = _woven(samples[:MOST_SAMPLES], sequences, length, rng)
+    seqs = _woven(samples, sequences, length, rng)
     k = len(LANGS)
     rows: dict[str, int] = {}
     x = np.array([[rows.setdefault(w, len(rows)) for w, _ in s] for s in seqs]).T

@@ -81,7 +81,6 @@ def unit_features(shapes: np.ndarray, unit: np.ndarray, form: np.ndarray) -> np.
 def fit(samples: list[tuple[int, str]], *, rounds: int = 400, ridge: float = 0.02) -> Model:
     """Proportional odds with a ridge, by Adam. samples: (level, text). Each text is read twice, as it is and
     without points and capitals, as some transcripts have neither."""
-    samples = samples[:MOST_SAMPLES]
     levels = sorted({lv for lv, _ in samples})
     count: dict[str, int] = {}
     for _, t in samples:

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewords.llm import language, level, repetition
@@ -18,17 +18,25 @@ from tidewords.llm.tokens import held, per_row
 LANGS = language.LANGS
 
 
+def _samples(labelled: DataFrame, label: str, most: int) -> list[tuple]:
+    """Rows ``label, text`` in order, ``most`` at most: as many of each label as there is room for, chosen by hash."""
+    rows = labelled.where(f"{label} is not null and text is not null").select(label, "text")
+    over = Window.partitionBy(label).orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("__r", F.row_number().over(over)).where(F.col("__r") <= most)
+    return sorted((r[0], r[1]) for r in rows.orderBy("__r", label).limit(most).collect())
+
+
 def language_model(lang_samples: DataFrame, english: DataFrame | None = None) -> language.Model:
     """The field fitted on ``lang_samples (lang, text)`` and further ``english (text)``, language.MOST_SAMPLES texts of each at most."""
-    rows = [(r.lang, r.text) for r in lang_samples.where("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").limit(language.MOST_SAMPLES).collect()]
+    rows = _samples(lang_samples.where(F.col("lang").isin(*LANGS)), "lang", language.MOST_SAMPLES)
     if english is not None:
-        rows += [("en", r.text) for r in english.where("text is not null").select("text").orderBy("text").limit(language.MOST_SAMPLES).collect()]
+        rows += _samples(english.select(F.lit("en").alias("lang"), "text"), "lang", language.MOST_SAMPLES)
     return language.fit(rows)
 
 
 def level_model(level_samples: DataFrame) -> level.Model:
     """The regression fitted on ``level_samples (level, text)``, level.MOST_SAMPLES texts at most."""
-    return level.fit([(r.level, r.text) for r in level_samples.where("level is not null and text is not null").select("level", "text").orderBy("level", "text").limit(level.MOST_SAMPLES).collect()])
+    return level.fit(_samples(level_samples, "level", level.MOST_SAMPLES))
 
 
 def _list(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
