@@ -5,8 +5,8 @@ affixes, inner character n-grams, script and itself (lexicon); transitions betwe
 learned, one set inside sentences and one at their ends. Forward-backward gives every word the
 probability of each language: its label is the likeliest, its confidence that probability.
 
-The field is fitted on the labelled samples, at most ``MOST_SAMPLES`` texts, woven into mixed
-sequences. Each text is labelled where it lies; only word counts are ever shuffled.
+The field is fitted on the labelled samples, at most ``MOST_SAMPLES`` texts, woven into mixed sequences;
+its languages are those of the samples. Each text is labelled where it lies; only word counts are ever shuffled.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import numpy as np
 
 from tidewords.llm.charforms import canonical
 
-LANGS = ("de", "el", "en", "es", "fr", "it", "nl", "pt", "ru", "tr", "uk")
 #: Labelled texts used for fitting at most.
 MOST_SAMPLES = 2_000
 BITS = 15
-CHUNK, CONTEXT = 160, 20
+#: Words of a chunk. Texts of any length are decoded exactly: messages go on from chunk to chunk until none moves by TOLERANCE.
+CHUNK, TOLERANCE = 160, 1e-6
 
 # Names, and codes of three letters, of the languages.
 NAMES = {"german": "de", "deutsch": "de", "greek": "el", "english": "en", "spanish": "es", "french": "fr", "italian": "it", "dutch": "nl", "portuguese": "pt", "russian": "ru", "turkish": "tr", "ukrainian": "uk"}
@@ -67,12 +67,13 @@ def ends_sentence(tokens: list[str]) -> np.ndarray:
 class Model:
     """Weights of the field: features by language, and transitions inside and between sentences."""
 
-    def __init__(self, weights: np.ndarray, inside: np.ndarray, between: np.ndarray):
+    def __init__(self, langs: tuple[str, ...], weights: np.ndarray, inside: np.ndarray, between: np.ndarray):
+        self.langs = langs
         self.weights, self.inside, self.between = weights.astype(np.float32), inside.astype(np.float32), between.astype(np.float32)
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """exp of the emission scores of tokens, scaled to a largest value of one."""
-        out = np.zeros((len(tokens), len(LANGS)), np.float32)
+        out = np.zeros((len(tokens), len(self.langs)), np.float32)
         for i, t in enumerate(tokens):
             if f := features(t):
                 out[i] = self.weights[f].sum(0) / len(f) ** 0.5
@@ -103,60 +104,104 @@ def _forward_backward(e: np.ndarray, cut: np.ndarray, inside: np.ndarray, betwee
     return fwd, bwd
 
 
-def decode(model: Model, score: np.ndarray, ends: np.ndarray, tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label and confidence of every token. score, ends: by token row; tokens: rows of all texts one after another.
+def _chained(first: np.ndarray, size: np.ndarray, linked: np.ndarray, follower: np.ndarray, work) -> None:
+    """Runs ``work(chunks, step, again)`` over the steps of all chunks: at first each from its own border, then on from the
+    chunk it is linked to, as long as messages move. work gives which of its chunks moved by TOLERANCE or more.
 
-    Long texts are read in chunks of CHUNK words with CONTEXT words on both sides: all words count,
-    and what lies farther away than the context no longer moves a probability.
+    linked: which chunks have one before them in the direction of travel; follower: the next chunk in that direction, -1 for none.
     """
-    total = int(lens.sum())
-    label, sure = np.zeros(total, np.int64), np.zeros(total, np.float32)
-    if not total:
-        return label, sure
-    first = np.cumsum(lens) - lens
-    chunks = np.maximum(1, -(-lens // CHUNK)) * (lens > 0)
+    todo, again = np.arange(len(first)), False
+    while len(todo):
+        act, ends = todo, []
+        for t in range(int(size[todo].max())):
+            act = act[size[act] > t]
+            if not len(act):
+                break
+            act = act[work(act, t, again)]
+            ends.append(act[size[act] == t + 1])
+        if again:
+            late = np.concatenate(ends) if ends else act
+            todo = follower[late]
+            todo = todo[todo >= 0]
+        else:
+            todo, again = np.flatnonzero(linked), True
+
+
+def _marginals(e: np.ndarray, cut: np.ndarray, inside: np.ndarray, between: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Probability of each language at each word. e: (word, language), texts one after another; cut: a sentence ended before."""
+    chunks = -(-lens // CHUNK)
+    total = int(chunks.sum())
     doc = np.repeat(np.arange(len(lens)), chunks)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    own_a, own_b = k * CHUNK, np.minimum((k + 1) * CHUNK, lens[doc])
-    a, b = np.maximum(0, own_a - CONTEXT), np.minimum(lens[doc], own_b + CONTEXT)
-    order = np.argsort(b - a, kind="stable")
-    group = max(1, 400_000 // (CHUNK + 2 * CONTEXT))
-    for g in range(0, len(order), group):
-        at = order[g : g + group]
-        size = (b - a)[at]
-        width = int(size.max())
-        t = np.arange(width)[:, None]
-        inside = t < size
-        pos = np.where(inside, first[doc[at]] + a[at] + t, 0)
-        row = tokens[pos]
-        e = score[row]
-        e[~inside] = 1
-        cut = np.zeros(pos.shape, bool)
-        cut[1:] = ends[row[:-1]]
-        fwd, bwd = _forward_backward(e, cut, model.inside, model.between)
-        fwd *= bwd
-        best = fwd.argmax(2)
-        conf = np.take_along_axis(fwd, best[..., None], 2)[..., 0] / fwd.sum(2)
-        mine = inside & (t >= (own_a - a)[at]) & (t < (own_b - a)[at])
-        label[pos[mine]], sure[pos[mine]] = best[mine], conf[mine]
-    return label, sure
-
-
-def _woven(samples: list[tuple[str, str]], n: int, length: int, rng: random.Random) -> list[list[tuple[str, int]]]:
+    k = np.arange(total) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    first = (np.cumsum(lens) - lens)[doc] + k * CHUNK
+    size = np.minimum(CHUNK, lens[doc] - k * CHUNK)
+    ids = np.arange(total)
+    before, after = np.where(k > 0, ids - 1, -1), np.where(k + 1 < chunks[doc], ids + 1, -1)
+    fwd, bwd = np.empty_like(e), np.empty_like(e)
+
+    def step(x: np.ndarray, cuts: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out = x @ one
+        if cuts.any():
+            out[cuts] = x[cuts] @ two
+        return out
+
+    def store(into: np.ndarray, at: np.ndarray, f: np.ndarray, again: bool) -> np.ndarray:
+        moved = np.abs(into[at] - f).max(1) >= TOLERANCE if again else np.ones(len(at), bool)
+        into[at] = f
+        return moved
+
+    def forward(act: np.ndarray, t: int, again: bool) -> np.ndarray:
+        at = first[act] + t
+        if t:
+            f = step(fwd[at - 1], cut[at], inside, between) * e[at]
+        else:
+            f = e[at].copy()
+            if again:
+                f *= step(fwd[at - 1], cut[at], inside, between)
+        return store(fwd, at, f / f.sum(1, keepdims=True), again)
+
+    back_in, back_bt = np.ascontiguousarray(inside.T), np.ascontiguousarray(between.T)
+
+    def backward(act: np.ndarray, t: int, again: bool) -> np.ndarray:
+        at = first[act] + size[act] - 1 - t
+        if t or again:
+            b = step(bwd[at + 1] * e[at + 1], cut[at + 1], back_in, back_bt)
+        else:
+            b = np.ones((len(at), e.shape[1]), e.dtype)
+        return store(bwd, at, b / b.max(1, keepdims=True), again)
+
+    _chained(first, size, before >= 0, after, forward)
+    _chained(first, size, after >= 0, before, backward)
+    fwd *= bwd
+    fwd /= fwd.sum(1, keepdims=True)
+    return fwd
+
+
+def decode(model: Model, score: np.ndarray, ends: np.ndarray, tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label and confidence of every token. score, ends: by token row; tokens: rows of all texts one after another."""
+    if not int(lens.sum()):
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    cut = np.zeros(len(tokens), bool)
+    cut[1:] = ends[tokens[:-1]]
+    p = _marginals(score[tokens], cut, model.inside, model.between, lens)
+    best = p.argmax(1)
+    return best, np.take_along_axis(p, best[:, None], 1)[:, 0]
+
+
+def _woven(samples: list[tuple[str, str]], langs: tuple[str, ...], n: int, length: int, rng: random.Random) -> list[list[tuple[str, int]]]:
     """Mixed sequences: runs of sentences of one to three languages, some without points and capitals."""
     by: dict[int, list[list[str]]] = {}
     for lang, text in samples:
-        if lang in LANGS:
-            for s in re.split(r"(?<=[.!?;])\s+", canonical(text)):
-                if s.split():
-                    by.setdefault(LANGS.index(lang), []).append(s.split())
+        for s in re.split(r"(?<=[.!?;])\s+", canonical(text)):
+            if s.split():
+                by.setdefault(langs.index(lang), []).append(s.split())
     out = []
     for _ in range(n):
         seq: list[tuple[str, int]] = []
-        langs = rng.sample(sorted(by), min(len(by), rng.choice((1, 2, 2, 3))))
+        spoken = rng.sample(sorted(by), min(len(by), rng.choice((1, 2, 2, 3))))
         bare = rng.random() < 0.3
         while len(seq) < length:
-            lang = rng.choice(langs)
+            lang = rng.choice(spoken)
             for _ in range(rng.randint(1, 4)):
                 s = list(rng.choice(by[lang]))
                 if rng.random() < 0.2:  # sentences are cut by captions
@@ -170,11 +215,16 @@ def _woven(samples: list[tuple[str, str]], n: int, length: int, rng: random.Rand
     return out
 
 
-def fit(samples: list[tuple[str, str]], *, sequences: int = 440, length: int = 60, rounds: int = 60, seed: int = 11) -> Model:
-    """The field of highest penalized likelihood on woven sequences, by Adam. samples: (language, text)."""
+def fit(samples: list[tuple[str, str]], *, sequences: int = 660, length: int = 120, rounds: int = 30, seed: int = 11, ridge: float = 0.3) -> Model:
+    """The field of highest penalized likelihood on woven sequences, by Adam. samples: (language, text); each language
+    with a text is one of the field's. Without any it is an error."""
     rng = random.Random(seed)
-    seqs = _woven(samples, sequences, length, rng)
-    k = len(LANGS)
+    samples = [(lang, text) for lang, text in samples if text.split()]
+    langs = tuple(sorted({lang for lang, _ in samples}))
+    if not langs:
+        raise ValueError("no labelled texts to fit the languages on")
+    seqs = _woven(samples, langs, sequences, length, rng)
+    k = len(langs)
     rows: dict[str, int] = {}
     x = np.array([[rows.setdefault(w, len(rows)) for w, _ in s] for s in seqs]).T
     y = np.array([[lang for _, lang in s] for s in seqs]).T
@@ -208,17 +258,17 @@ def fit(samples: list[tuple[str, str]], *, sequences: int = 440, length: int = 6
         flat = x.ravel()
         exp_w = np.stack([np.bincount(flat, p[..., j].ravel(), len(vocab)) for j in range(k)], 1)
         grad_tok = gold_w - exp_w
-        grads = [np.stack([np.bincount(f_all, grad_tok[owner, j] * keep, len(used)) for j in range(k)], 1) - 0.3 * w]
+        grads = [np.stack([np.bincount(f_all, grad_tok[owner, j] * keep, len(used)) for j in range(k)], 1) - ridge * w]
         right = e[1:] * bwd[1:]
         for j in (0, 1):
             m = cut[1:] == bool(j)
             left, r = fwd[:-1][m], right[m]
             z = np.einsum("ni,ij,nj->n", left, tr[j], r)
-            grads.append(pairs[j] - tr[j] * (left.T @ (r / z[:, None])) - 0.3 * trans[j])
+            grads.append(pairs[j] - tr[j] * (left.T @ (r / z[:, None])) - ridge * trans[j])
         for p_, g, s in zip((w, *trans), grads, state, strict=True):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.99 * s[1] + 0.01 * g * g
             p_ += 0.15 * (s[0] / (1 - 0.9**it)) / (np.sqrt(s[1] / (1 - 0.99**it)) + 1e-8)
     full = np.zeros((1 << BITS, k))
     full[used] = w
-    return Model(full, np.exp(trans[0] - trans[0].max()), np.exp(trans[1] - trans[1].max()))
+    return Model(langs, full, np.exp(trans[0] - trans[0].max()), np.exp(trans[1] - trans[1].max()))

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from tidewords.llm import language, level, repetition
 from tidewords.llm.tokens import held, per_row
 
-LANGS = language.LANGS
-
 
 def _samples(labelled: DataFrame, label: str, most: int) -> list[tuple]:
     """Rows ``label, text`` in order, ``most`` at most: as many of each label as there is room for, chosen by hash."""
@@ -27,8 +25,9 @@ def _samples(labelled: DataFrame, label: str, most: int) -> list[tuple]:
 
 
 def language_model(lang_samples: DataFrame, english: DataFrame | None = None) -> language.Model:
-    """The field fitted on ``lang_samples (lang, text)`` and further ``english (text)``, language.MOST_SAMPLES texts of each at most."""
-    rows = _samples(lang_samples.where(F.col("lang").isin(*LANGS)), "lang", language.MOST_SAMPLES)
+    """The field fitted on ``lang_samples (lang, text)`` and further ``english (text)``, language.MOST_SAMPLES texts of each
+    at most. Its languages are those of the samples."""
+    rows = _samples(lang_samples, "lang", language.MOST_SAMPLES)
     if english is not None:
         rows += _samples(english.select(F.lit("en").alias("lang"), "text"), "lang", language.MOST_SAMPLES)
     return language.fit(rows)
@@ -39,17 +38,22 @@ def level_model(level_samples: DataFrame) -> level.Model:
     return level.fit(_samples(level_samples, "level", level.MOST_SAMPLES))
 
 
+def repetition_field(samples: DataFrame) -> repetition.Field:
+    """The field of :mod:`repetition`, fitted on texts of ``samples (lang, text)``, language.MOST_SAMPLES at most."""
+    return repetition.fit([t for _, t in _samples(samples, "lang", language.MOST_SAMPLES)])
+
+
 def _list(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
     n, k = rows.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(rows.ravel(), kind))
 
 
-def profiled(df: DataFrame, keep: list[str], text: str = "text", *, lang: language.Model | None = None, grade: level.Model | None = None, repeats: bool = True, label: str | None = None, stretches: bool = False) -> DataFrame:
+def profiled(df: DataFrame, keep: list[str], text: str = "text", *, lang: language.Model | None = None, grade: level.Model | None = None, repeats: repetition.Field | None = None, label: str | None = None, stretches: bool = False) -> DataFrame:
     """``keep`` columns of df and of each row's text:
 
     words BIGINT            tokens parted by white space
-    forms, again BIGINT     words and repeated words after :mod:`repetition`, boiler DOUBLE, repetitive BOOLEAN
-    langs ARRAY<BIGINT>     words by language in the order of LANGS; sure ARRAY<DOUBLE> their mean confidence
+    forms, again BIGINT     words and repeated words after :mod:`repetition`, boiler DOUBLE, kept and repetitive BOOLEAN
+    langs ARRAY<BIGINT>     words by language in the order of the model's; sure ARRAY<DOUBLE> their mean confidence
     levels ARRAY<BIGINT>    words by reading level
     code STRING             two-letter code of the label column, null where it says nothing
     stretches ARRAY<...>    runs of one language: first token, tokens, language, mean confidence
@@ -59,11 +63,11 @@ def profiled(df: DataFrame, keep: list[str], text: str = "text", *, lang: langua
     not name a result.
     """
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast((lang, grade))
+    sent = spark.sparkContext.broadcast((lang, grade, repeats))
     key = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"
     fields = {"words": "bigint"}
     if repeats:
-        fields |= {"forms": "bigint", "again": "bigint", "boiler": "double", "repetitive": "boolean"}
+        fields |= {"forms": "bigint", "again": "bigint", "boiler": "double", "kept": "boolean", "repetitive": "boolean"}
     if lang:
         fields |= {"langs": "array<bigint>", "sure": "array<double>"}
     if grade:
@@ -74,24 +78,25 @@ def profiled(df: DataFrame, keep: list[str], text: str = "text", *, lang: langua
         fields |= {"stretches": "array<struct<first:bigint,size:bigint,lang:string,sure:double>>"}
 
     def work(texts: list[str | None], batch: pa.RecordBatch) -> list[pa.Array]:
-        lm, gm = sent.value
-        table = held(key, lambda: ({"score": lm.scores, "ends": language.ends_sentence} if lm else {}) | (gm.columns() if gm else {}))
+        lm, gm, field = sent.value
+        table = held(key, lambda: ({"score": lm.scores, "ends": language.ends_sentence} if lm else {}) | (gm.columns() if gm else {}) | (repetition.columns() if field else {}))
         rows, lens = table.encode(texts)
         out: list[pa.Array] = [pa.array(lens)]
         form = table.column("form")[rows]
-        if repeats:
-            words, again, boiler = repetition.measure(form, lens)
-            out += [pa.array(words), pa.array(again), pa.array(boiler), pa.array(repetition.repetitive(words, again, boiler))]
+        if field:
+            words, again, boiler = repetition.measure(field, form, table.column("ends")[rows], table.column("points")[rows], lens)
+            out += [pa.array(words), pa.array(again), pa.array(boiler), pa.array(repetition.retained(boiler)), pa.array(repetition.repetitive(words, again, boiler))]
         if lm:
             ends = table.column("ends")
             mark, sure = language.decode(lm, table.column("score"), ends, rows, lens)
             doc = np.repeat(np.arange(len(lens)), lens)
-            cell = doc * len(LANGS) + mark
-            count = np.bincount(cell, minlength=len(lens) * len(LANGS)).reshape(len(lens), -1)
-            mean = np.bincount(cell, sure, minlength=len(lens) * len(LANGS)).reshape(len(lens), -1) / np.maximum(count, 1)
+            cells = len(lens) * len(lm.langs)
+            cell = doc * len(lm.langs) + mark
+            count = np.bincount(cell, minlength=cells).reshape(len(lens), -1)
+            mean = np.bincount(cell, sure, minlength=cells).reshape(len(lens), -1) / np.maximum(count, 1)
             out += [_list(count, pa.int64()), _list(mean, pa.float64())]
         if gm:
-            by = level.levels(gm, table.column("shape")[rows], ends[rows], form, mark != LANGS.index("en"), lens)
+            by = level.levels(gm, table.column("shape")[rows], ends[rows], form, mark != (lm.langs.index("en") if "en" in lm.langs else -1), lens)
             out.append(_list(by.astype(np.int64), pa.int64()))
         if label:
             code = lru_cache(maxsize=10_000)(language.label_code)
@@ -102,7 +107,7 @@ def profiled(df: DataFrame, keep: list[str], text: str = "text", *, lang: langua
             size = np.diff([*at, len(mark)])
             conf = np.add.reduceat(sure, at) / size if len(at) else np.zeros(0)
             first = at - (np.cumsum(lens) - lens)[doc[at]] if len(at) else at
-            runs = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(LANGS, object)[mark[at]], pa.string()), pa.array(conf, pa.float64())], ["first", "size", "lang", "sure"])
+            runs = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(lm.langs, object)[mark[at]], pa.string()), pa.array(conf, pa.float64())], ["first", "size", "lang", "sure"])
             ends_at = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(lens)))])
             out.append(pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), runs))
         return out
@@ -112,10 +117,10 @@ def profiled(df: DataFrame, keep: list[str], text: str = "text", *, lang: langua
     return df.select(*cols).mapInArrow(per_row(keep, text, list(fields), work), schema)
 
 
-def large(langs: Column, share: float = 0.2) -> Column:
+def large(langs: Column, names: tuple[str, ...], share: float = 0.2) -> Column:
     """Array of the languages, as structs of name and words, that make up at least ``share`` of the words."""
     total = F.aggregate(langs, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    named = F.zip_with(F.array(*[F.lit(x) for x in LANGS]), langs, lambda name, n: F.struct(name.alias("lang"), n.alias("n")))
+    named = F.zip_with(F.array(*[F.lit(x) for x in names]), langs, lambda name, n: F.struct(name.alias("lang"), n.alias("n")))
     return F.filter(named, lambda x: (x["n"] > 0) & (x["n"] >= share * total))
 
 
@@ -124,10 +129,10 @@ def by_source(paragraphs: DataFrame, lang: language.Model) -> DataFrame:
 
     The texts stay; only counts are shuffled, summed before, so that a hot source costs no more than others.
     """
-    counts = profiled(paragraphs, ["source_id", "para_no"], lang=lang, repeats=False)
+    counts = profiled(paragraphs, ["source_id", "para_no"], lang=lang)
     counts = counts.groupBy("source_id", "para_no").agg(F.max(F.struct("words", "langs", "sure")).alias("r"))
-    sums = [F.sum(F.col("r.langs")[i]).alias(f"n{i}") for i in range(len(LANGS))]
-    return counts.groupBy("source_id").agg(*sums).select("source_id", F.array(*[F.col(f"n{i}") for i in range(len(LANGS))]).alias("langs"))
+    sums = [F.sum(F.col("r.langs")[i]).alias(f"n{i}") for i in range(len(lang.langs))]
+    return counts.groupBy("source_id").agg(*sums).select("source_id", F.array(*[F.col(f"n{i}") for i in range(len(lang.langs))]).alias("langs"))
 
 
 def level_of(levels: Column, scale: list[int]) -> Column:
@@ -136,7 +141,9 @@ def level_of(levels: Column, scale: list[int]) -> Column:
     return F.when(top > 0, F.element_at(F.array(*[F.lit(x) for x in scale]), F.array_position(levels, top).cast("int")))
 
 
-def models(spark: SparkSession, read, *, grade: bool = False) -> tuple[language.Model, level.Model | None]:
-    """Both models from the sample tables; ``read`` gives a table by name."""
+def models(spark: SparkSession, read, *, grade: bool = False) -> tuple[language.Model, level.Model | None, repetition.Field]:
+    """The models from the sample tables; ``read`` gives a table by name."""
     graded = read("level_samples")
-    return language_model(read("lang_samples"), graded), level_model(graded) if grade else None
+    rows = _samples(read("lang_samples"), "lang", language.MOST_SAMPLES)
+    english = _samples(graded.select(F.lit("en").alias("lang"), "text"), "lang", language.MOST_SAMPLES)
+    return language.fit(rows + english), level_model(graded) if grade else None, repetition.fit([t for _, t in rows])

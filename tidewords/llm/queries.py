@@ -37,18 +37,19 @@ def p1_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents, sources and clips that their labels miss or get wrong."""
     tables = lambda name: read(spark, sf_dir, name)
-    lang, _ = profiles.models(spark, tables)
+    lang, _, field = profiles.models(spark, tables)
+    large = lambda *share: profiles.large(F.col("langs"), lang.langs, *share)
     wrong = lambda tbl, df: df.where("code is null or size(big) > 1 or big[0].lang <> code").select(F.lit(tbl).alias("tbl"), "row_key", F.explode("big.lang").alias("lang"))
 
-    docs = profiles.profiled(tables("documents"), ["doc_id"], lang=lang, label="lang").where("words >= 20 and not repetitive")
-    docs = docs.select(at("doc_id").alias("row_key"), "code", profiles.large(F.col("langs")).alias("big"))
+    docs = profiles.profiled(tables("documents"), ["doc_id"], lang=lang, repeats=field, label="lang").where("words >= 20 and not repetitive")
+    docs = docs.select(at("doc_id").alias("row_key"), "code", large().alias("big"))
 
-    spoken = profiles.by_source(tables("paragraphs"), lang).select("source_id", profiles.large(F.col("langs")).alias("big"))
-    labels = profiles.profiled(tables("sources"), ["source_id"], "source_id", repeats=False, label="language").groupBy("source_id").agg(F.max("code").alias("code"))
+    spoken = profiles.by_source(tables("paragraphs"), lang).select("source_id", large().alias("big"))
+    labels = profiles.profiled(tables("sources"), ["source_id"], "source_id", label="language").groupBy("source_id").agg(F.max("code").alias("code"))
     sources = spoken.join(labels, "source_id").select(F.col("source_id").alias("row_key"), "code", "big")
 
-    clips = profiles.profiled(tables("clips"), ["id", "source_id"], lang=lang).where("words >= 8 and not repetitive")
-    top = F.array_max(F.transform(profiles.large(F.col("langs"), 0), lambda x: F.struct(x["n"], x["lang"])))["lang"]
+    clips = profiles.profiled(tables("clips"), ["id", "source_id"], lang=lang, repeats=field).where("words >= 8 and not repetitive")
+    top = F.array_max(F.transform(large(0), lambda x: F.struct(x["n"], x["lang"])))["lang"]
     clips = clips.select("id", "source_id", top.alias("lang")).join(spoken.where("size(big) = 1"), "source_id").where("lang <> big[0].lang")
     clips = clips.select(F.lit("clips").alias("tbl"), F.col("id").alias("row_key"), "lang").distinct()
     return wrong("documents", docs).unionByName(wrong("sources", sources)).unionByName(clips)
@@ -57,13 +58,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of one language in every document: first word, words, language, confidence."""
     tables = lambda name: read(spark, sf_dir, name)
-    runs = profiles.profiled(tables("documents"), ["doc_id"], lang=profiles.models(spark, tables)[0], repeats=False, stretches=True)
+    runs = profiles.profiled(tables("documents"), ["doc_id"], lang=profiles.models(spark, tables)[0], stretches=True)
     return runs.select("doc_id", F.inline("stretches"))
 
 
 def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [keyed(spark, sf_dir, t, "text") for t in ("documents", "clips", "segments")]
-    return profiles.profiled(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["tbl", "row_key"])
+    return profiles.profiled(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["tbl", "row_key"], repeats=profiles.repetition_field(read(spark, sf_dir, "lang_samples")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,17 +73,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of repeated words of every record, and of words in lines labelled content."""
-    out = _repetition(spark, sf_dir).select("tbl", "row_key", F.col("forms").alias("words"), F.coalesce(F.expr("again / nullif(forms, 0)"), F.lit(0.0)).alias("repeated"), (1 - F.col("boiler")).alias("content"), (~F.col("repetitive")).alias("keep"))
+    """Share of repeated words of every record with boilerplate lines, share of words in content lines, which decides what is kept."""
+    out = _repetition(spark, sf_dir).select("tbl", "row_key", F.col("forms").alias("words"), F.coalesce(F.expr("again / nullif(forms, 0)"), F.lit(0.0)).alias("repeated"), (1 - F.col("boiler")).alias("content"), F.col("kept").alias("keep"))
     return out.distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading level of each document that is in English only."""
     tables = lambda name: read(spark, sf_dir, name)
-    lang, grade = profiles.models(spark, tables, grade=True)
-    docs = profiles.profiled(tables("documents"), ["doc_id"], lang=lang, grade=grade).where("words >= 60 and not repetitive")
-    big = profiles.large(F.col("langs"))
+    lang, grade, field = profiles.models(spark, tables, grade=True)
+    docs = profiles.profiled(tables("documents"), ["doc_id"], lang=lang, grade=grade, repeats=field).where("words >= 60 and not repetitive")
+    big = profiles.large(F.col("langs"), lang.langs)
     docs = docs.where((F.size(big) == 1) & (big[0]["lang"] == "en"))
     return docs.select("doc_id", profiles.level_of(F.col("levels"), grade.levels).cast("int").alias("level")).where("level is not null")
 
