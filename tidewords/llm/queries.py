@@ -115,13 +115,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that open a speaker's turn."""
-    said = turns.with_turns(read(spark, sf_dir, "segments"), read(spark, sf_dir, "turns"))
-    return said.where("opens").select("source_id", "pos")
+    return turns.openings(read(spark, sf_dir, "segments"), read(spark, sf_dir, "turns"))
 
 
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All speech in order: turn, speaker and clean text of every spoken segment."""
-    said = turns.with_turns(read(spark, sf_dir, "segments"), read(spark, sf_dir, "turns"), text=True)
+    said = turns.with_turns(read(spark, sf_dir, "segments"), read(spark, sf_dir, "turns"))
     return turns.numbered(said).select("source_id", "turn_no", "pos", "speaker", "start_s", "end_s", "text")
 
 
