@@ -1,69 +1,134 @@
 """Oversized items cut into pieces within a limit, at natural boundaries, with an overlap.
 
-Method: structure-tree packing. An item's words are the leaves of a tree: lines, then sentences or
-pauses of speech, then clauses or short pauses, then words. Only subtrees that are too large are gone
-down into; on the way up each subtree is merged with the siblings before it as long as they fit.
-What is packed is at most the limit less the overlap; every piece but the first then also takes the
-overlap from the end of the piece before.
+Method: structure-tree packing. A text is parsed into a tree: sections under headings, blocks and list items nested as they
+are, lines, sentences, clauses, words; timed words into pauses, sentences, short pauses and clauses, words. Only subtrees
+that are too large are gone down into; on the way up sibling subtrees are merged as long as they fit. A heading or a bullet
+stays with what follows it. What is packed is at most the limit less the overlap; every piece but the first then also takes
+the overlap, exactly, from the end of the piece before: words of a text, milliseconds of a timed item.
 
 Spark measures the items and sends only those over the limit to Python, row by row; no shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seconds without a word that part speech like the end of a sentence, or of a clause.
-PAUSE, SHORT_PAUSE = 0.6, 0.25
+#: Milliseconds without a word that part speech like the end of a sentence, or of a clause.
+PAUSE, SHORT_PAUSE = 600, 250
+#: Depths of boundaries: headings have 1 to 6, items of lists ITEM and what they are nested.
+BLOCK, ITEM, LINE, SENTENCE, CLAUSE, WORD, GLUED = 7, 8, 16, 17, 18, 19, 20
 
 _SENTENCE = re.compile(r"[.!?…。][\"'”’)\]]*$")
 _CLAUSE = re.compile(r"[,;:—–][\"'”’)\]]*$")
-_BULLET = re.compile(r"(?:[-*•#]+|\d+[.)])$")
+_MARK = re.compile(r"(?:[-*+•]|\d{1,3}[.)])$")
+_HEADING = re.compile(r"#{1,6}$")
+_TAG = re.compile(r"<(/?)(h[1-6]|p|div|section|article|blockquote|pre|table|tr|ul|ol|li|hr)\b[^>]*>?", re.IGNORECASE)
 
 
-def pack(a: int, b: int, cuts: list[int], size: Callable[[int, int], float], most: float, level: int = 0) -> list[tuple[int, int]]:
-    """Ranges of the leaves a..b of at most ``most``. cuts[i]: level of the boundary before leaf i, 0 the strongest;
-    a single leaf is never divided."""
-    if b - a <= 1 or size(a, b) <= most:
-        return [(a, b)]
-    at = [a, *(i for i in range(a + 1, b) if cuts[i] <= level), b]
-    if len(at) == 2:
-        return pack(a, b, cuts, size, most, level + 1)
+@dataclass
+class Node:
+    """Leaves ``a`` to ``b`` of a tree; ``loose`` nodes are parts of running text, whose pieces may join those beside them."""
+
+    a: int
+    b: int
+    loose: bool
+    children: list[Node] = field(default_factory=list)
+
+
+def tree(depth: list[int]) -> Node:
+    """The tree of leaves whose boundaries have these depths. depth[i]: of the boundary before leaf i; depth[0] counts for nothing."""
+    n = len(depth)
+    levels = sorted({d for d in depth[1:]})
+
+    def node(a: int, b: int, k: int) -> Node:
+        while k < len(levels) and b - a > 1:
+            at = [a, *(i for i in places[levels[k]][bisect.bisect_right(places[levels[k]], a) : bisect.bisect_left(places[levels[k]], b)]), b]
+            if len(at) > 2:
+                return Node(a, b, levels[k] >= LINE, [node(x, y, k + 1) for x, y in zip(at, at[1:], strict=False)])
+            k += 1
+        return Node(a, b, True)
+
+    places: dict[int, list[int]] = {d: [] for d in levels}
+    for i in range(1, n):
+        places[depth[i]].append(i)
+    return node(0, n, 0)
+
+
+def pack(top: Node, size: Callable[[int, int], float], most: float) -> list[tuple[int, int]]:
+    """Ranges of leaves of at most ``most``; a single leaf is never divided."""
+    if not top.children or size(top.a, top.b) <= most:
+        return [(top.a, top.b)]
     out: list[tuple[int, int]] = []
-    for x, y in zip(at, at[1:], strict=False):
-        for a, b in pack(x, y, cuts, size, most, level + 1):
-            if out and size(out[-1][0], b) <= most:  # a sibling that still fits
+    joins = False  # whether the last range may take in what follows
+    for child in top.children:
+        fits = size(child.a, child.b) <= most
+        for a, b in [(child.a, child.b)] if fits else pack(child, size, most):
+            if out and joins and (fits or top.loose) and size(out[-1][0], b) <= most:
                 out[-1] = (out[-1][0], b)
             else:
                 out.append((a, b))
+            joins = fits or top.loose
     return out
 
 
-def _strength(before: str, newline: bool) -> int:
-    if newline:
-        return 0
-    return 1 if _SENTENCE.search(before) else 2 if _CLAUSE.search(before) else 3
+def _ending(before: str) -> int:
+    return SENTENCE if _SENTENCE.search(before) else CLAUSE if _CLAUSE.search(before) else WORD
 
 
-def cut_text(text: str, most: int, overlap: int) -> list[tuple[int, int, str]]:
-    """First word, words and text of each piece; one piece if the text is within the limit."""
-    words, cuts, spans, last = [], [], [], 0
+def depths(text: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """Where each word stands, and the depth of the boundary before it."""
+    spans: list[tuple[int, int]] = []
+    out: list[int] = []
+    indents: list[int] = []  # of the list items that are open
+    lists, hold, last = 0, "", 0  # hold: what the next word stays with, a heading's line or tags, or the word before
     for m in re.finditer(r"\S+", text):
-        gap = text[last : m.start()]
-        cuts.append(_strength(words[-1], "\n" in gap or _BULLET.fullmatch(m[0]) is not None) if words else 0)
-        words.append(m[0])
+        w, gap = m[0], text[last : m.start()]
+        opens = not spans or "\n" in gap
+        indent = len(gap.rsplit("\n", 1)[-1].expandtabs(4)) if opens else 0
+        blank = gap.count("\n") > 1
+        if blank and not indent:
+            indents = []
+        held = hold != ""
+        if hold == "word" or hold == "line" and opens:
+            hold = ""
+        depth = BLOCK if blank else LINE if opens else _ending(text[slice(*spans[-1])])
+        if opens and _HEADING.fullmatch(w):
+            depth, hold, indents = len(w), "line", []
+        elif (opens or w == "•") and _MARK.fullmatch(w):
+            while indents and indents[-1] >= indent:
+                indents.pop()
+            indents.append(indent)
+            depth, hold = min(ITEM + len(indents) - 1, LINE - 1), hold or "word"
+        for tag in _TAG.finditer(w):
+            closes, name = tag[1] == "/", tag[2].lower()
+            if name in ("ul", "ol"):
+                lists = max(0, lists - 1 if closes else lists + 1)
+            if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                hold = "word" if closes else "tag"
+            if not closes:
+                own = int(name[1]) if hold == "tag" and name[1:].isdigit() else min(ITEM + max(0, lists - 1), LINE - 1) if name in ("li", "ul", "ol") else BLOCK
+                depth = min(depth, own)
         spans.append(m.span())
+        out.append(GLUED if held else depth)
         last = m.end()
-    if len(words) <= most:
-        return [(0, len(words), text.strip())]
+    return spans, out
+
+
+def cut_text(text: str, most: int, overlap: int) -> list[tuple[int, int, str]]:
+    """First word, words and text of each piece; one piece if the text is within the limit."""
+    spans, depth = depths(text)
+    if len(spans) <= most:
+        return [(0, len(spans), text.strip())]
     out = []
-    for a, b in pack(0, len(words), cuts, lambda x, y: y - x, max(1, most - overlap)):
+    for a, b in pack(tree(depth), lambda x, y: y - x, most - overlap):
         a = max(0, a - overlap) if a else 0
         out.append((a, b - a, text[spans[a][0] : spans[b - 1][1]]))
     return out
@@ -73,51 +138,59 @@ def usable(w: dict | None) -> bool:
     return bool(w) and w["start_s"] is not None and w["end_s"] is not None and math.isfinite(w["start_s"]) and math.isfinite(w["end_s"]) and w["end_s"] >= w["start_s"]
 
 
+def _ms(seconds: float | None) -> int | None:
+    return round(seconds * 1000) if seconds is not None and math.isfinite(seconds) else None
+
+
 def cut_timed(text: str | None, start: float | None, end: float | None, words: list[dict] | None, most: float, overlap: float) -> list[tuple[float, float, str]]:
-    """Start, end and text of each piece of a timed item.
+    """Start, end and text of each piece of a timed item, in whole milliseconds.
 
-    Words without usable times keep their place beside the word before. Without any usable word the
-    item's text is spread evenly over its span. A word longer than a piece may be is cut by time, its
-    text in the first part.
+    The pieces cover the item from its start to its end (where one is unknown, from the first usable word or to the last);
+    each begins ``overlap`` before the one before it ends. Cuts lie amid pauses, else between words; a word, or a
+    silence, that is longer than a piece may be is cut by time. A piece's text are the words that begin in it. Words without
+    usable times keep their place beside the word before. Without any usable word the text is spread evenly.
     """
-    room = most - overlap
-    leaves: list[list] = []  # start, end, text
+    room, lap = round(most * 1000) - round(overlap * 1000), round(overlap * 1000)
+    heard: list[list] = []  # start, end, text
     lead = ""
     for w in words or ():
         said = ((w or {}).get("text") or "").strip()
         if usable(w):
-            leaves.append([w["start_s"], w["end_s"], f"{lead} {said}".strip()])
+            heard.append([_ms(w["start_s"]), _ms(w["end_s"]), f"{lead} {said}".strip()])
             lead = ""
-        elif said and leaves:
-            leaves[-1][2] = f"{leaves[-1][2]} {said}".strip()
+        elif said and heard:
+            heard[-1][2] = f"{heard[-1][2]} {said}".strip()
         elif said:
             lead = f"{lead} {said}".strip()
-    if not leaves:
-        if start is None or end is None or not (math.isfinite(start) and math.isfinite(end)) or end < start:
-            return []
+    heard.sort(key=lambda x: (x[0], x[1]))
+    own = _ms(start) is not None and _ms(end) is not None
+    first = _ms(start) if own else heard[0][0] if heard else None
+    stop = _ms(end) if own else max(x[1] for x in heard) if heard else None
+    if first is None or stop < first:
+        return []
+    if not heard:
         said = (text or "").split() or [""]
-        step = (end - start) / len(said)
-        leaves = [[start + i * step, start + (i + 1) * step, w] for i, w in enumerate(said)]
-    leaves.sort(key=lambda x: (x[0], x[1]))
-    fine: list[list] = []
-    for a, b, w in leaves:
-        parts = max(1, math.ceil((b - a) / room - 1e-9))
-        fine += [[a + (b - a) * k / parts, a + (b - a) * (k + 1) / parts, w if k == 0 else ""] for k in range(parts)]
-    reach = [fine[0][1]]
-    for _, b, _ in fine[1:]:
-        reach.append(max(reach[-1], b))
-    cuts = [0]
-    for i in range(1, len(fine)):
-        gap = fine[i][0] - reach[i - 1]
-        by_text = _strength(fine[i - 1][2], False)
-        cuts.append(1 if gap >= PAUSE else min(by_text, 2) if gap >= SHORT_PAUSE else by_text)
-    size = lambda a, b: max(x[1] for x in fine[a:b]) - fine[a][0]
+        heard = [[first + (stop - first) * i // len(said), first + (stop - first) * (i + 1) // len(said), w] for i, w in enumerate(said)]
+    edges, depth, reach = [first], [0], heard[0][1]
+    for (_, _, before), (a, b, _) in zip(heard, heard[1:], strict=False):
+        gap = a - reach
+        by_text = _ending(before)
+        edges.append(min(stop, max(edges[-1], (a + reach) // 2 if gap > 0 else a)))
+        depth.append(LINE if gap >= PAUSE else min(by_text, CLAUSE) if gap >= SHORT_PAUSE else by_text)
+        reach = max(reach, b)
+    fine, deep = [], []  # no leaf is longer than a piece may be
+    for a, b, d in zip(edges, [*edges[1:], stop], depth, strict=True):
+        parts = max(1, -(-(b - a) // room))
+        fine += [a + (b - a) * k // parts for k in range(parts)]
+        deep += [d, *[GLUED] * (parts - 1)]
+    fine.append(stop)
+    begins = [x[0] for x in heard]
     out = []
-    for a, b in pack(0, len(fine), cuts, size, room):
-        first = a
-        while first > 0 and fine[first - 1][0] >= fine[a][0] - overlap and size(first - 1, b) <= most:
-            first -= 1
-        out.append((fine[first][0], max(x[1] for x in fine[first:b]), " ".join(x[2] for x in fine[first:b] if x[2])))
+    for a, b in pack(tree(deep), lambda x, y: fine[y] - fine[x], room):
+        lo, hi = fine[a] - lap if a else fine[0], fine[b]
+        i = bisect.bisect_left(begins, lo) if a else 0
+        j = bisect.bisect_left(begins, hi) if b < len(fine) - 1 else len(begins)
+        out.append((lo / 1000, hi / 1000, " ".join(x[2] for x in heard[i:j] if x[2])))
     return out
 
 
@@ -176,5 +249,4 @@ def timed_pieces(df: DataFrame, keep: list[str], most: float, overlap: float) ->
         raise ValueError("the overlap must be less than the limit")
     over = df.where(duration_ms(F.col("start_s"), F.col("end_s"), F.col("words")) > round(most * 1000))
     over = over.select(*dict.fromkeys([*keep, "text", "start_s", "end_s", "words"]))
-    # a span that is over the limit only by silence has one piece
     return _emit(over, keep, lambda r: [(b - a, a, b, t) for a, b, t in cut_timed(r["text"], r["start_s"], r["end_s"], r["words"], most, overlap)])
