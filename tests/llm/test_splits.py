@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewords.llm import splits
@@ -74,9 +75,51 @@ def test_splits_keep_components_and_shares(spark):
         by.setdefault(i // 9, set()).add(got[f"c{i}"])
     assert all(len(v) == 1 for v in by.values())
     share = sum(v == "train" for v in got.values()) / len(got)
-    assert abs(share - 0.8) < 0.02
+    assert abs(share - 0.8) < 0.004
+
+
+def _dealt(spark, sizes, plan):
+    clips = [(f"c{k}_{i}", f"s{k:05}", None) for k, n in enumerate(sizes) for i in range(n)]
+    c, s = _tables(spark, clips, [])
+    out = splits.dealt(splits.components(c, s), c, spark.createDataFrame(plan, "split string, share double, id string"))
+    return {r.split: r.share for r in splits.shares(out).collect()}, out.count() == len(clips)
+
+
+def test_shares_are_of_clips(spark, monkeypatch):
+    rng = random.Random(1)
+    plan = [("train", 0.8, "x"), ("validation", 0.1, "x"), ("test", 0.1, "x"), ("none", 0.0, "x"), (None, 0.5, "x"), ("nan", float("nan"), "x"), ("null", None, "x")]
+    for large in (4096, 400):  # all components dealt one by one, and small ones along the line
+        monkeypatch.setattr(splits, "LARGE", large)
+        for sizes in ([300, 200, 100, 60, 40] + [rng.choice((1, 2, 3, 5, 8)) for _ in range(900)], [1] * 1000, [7] * 200):
+            got, whole = _dealt(spark, sizes, plan)
+            assert whole and set(got) == {"train", "validation", "test"}
+            assert abs(got["train"] - 0.8) < 0.01 and abs(got["validation"] - 0.1) < 0.01
+
+
+def test_plans_of_many_splits(spark):
+    got, whole = _dealt(spark, [1] * 1500, [(f"fold{i}", 1.0, "x") for i in range(150)])
+    assert whole and len(got) == 150 and max(got.values()) < 0.012
+    with pytest.raises(ValueError):
+        _dealt(spark, [1], [("train", None, "x")])
+
+
+def test_pairs_of_large_components(spark, monkeypatch):
+    labels = spark.createDataFrame([(f"v{i:03}", "r") for i in range(90)] + [("w1", "q"), ("w2", "q"), ("u", "u")], "vertex string, root string")
+    monkeypatch.setattr(splits, "SALT", 7)
+    got = [tuple(r) for r in splits.together(labels).collect()]
+    assert len(got) == len(set(got)) == 90 * 89 // 2 + 1 and all(a < b for a, b in got)
+
+
+def test_forest_is_persisted_by_name(spark, tmp_path):
+    clips = [(f"l{i}{e}", f"z{i + e:03}", f"Link{i} Q") for i in range(20) for e in (0, 1)]
+    c, s = _tables(spark, clips, [("lone", None, None)])
+    for _ in range(2):  # over what is there
+        splits.persist(*splits.grown(c, s), f"file://{tmp_path}")
+    members, tree = (spark.read.parquet(f"file://{tmp_path}/{x}") for x in ("membership", "forest"))
+    assert (members.count(), members.select("root").distinct().count(), tree.count()) == (22, 2, 20)
 
 
 def test_empty_tables(spark):
     c, s = _tables(spark, [], [])
     assert splits.components(c, s).count() == 0
+    assert splits.dealt(splits.components(c, s), c, spark.createDataFrame([("train", 1.0)], "split string, share double")).count() == 0

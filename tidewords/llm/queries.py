@@ -135,7 +135,22 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.dealt(splits.components(clips, read(spark, sf_dir, "sources")), clips, read(spark, sf_dir, "split_plan"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+def p6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning forest of sources: every edge that Boruvka's rounds chose."""
+    return splits.grown(read(spark, sf_dir, "clips"), read(spark, sf_dir, "sources"))[1]
+
+
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every source, by its root."""
+    return splits.components(read(spark, sf_dir, "clips"), read(spark, sf_dir, "sources")).select(F.col("vertex").alias("source_id"), "root")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all clips that each split got."""
+    return splits.shares(p6_splits(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_splits": p6_splits, "p6_forest": p6_forest, "p6_members": p6_members, "p6_shares": p6_shares, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 # Classes of characters for the SQL.
 _WIDE = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}"

@@ -3,8 +3,10 @@
 Method: Boruvka's minimum-edge contraction. Sources are vertices; each shared video or person ties its
 sources to one of them, a star, never all pairs. In every round each component takes its lightest edge
 outwards, the chosen edges go to a spanning forest that is written to the shared folder, and components
-contract to the roots of the chosen edges; their number at least halves. The components' roots are then
-stratified by size band and dealt to the splits systematically.
+contract to the roots of the chosen edges; their number at least halves. The forest can be written under its
+own name (:func:`persist`). The components' roots are then stratified by size band and dealt to the splits
+systematically, by clips: the few large ones one by one to the split that lacks most, the many small ones along the
+line of their clips, which each split gets its share of every stretch of.
 
 Weights are hashes of the edge, so all are different and every run chooses the same forest. Tables are
 keyed by vertex or component; a person whom a third of the sources share is one vertex's star, summed
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from tidewords.llm.people import person_of
 from tidewords.session import settle
 
-#: Hash buckets in which roots of a size band are numbered.
-BUCKETS = 256
+#: A component is large if it has this part of all clips or more; so there are no more than this many.
+LARGE = 4_096
+#: Components of a size band to a stretch of the line; sources to a salt where a component's pairs are made, and most salts.
+STRETCH, SALT, SALTS = 20, 64, 256
 
 
 def video_key(video_id: Column, url: Column) -> Column:
@@ -80,45 +84,90 @@ def forest(graph: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]
     return labels, reduce(DataFrame.unionByName, trees, none)
 
 
+def grown(clips: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The outputs of :func:`forest` over every source that has a row in either table."""
+    vertices = clips.select(F.col("source_id").alias("vertex")).unionByName(sources.select(F.col("source_id").alias("vertex"))).where("vertex is not null").distinct()
+    return forest(edges(settle(ties(clips, sources), "ties")), vertices)
+
+
 def components(clips: DataFrame, sources: DataFrame) -> DataFrame:
     """``vertex, root`` of every source that has a row in either table."""
-    vertices = clips.select(F.col("source_id").alias("vertex")).unionByName(sources.select(F.col("source_id").alias("vertex"))).where("vertex is not null").distinct()
-    return forest(edges(settle(ties(clips, sources), "ties")), vertices)[0]
+    return grown(clips, sources)[0]
+
+
+def persist(labels: DataFrame, trees: DataFrame, folder: str) -> None:
+    """Writes the forest as ``folder/membership`` (vertex, root) and ``folder/forest`` (x, y), over what is there."""
+    labels.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/membership")
+    trees.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/forest")
 
 
 def together(labels: DataFrame) -> DataFrame:
-    """``source_a, source_b``, smaller first: every pair of sources of one component."""
-    many = labels.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    own = labels.join(many, "root")
-    return own.select("root", F.col("vertex").alias("source_a")).join(own.select("root", F.col("vertex").alias("source_b")), "root").where("source_a < source_b").select("source_a", "source_b")
+    """``source_a, source_b``, smaller first: every pair of sources of one component.
+
+    The pairs are the result that is asked for; membership in components says the same in a row per source. A component
+    of many sources is spread over salts, so that no task makes all of its pairs.
+    """
+    many = labels.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    own = labels.join(many.select("root", F.least(F.lit(SALTS), F.ceil(F.col("n") / SALT)).cast("int").alias("salts")), "root")
+    left = own.select("root", F.pmod(F.xxhash64("vertex"), F.col("salts")).cast("int").alias("salt"), F.col("vertex").alias("source_a"))
+    right = own.select("root", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("vertex").alias("source_b"))
+    return left.join(right, ["root", "salt"]).where("source_a < source_b").select("source_a", "source_b")
+
+
+def _deal_large(large: list[tuple[str, int]], goal: dict[str, float]) -> tuple[dict[str, str], dict[str, float]]:
+    """The split of each large component, largest first, and what each split still lacks."""
+    lacks, got = dict(goal), {}
+    for root, n in sorted(large, key=lambda x: (-x[1], x[0])):
+        split = max(lacks, key=lambda s: (lacks[s], goal[s]))
+        got[root] = split
+        lacks[split] -= n
+    return got, lacks
 
 
 def dealt(labels: DataFrame, clips: DataFrame, plan: DataFrame) -> DataFrame:
-    """``id, split`` of every clip; all clips of a component get one split. plan: ``split, share``, a few rows.
+    """``id, split`` of every clip; all clips of a component get one split. plan: ``split, share``, as many rows as there are
+    splits; shares that are null or not positive get nothing, others count by their sum; a plan without any is an error.
 
-    Components of one size band (a power of two of clips) are numbered in hash order and dealt at the
-    points of a golden-ratio sequence, whose first n points fall into each split's share evenly.
-    A clip without source stands for itself.
+    Of all clips each split gets its share, but for one large component at most and the ends of the small ones' bands.
+    A clip without source stands for itself; repeated rows count once.
     """
-    shares = [(r.split, float(r.share)) for r in plan.where("share > 0").orderBy(F.desc("share"), "split").limit(100).collect()]
-    total = sum(s for _, s in shares)
-    rows = clips.select("id", F.coalesce("source_id", F.concat(F.lit("clip:"), "id")).alias("vertex")).distinct()
-    sizes = rows.groupBy("vertex").agg(F.count("*").alias("n"))
-    root = F.coalesce("root", "vertex").alias("root")
-    sizes = sizes.join(labels, "vertex", "left").select("vertex", root, "n")
-    roots = sizes.groupBy("root").agg(F.sum("n").alias("n")).select("root", F.floor(F.log2("n")).alias("band"), F.xxhash64("root").alias("h"))
-    roots = roots.withColumn("bucket", F.shiftrightunsigned("h", 56))
-    before = Window.partitionBy("band").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = roots.groupBy("band", "bucket").agg(F.count("*").alias("m")).select("band", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    k = F.row_number().over(Window.partitionBy("band", "bucket").orderBy("h", "root")) - 1
-    point = (F.col("start") + k + 0.5) * 0.6180339887498949
-    placed = roots.join(counts, ["band", "bucket"]).select("root", (point - F.floor(point)).alias("u"))
-    split, edge = F.lit(shares[-1][0]), 0.0
-    cuts = []
-    for name, share in shares:
-        edge += share / total
+    shares = sorted(((r.split, float(r.share)) for r in plan.groupBy("split").agg(F.sum("share").alias("share")).where("share > 0 and split is not null and not isnan(share)").collect()), key=lambda x: (-x[1], x[0]))
+    if not shares:
+        raise ValueError("the plan has no split with a share")
+    rows = clips.select("id", F.coalesce("source_id", F.concat(F.lit("clip:"), F.coalesce("id", F.lit("")))).alias("vertex")).distinct()
+    sizes = rows.groupBy("vertex").agg(F.count("*").alias("n")).join(labels, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"), "n")
+    sizes = settle(sizes, "sizes")
+    roots = settle(sizes.groupBy("root").agg(F.sum("n").alias("n")), "roots")
+    total = roots.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * LARGE >= total
+    whole = sum(s for _, s in shares)
+    goal = {name: total * s / whole for name, s in shares}
+    first, lacks = _deal_large([tuple(r) for r in roots.where(large).collect()], goal)  # LARGE rows at most, as each has that part of all
+    left = {name: max(0.0, x) for name, x in lacks.items()}
+    left = left if sum(left.values()) > 0 else goal
+    cuts, edge = [], 0.0
+    for name, _ in shares:
+        edge += left[name] / max(sum(left.values()), 1e-9)
         cuts.append((edge, name))
+    # small components of a size band lie one after another, in hash order, on a line of clips; each stretch of the line is
+    # shared out. What comes before a component is summed over hash buckets and then inside its own.
+    small = roots.where(~large).select("root", "n", F.floor(F.log2("n")).alias("band"), F.xxhash64("root").alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 52))
+    before = Window.partitionBy("band").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    band = Window.partitionBy("band")
+    sums = small.groupBy("band", "bucket").agg(F.sum("n").alias("m"), F.count("*").alias("k"))
+    sums = sums.select("band", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), (F.sum("m").over(band) / F.greatest(F.lit(1), F.round(F.sum("k").over(band) / STRETCH))).alias("stretch"))
+    inside = F.sum("n").over(Window.partitionBy("band", "bucket").orderBy("h", "root").rowsBetween(Window.unboundedPreceding, 0))
+    at = (F.col("start") + inside - F.col("n") / 2) / F.col("stretch")
+    placed = small.join(sums, ["band", "bucket"]).select("root", (at - F.floor(at)).alias("u"))
+    split = F.lit(cuts[-1][1])
     for edge, name in reversed(cuts[:-1]):
         split = F.when(F.col("u") < edge, F.lit(name)).otherwise(split)
-    by_vertex = sizes.select("vertex", "root").join(placed.select("root", split.alias("split")), "root").select("vertex", "split")
+    placed = placed.select("root", split.alias("split")).unionByName(clips.sparkSession.createDataFrame(sorted(first.items()), "root string, split string"))
+    by_vertex = sizes.select("vertex", "root").join(placed, "root").select("vertex", "split")
     return rows.join(by_vertex, "vertex").select("id", "split")
+
+
+def shares(splits: DataFrame) -> DataFrame:
+    """``split, clips, share`` that :func:`dealt` reached."""
+    n = splits.groupBy("split").agg(F.count("*").alias("clips"))
+    return n.select("split", "clips", (F.col("clips") / F.sum("clips").over(Window.partitionBy())).alias("share"))  # a row per split
