@@ -81,10 +81,50 @@ def test_rows_of_every_kind(spark):
     assert leakage.leaks(d, i.limit(0)).count() == 0 and leakage.leaks(d.limit(0), i).count() == 0
 
 
+def _rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     rng = random.Random(9)
-    items = [(k, _item(rng, 30)) for k in range(5)]
+    items = [(k, _item(rng, 30)) for k in range(9)]
     d = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(leakage, "BLOCK", 2)
-    assert sorted(map(tuple, leakage.leaks(d, i).collect())) == [(k, k) for k in range(5)]
+    assert _rows(leakage.leaks(d, i)) == [(k, k) for k in range(9)]
+    monkeypatch.setattr(leakage, "CACHE", 1)  # the blocks pass one by one
+    assert _rows(leakage.leaks(d, i)) == [(k, k) for k in range(9)]
+    ids = i.selectExpr("concat('i', item_id) as item_id", "text")
+    assert _rows(leakage.leaks(d, ids)) == [(k, f"i{k}") for k in range(9)]
+
+
+def test_many_items_read_the_documents_once(spark):
+    rng = random.Random(3)
+    items = [(k, _item(rng, 24)) for k in range(20_000)]
+    d = spark.createDataFrame([(k, f"so {items[k][1]} it goes") for k in range(0, 20_000, 400)] + [(-1, _item(rng, 500))], "doc_id long, text string")
+    got = leakage.leaks(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert _rows(got) == [(k, k) for k in range(0, 20_000, 400)]
+
+
+def test_items_of_short_words():
+    """The q-gram bound of such items is nothing, so they are found by words."""
+    rng = random.Random(12)
+    item = " ".join(rng.choice("abcdefghij") for _ in range(40))
+    index = leakage.Index([(1, item), (2, _item(rng, 40))])
+    assert index.bound[0] <= leakage.FEW < index.bound[1] and len(index.runs)
+    words = item.split()
+    other = [rng.choice("klmnopqrst") for _ in range(60)]
+    changed = [*words[5:11], "zz", *words[12:18], "yy", "y", *words[19:25], *words[26:32]]
+    texts = [" ".join([*other, *words[5:27], *other]), " ".join([*other, *words[5:22], *other]), " ".join([*other, *changed, *other]), item, " ".join(other), None]
+    assert _search([(1, item), (2, _item(rng, 40))], texts) == {(0, 1), (2, 1), (3, 1)}
+
+
+def test_other_rules():
+    rng = random.Random(4)
+    item = _item(rng, 50)
+    text = f"{_item(rng, 30)} {' '.join(item.split()[3:14])} {_item(rng, 30)}"
+    short = leakage.Rules(least=10, errors=0.1)
+    assert _search([(1, item)], [text]) == set()
+    assert leakage.search(leakage.Index([(1, item)], short), Tokens(), [text]) == [(0, 1)]
+    assert (short.changed, leakage.Rules().changed, leakage.Rules().room, leakage.Rules().run) == (1, 3, 12, 3)
