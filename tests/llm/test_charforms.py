@@ -13,6 +13,12 @@ CASES = [
     ("mаnаgers", "managers"),
     ("билeты", "билеты"),
     ("t" + ZWJ + "he", "the"),
+    ("ｶﾞｷﾞ ﾊﾟ", "ガギ パ"),
+    ("ｏｈ！", "oh!"),
+    ("\U0001d407\U0001d41e\U0001d425\U0001d425\U0001d428 \U0001d7d0", "Hello 2"),
+    ("\u0501ance", "dance"),
+    ("\u0261o", "go"),
+    ("\u04c0taly", "Italy"),
 ]
 STABLE = ["", "plain text", "“quotes” — dots…", "весь хор and words", "\U0001f469" + ZWJ + "\U0001f4bb", "\U0001f3f4" + ZWJ + "☠️ ok", "USB-кабель", "naïve üß"]
 
@@ -45,3 +51,13 @@ def test_marks_move_to_the_token_before(spark):
     df = spark.createDataFrame(rows, "source_id string, pos int, text string, joins_left boolean")
     got = {(r.source_id, r.pos): r.text for r in cf.canonical_words(df).collect()}
     assert got == {("s", 0): "caf", ("s", 1): "é", ("s", 2): "s", ("s", 3): ACUTE + "x", ("t", 0): ACUTE + "y", ("t", 1): None}
+
+
+def test_marks_move_across_blocks(spark, monkeypatch):
+    rows = [("s", i, ("e" if i % 2 == 0 else ACUTE + "s"), i % 2 == 1) for i in range(60)]
+    rows += [("n", None, ACUTE + "s", True), (None, 3, ACUTE + "s", True), (None, 2, "e", False)]
+    df = spark.createDataFrame([(*r, 1) for r in rows + rows[:7]], "source_id string, pos int, text string, joins_left boolean, block int")
+    want = sorted(map(str, [("s", i, "é" if i % 2 == 0 else "s") for i in range(60)] + [("n", None, ACUTE + "s"), (None, 3, ACUTE + "s"), (None, 2, "e")]))
+    for size in (4_096, 3, 1):
+        monkeypatch.setattr(cf, "BLOCK", size)
+        assert sorted(str((r.source_id, r.pos, r.text)) for r in cf.canonical_words(df).collect()) == want

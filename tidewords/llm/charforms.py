@@ -7,8 +7,8 @@ a combining mark may join; only those segments are normalized, and spliced back
 stretches, which are never touched. Spark tests the same property on the JVM first, so that stable
 texts, nearly all of them, never reach Python.
 
-The profile: full-width letters and digits, ligatures and parted accents are composed (the parts of
-NFKC that concern them); every white space character becomes U+0020; invisible characters go, but for
+The profile: full-width and half-width forms, letters and digits of other fonts, ligatures and parted accents are
+composed (the parts of NFKC that concern them); every white space character becomes U+0020; invisible characters go, but for
 the joiners and selectors an emoji needs; look-alike letters of another script within a word become
 letters of the word's own script. Quotes, dashes, dots and words wholly in another script stay.
 """
@@ -20,12 +20,14 @@ import unicodedata as ucd
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Letters that look alike, Latin with Cyrillic and Latin with Greek.
 LATIN_CYRILLIC = "aа cс eе iі jј oо pр sѕ xх yу hһ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ"
+#: Letters that look like a Latin one which has another look-alike already, or that no word of Latin letters has.
+LATIN_FURTHER = "dԁ qԛ wԝ lӏ IӀ vѵ gɡ"
 LATIN_GREEK = "oο vν uυ iι pρ aα xχ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ"
 
 LATIN, GREEK, CYRILLIC = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\u0370-\u03ff\u1f00-\u1fff", "\u0400-\u052f"
@@ -40,6 +42,7 @@ def _look() -> dict[str, dict[str, str]]:
     for own, other, pairs in (("L", "C", lc), ("L", "G", lg)):
         out[other] |= pairs
         out[own] |= {v: k for k, v in pairs.items()}
+    out["L"] |= {p[1]: p[0] for p in LATIN_FURTHER.split() if _script(p[1]) == "C"}
     both = {k: (lc[k], lg[k]) for k in lc if k in lg}
     out["C"] |= {g: c for c, g in both.values()}
     out["G"] |= {c: g for c, g in both.values()}
@@ -69,8 +72,9 @@ def _properties() -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
             single[c] = " "
         elif kind == "Cf" or kind == "Cc" or 0xFE00 <= n <= 0xFE0F or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0":
             single[c] = ""
-        elif 0xFF10 <= n <= 0xFF19 or 0xFF21 <= n <= 0xFF3A or 0xFF41 <= n <= 0xFF5A:
-            single[c] = chr(n - 0xFEE0)
+        elif (d := ucd.decomposition(c)).startswith(("<wide>", "<narrow>")) or d.startswith("<font>") and kind[0] in "LN":
+            single[c] = ucd.normalize("NFKC", c)
+            marks |= {m for m in single[c] if ucd.combining(m)}
         elif kind[0] == "L" and (d := ucd.decomposition(c)):
             if d[0] != "<":
                 parts = d.split()
@@ -80,6 +84,7 @@ def _properties() -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
                     single[c] = to
             elif "LIGATURE" in ucd.name(c, ""):
                 single[c] = ucd.normalize("NFKC", c)
+    single |= {p[1]: p[0] for p in LATIN_FURTHER.split() if _script(p[1]) != "C"}
     single |= dict.fromkeys("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", " ") | {chr(n): "" for n in [*range(9), *range(0x0E, 0x1C), 0x7F]} | {chr(n): "" for n in range(0xE0000, 0xE01F0)}
     return single, frozenset(marks), frozenset("\u200d\ufe0e\ufe0f")
 
@@ -189,18 +194,28 @@ def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical", ch
     return df.withColumn(changed, F.coalesce((F.col(out) != col) | opens_with_mark(col), F.lit(False)))
 
 
+#: Positions in a block of words.
+BLOCK = 4_096
+
+
 def canonical_words(words: DataFrame) -> DataFrame:
     """Words ``source_id, pos, text, joins_left`` in canonical form, accents at the head of a token that
     joins its left neighbour moved to the end of that neighbour. Repeated rows come out once.
 
-    Only tokens that open with a mark, few, are joined back, by (source_id, pos), which no hot source skews.
+    Words are shuffled once, by source and block of positions; in that partitioning repeated rows go and neighbours
+    meet. The words at either end of a block also go, as ghosts, to the block that they adjoin.
     """
-    words = words.select("source_id", "pos", "text", "joins_left").distinct()
-    marks = F.regexp_extract("text", "^([" + _unstable()[1] + "]+)", 1)
-    openers = words.where(F.col("joins_left") & opens_with_mark(F.col("text"))).select("source_id", (F.col("pos") - 1).alias("pos"), marks.alias("lent"))
-    openers = openers.groupBy("source_id", "pos").agg(F.max("lent").alias("lent"))
-    taken = words.where("text is not null").select("source_id", "pos").join(openers, ["source_id", "pos"]).groupBy("source_id", (F.col("pos") + 1).alias("pos")).agg(F.max("lent").alias("given"))
-    both = words.join(openers, ["source_id", "pos"], "left").join(taken, ["source_id", "pos"], "left")
-    own = F.when(F.col("given").isNotNull() & F.col("joins_left") & opens_with_mark(F.col("text")), F.expr("substr(text, length(given) + 1)")).otherwise(F.col("text"))
+    mark = F.when(F.col("pos").isNotNull() & F.col("joins_left") & opens_with_mark(F.col("text")), F.regexp_extract("text", "^([" + _unstable()[1] + "]+)", 1))
+    near = F.array_compact(F.array(F.lit(0), F.when(F.pmod("pos", F.lit(BLOCK)) == 0, F.lit(-1)), F.when(F.pmod("pos", F.lit(BLOCK)) == BLOCK - 1, F.lit(1))))
+    rows = words.select("source_id", "pos", "text", "joins_left", F.explode(near).alias("ghost"))
+    rows = rows.withColumn("block", F.floor(F.col("pos") / BLOCK) + F.col("ghost")).repartition("source_id", "block").distinct()
+    rows = rows.withColumn("mark", mark).withColumn("p", F.coalesce(F.col("pos").cast("bigint"), F.lit(-1)))
+    here = Window.partitionBy("source_id", "block").orderBy("p")
+    beside = lambda n: here.rangeBetween(n, n)
+    lent, given = F.max("mark").over(beside(1)), F.max("mark").over(beside(0))
+    taken = F.max(F.col("text").isNotNull()).over(beside(-1))
+    known = F.col("source_id").isNotNull() & F.col("pos").isNotNull()
+    both = rows.select("*", F.when(known, lent).alias("lent"), F.when(known & taken & F.col("mark").isNotNull(), given).alias("given")).where("ghost = 0")
+    own = F.when(F.col("given").isNotNull(), F.expr("substr(text, length(given) + 1)")).otherwise(F.col("text"))
     both = both.select("source_id", "pos", "joins_left", F.concat(own, F.coalesce("lent", F.lit(""))).alias("text"))
     return with_canonical(both).select("source_id", "pos", "joins_left", F.col("canonical").alias("text"))

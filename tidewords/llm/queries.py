@@ -153,7 +153,7 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_words": p1_words, "p3_found": p3_found, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_splits": p6_splits, "p6_forest": p6_forest, "p6_members": p6_members, "p6_shares": p6_shares, "p7_found": p7_found, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 # Classes of characters for the SQL.
-_WIDE = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}"
+_WIDE = "\\x{FF01}-\\x{FF5E}\\x{FF61}-\\x{FFDC}\\x{FFE0}-\\x{FFE6}\\x{1D400}-\\x{1D7FF}"
 _UNSEEN = "\\x{AD}\\x{34F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FE00}-\\x{FE0F}\\x{FEFF}"
 _SPACES = "\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _SOLID = "[^ \\t-\\r" + _SPACES + "]*"
