@@ -33,6 +33,9 @@ LATIN_GREEK = "oο vν uυ iι pρ aα xχ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ O
 LATIN, GREEK, CYRILLIC = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\u0370-\u03ff\u1f00-\u1fff", "\u0400-\u052f"
 
 
+_SCRIPTS = [re.compile(f"[{c}]") for c in (LATIN, GREEK, CYRILLIC)]
+
+
 @cache
 def _look() -> dict[str, dict[str, str]]:
     """By script, what to make of each look-alike of the others."""
@@ -162,7 +165,9 @@ def canonical(text: str | None) -> str | None:
         at = m.end()
     if at:
         text = "".join(out) + text[at:]
-    return mixed.sub(_one_script, text)
+    # few texts have letters of two scripts at all
+    scripts = sum(p.search(text) is not None for p in _SCRIPTS)
+    return mixed.sub(_one_script, text) if scripts > 1 else text
 
 
 def suspect(text: Column) -> Column:

@@ -51,6 +51,7 @@ _SOUND = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|\*([^*]+)\*|<([^<>]+)>|[♪♫
 _LABEL = re.compile(r"(?:>>+|[-–—])?\s*(?:\[([^\[\]]{1,60})\]|\(([^()]{1,60})\)|([^\s:\[\](){}][^:\[\](){}]{0,59}?)\s?:(?=\s|$)|((?:speaker|spk)[ _]?\d+)\s[-–—](?=\s|$))", re.IGNORECASE)
 _NAME = re.compile(r"[^\W\d_][\w'’-]*\.?(?:\s[^\W\d_][\w'’-]*)*")
 _WORD = re.compile(r"\w+")
+_SPECIAL = re.compile(r"[\[(*<:♪♫🎵🎶]|\d\s[-–—]")
 _GAPS = re.compile(r"\s+")
 
 
@@ -71,29 +72,39 @@ def _no_sound(m: re.Match) -> str:
     return " " if inner is None or annotation(inner) else m[0]
 
 
-def spoken(text: str) -> str:
-    """What is said: without sound annotations, printed times and hesitations; empty if nothing is left."""
-    text = _SOUND.sub(_no_sound, _TIME.sub(" ", text))
-    words = [w for w in text.split() if (f := "".join(_WORD.findall(w)).casefold()) and f not in HESITATIONS]
-    return " ".join(words)
+def _words(text: str) -> Iterator[str]:
+    """The words of a text that are no hesitations and not mere punctuation."""
+    for w in text.split():
+        if len(w) > 5 and w.isalnum() or (f := "".join(_WORD.findall(w)).casefold()) and f not in HESITATIONS:
+            yield w
 
 
-def parse(text: str | None) -> tuple[str | None, str, str]:
+def spoken(text: str, brief: bool = False) -> str:
+    """What is said: without sound annotations, printed times and hesitations; empty if nothing is left. If ``brief`` its first word."""
+    words = _words(_SOUND.sub(_no_sound, _TIME.sub(" ", text)) if _SPECIAL.search(text) else text)
+    return next(words, "") if brief else " ".join(words)
+
+
+def parse(text: str | None, brief: bool = False) -> tuple[str | None, str, str]:
     """The written form of the label at the head of a segment, if there may be one; what is said if it is a
-    label; what is said if it isn't. Forms: ``#n`` of a numbered speaker, else words in lower case."""
+    label; what is said if it isn't, in both only the first word if ``brief``. Forms: ``#n`` of a numbered speaker, else words in
+    lower case."""
     if not text:
         return None, "", ""
-    text = _GAPS.sub(" ", canonical(html.unescape(text))).strip()
+    text = _GAPS.sub(" ", canonical(html.unescape(text) if "&" in text else text)).strip()
+    if not _SPECIAL.search(text):  # no label, time or annotation can be
+        whole = spoken(text, brief)
+        return None, whole, whole
     body = text
     while m := _TIME.match(body):
         body = body[m.end() :].strip()
-    whole = spoken(body)
+    whole = spoken(body, brief)
     m = _LABEL.match(body)
     if not m:
         return None, whole, whole
     said = next(g for g in m.groups() if g is not None).strip()
     who = person(said)
-    rest = spoken(body[m.end() :])
+    rest = spoken(body[m.end() :], brief)
     if who and who[0] == "#":
         return who, rest, rest
     if who in NOBODY or who is None:
@@ -131,15 +142,24 @@ def _overlapping(segments: DataFrame, turns: DataFrame) -> DataFrame:
     return total.where("s > 0").groupBy("source_id", "pos", "block").agg(F.min(F.struct((-F.col("s")).alias("s"), "speaker"))["speaker"].alias("heard"))
 
 
+def _flags(text: str | None) -> tuple[str | None, bool, bool]:
+    form, rest, whole = parse(text, brief=True)
+    return form, bool(rest), bool(whole)
+
+
 def _parsed(df: DataFrame, text: bool) -> DataFrame:
     """Slim rows of segments: what is said is a flag unless ``text``."""
     said = pa.string() if text else pa.bool_()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            form, rest, whole = zip(*map(parse, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-            if not text:
-                rest, whole = map(bool, rest), map(bool, whole)
+            texts = batch.column("text").to_pylist()
+            if not text:  # of plain lines a first word tells all
+                plain = [t is not None and t.isascii() and "&" not in t and not _SPECIAL.search(t) for t in texts]
+                parsed = [(None, True, True) if p and next(_words(t), None) else (None, False, False) if p else _flags(t) for p, t in zip(plain, texts, strict=True)]
+            else:
+                parsed = map(parse, texts)
+            form, rest, whole = zip(*parsed, strict=True) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(form, pa.string()), pa.array(list(rest), said), pa.array(list(whole), said)], [*kept, "form", "rest", "whole"])
 
     kept = ["source_id", "part", "pos", "start_s", "end_s", "landed_at"]
