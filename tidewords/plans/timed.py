@@ -38,8 +38,9 @@ def grouped_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cut_clips(spark: SparkSession, d: str) -> DataFrame:
-    """Clips out of all words."""
-    return cutting.clips(read(spark, d, "words"))
+    """Clips out of all words; the words' confidence as a sum of thousandths, which no order of adding changes."""
+    out = cutting.clips(read(spark, d, "words"))
+    return out.withColumn("thousandths", F.round(F.col("confidence") * F.col("n_words") * 1000).cast("bigint")).drop("confidence")
 
 
 def span_repair(spark: SparkSession, d: str) -> DataFrame:
@@ -153,24 +154,81 @@ o AS (SELECT id, speaker, sum(least(b, d) - greatest(a, c)) AS ms, min(c) AS f F
 top AS (SELECT id, first(speaker ORDER BY ms DESC, f, speaker) AS speaker, max(ms) AS overlap_ms, sum(ms) AS total_ms FROM o GROUP BY id),
 got AS (SELECT id, source_id, top.speaker, CAST(coalesce(overlap_ms, 0) AS BIGINT) AS overlap_ms, CAST(coalesce(total_ms, 0) AS BIGINT) AS total_ms FROM (SELECT DISTINCT id, source_id FROM clips WHERE id IS NOT NULL) LEFT JOIN top USING (id))"""
 _REPAIR = """
-WITH w AS (SELECT DISTINCT source_id, pos, coalesce(text, '') AS text, start_s, end_s, coalesce(joins_left, false) AS j FROM words),
+WITH w AS (SELECT DISTINCT source_id, pos, coalesce(text, '') AS text, start_s, end_s, coalesce(joins_left, false) AS j, coalesce(confidence, 1.0) AS conf FROM words),
 a AS (SELECT *, CAST(CASE WHEN isfinite(start_s) THEN greatest(round(start_s * 1000), 0) ELSE 0 END AS BIGINT) AS start_ms FROM w),
 b AS (SELECT *, CASE WHEN isfinite(end_s) THEN greatest(CAST(round(end_s * 1000) AS BIGINT), start_ms) ELSE start_ms END AS end_ms FROM a),
-n AS (SELECT *, lead(start_ms) OVER o AS n_start, coalesce(lead(j) OVER o, false) AS goes_on, regexp_replace(text, '^[SP]+|[SP]+$', '', 'g') AS t FROM b WINDOW o AS (PARTITION BY source_id ORDER BY pos)),
-e AS (SELECT *, regexp_matches(t, '(\\.\\.\\.|\\x{2026})[CL]*$') AS soft, coalesce(list_last(WORDS_T), '') AS lw FROM n)
-SELECT source_id, CAST(pos AS BIGINT) AS pos, start_ms, end_ms, CASE WHEN n_start IS NOT NULL THEN greatest(0, n_start - end_ms) END AS gap_ms,
+n AS (SELECT *, lead(start_ms) OVER o AS n_start, lead(text) OVER o AS next_text, coalesce(lead(j) OVER o, false) AS goes_on, regexp_replace(text, '^[SP]+|[SP]+$', '', 'g') AS t FROM b WINDOW o AS (PARTITION BY source_id ORDER BY pos)),
+e AS (SELECT *, regexp_matches(t, '(\\.\\.\\.|\\x{2026})[CL]*$') AS soft, coalesce(list_last(WORDS_T), '') AS lw FROM n),
+f AS (SELECT source_id, CAST(pos AS BIGINT) AS pos, start_ms, end_ms, text, t, j, conf, next_text, lw, CASE WHEN n_start IS NOT NULL THEN greatest(0, n_start - end_ms) END AS gap_ms,
   NOT goes_on AND NOT soft AND regexp_matches(t, '[SM][CL]*$') AND NOT (BARE_LW IN ABBR OR regexp_matches(BARE_LW, '^([a-z]\\.)+$') OR regexp_matches(BARE_LW, '[0-9]\\.[0-9]')) AS sentence,
-  NOT goes_on AND (regexp_matches(t, '[CM][CL]*$') OR soft) AS clause, t = '' AS blank FROM e"""
+  NOT goes_on AND (regexp_matches(t, '[CM][CL]*$') OR soft) AS clause, t = '' AS blank FROM e)"""
 _REPAIR = _REPAIR.replace("WORDS_T", _w("t")).replace("BARE_LW", _b("lw")).replace("ABBR", _IN(tx.ABBREVIATIONS)).replace("[SP]", f"[{tx.SPACE}]").replace("[CL]", f"[{_CL}]").replace("[SM]", f"[{tx.SENTENCE_MARKS}]").replace("[CM]", f"[{tx.CLAUSE_MARKS}]")
 
-_WORTH = _GAPS + f""",
-q AS (SELECT *, coalesce(text, '') AS t, {_w("coalesce(text, '')")} AS ws, list_filter(list_transform({_w("next_text")}, lambda x: {_b("x")}), lambda h: h NOT IN {_IN(tx.FILLERS)}) AS heads FROM p),
+_CONTRACTION = "regexp_matches(lw, '(n[''\\x{2019}]t|[''\\x{2019}](s|re|m|ve|ll|d))$')"
+_OPENING = f"CASE WHEN head IN {_IN(tx.STRONG_MARKERS)} THEN 0.8::DOUBLE WHEN head IN {_IN(tx.WEAK_MARKERS)} THEN 0.4::DOUBLE WHEN head IN {_IN(tx.DANGLING)} AND NOT ended THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END"
+_PLAIN = f"CASE WHEN lw = '' THEN 0.0::DOUBLE WHEN lw IN {_IN(tx.DANGLING)} OR {_CONTRACTION} THEN -2.5::DOUBLE WHEN regexp_matches(lw, '\\p{{Nd}}') THEN -1.25::DOUBLE ELSE 0.0::DOUBLE END"
+_HEADS = f"list_filter(list_transform({_w('next_text')}, lambda x: {_b('x')}), lambda h: h NOT IN {_IN(tx.FILLERS)})"
+# lines with their words, what their ends are worth and what the next one's opening is
+_LINES = _GAPS + f""",
+q AS (SELECT *, coalesce(text, '') AS t, {_w("coalesce(text, '')")} AS ws, {_HEADS} AS heads FROM p),
 r AS (SELECT *, coalesce({_b("list_last(ws)")}, '') AS lw, heads[1] AS head, regexp_matches(t, '(\\.\\.\\.|\\x{{2026}})[{_CL}]*$') AS soft, regexp_matches(t, '[{tx.SENTENCE_MARKS}][{_CL}]*$') AS mark, regexp_matches(t, '[{tx.CLAUSE_MARKS}][{_CL}]*$') AS clause FROM q),
-u AS (SELECT *, lw IN {_IN(tx.ABBREVIATIONS)} OR regexp_matches(lw, '^([a-z]\\.)+$') AS abbr FROM r)
-SELECT source_id, CAST(pos AS BIGINT) AS pos, CAST(len(ws) AS BIGINT) AS n_words,
-  CAST(CASE WHEN soft THEN 100 WHEN mark AND NOT abbr THEN 200 WHEN mark OR clause THEN 60 WHEN lw = '' THEN 0
-    WHEN lw IN {_IN(tx.DANGLING)} OR regexp_matches(lw, '(n[''\\x{{2019}}]t|[''\\x{{2019}}](s|re|m|ve|ll|d))$') THEN -250 WHEN regexp_matches(lw, '\\p{{Nd}}') THEN -125 ELSE 0 END
-  + CASE WHEN head IN {_IN(tx.STRONG_MARKERS)} THEN 80 WHEN head IN {_IN(tx.WEAK_MARKERS)} THEN 40 WHEN head IN {_IN(tx.DANGLING)} AND NOT (mark AND NOT abbr AND NOT soft) THEN -100 ELSE 0 END AS BIGINT) AS worth FROM u"""
+u AS (SELECT *, lw IN {_IN(tx.ABBREVIATIONS)} OR regexp_matches(lw, '^([a-z]\\.)+$') AS abbr FROM r),
+v AS (SELECT *, mark AND NOT abbr AND NOT soft AS ended, CASE WHEN soft THEN 1.0::DOUBLE WHEN mark AND NOT abbr THEN 2.0::DOUBLE WHEN mark OR clause THEN 0.6::DOUBLE ELSE {_PLAIN} END AS ending FROM u)"""
+_WORTH = _LINES + f" SELECT source_id, CAST(pos AS BIGINT) AS pos, CAST(len(ws) AS BIGINT) AS n_words, CAST(round((ending + {_OPENING}) * 100) AS BIGINT) AS worth FROM v"
+
+
+def _greedy(sizes: str, over: str, none: str, value: str, fits: str) -> str:
+    """Recursive cuts of runs (rows z, run sizes n): from each end on the rows' sizes, the first that is too much, the best that fits."""
+    return f"""
+sizes AS (SELECT source_id, run, max(k) AS m FROM z GROUP BY ALL),
+cut AS (
+  SELECT source_id, run, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS e FROM sizes
+  UNION ALL
+  SELECT source_id, run, i, CASE WHEN over IS NULL THEN m WHEN best IS NULL THEN {none} ELSE best END FROM (
+    SELECT source_id, run, i, any_value(m) AS m, any_value(over) AS over, (max({{'v': {value}, 'k': k}}) FILTER ({fits} AND k <= over)).k AS best FROM (
+      SELECT *, min(CASE WHEN {over} THEN k END) OVER (PARTITION BY source_id, run) AS over FROM (
+        SELECT z.*, c.e AS i, sizes.m, {sizes} AS size FROM cut c JOIN sizes USING (source_id, run) JOIN z ON z.source_id = c.source_id AND z.run = c.run AND z.k > c.e WHERE c.e < sizes.m
+        WINDOW w AS (PARTITION BY z.source_id, z.run ORDER BY z.k ROWS UNBOUNDED PRECEDING))) GROUP BY source_id, run, i)),
+piece AS (SELECT source_id, run, i + 1 AS lo, e AS hi FROM cut WHERE e > 0)"""
+
+
+def _halved(rows: str, left: str, right: str, least: str, value: str, floor: str) -> str:
+    """Where rows of two pieces (``source_id, run, x``, in order of pos) are cut anew: the last position of the left part."""
+    return f"""SELECT source_id, run, (max({{'good': good, 'v': v, 'pos': pos}})).pos AS cutpos FROM (
+    SELECT *, {left} >= {least} AND {right} >= {least} AS good, {value} - 2.0::DOUBLE * abs({left} - whole / 2.0::DOUBLE) / greatest(whole / 2.0::DOUBLE, {floor}) AS v FROM ({rows}) WHERE later > 0) GROUP BY ALL"""
+
+
+_PARAGRAPHS = _LINES.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + f""",
+x0 AS (SELECT source_id, pos, text, a, b, pause_ms, len(ws) AS words, 3.0::DOUBLE * coalesce(pause_ms / 1000, 0.0::DOUBLE) + (ending + {_OPENING}) AS score FROM v),
+y AS (SELECT *, coalesce(sum(CASE WHEN pause_ms > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM x0),
+z AS (SELECT *, row_number() OVER (PARTITION BY source_id, run ORDER BY pos) AS k FROM y),""" + _greedy("sum(z.words) OVER w", "size >= 120", "over", "score - 0.8::DOUBLE * abs(size - 76.0::DOUBLE) / 76.0::DOUBLE", "size BETWEEN 40 AND 120") + """,
+g0 AS (SELECT z.*, piece.lo FROM z JOIN piece ON z.source_id = piece.source_id AND z.run = piece.run AND z.k BETWEEN lo AND hi),
+s0 AS (SELECT source_id, run, lo, sum(words) AS words, row_number() OVER (PARTITION BY source_id, run ORDER BY lo DESC) AS place, lead(lo) OVER o AS before, lead(sum(words)) OVER o AS body FROM g0 GROUP BY source_id, run, lo WINDOW o AS (PARTITION BY source_id, run ORDER BY lo DESC)),
+t0 AS (SELECT source_id, run, before AS x, lo AS y, body + words <= 120 AS whole FROM s0 WHERE place = 1 AND before IS NOT NULL AND words < 40),
+h0 AS (""" + _halved("SELECT g0.source_id, g0.run, x, pos, score, sum(words) OVER w AS l, sum(words) OVER p - sum(words) OVER w AS r, sum(words) OVER p AS whole, count(*) OVER p - row_number() OVER w AS later FROM g0 JOIN t0 ON g0.source_id = t0.source_id AND g0.run = t0.run AND g0.lo IN (x, y) AND NOT t0.whole WINDOW w AS (PARTITION BY g0.source_id, g0.run ORDER BY pos ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY g0.source_id, g0.run)", "l", "r", "40", "score", "1.0::DOUBLE") + """),
+g1 AS (SELECT g0.* EXCLUDE (lo), CASE WHEN g0.lo = t0.y AND t0.whole THEN t0.x WHEN g0.lo IN (t0.x, t0.y) AND NOT t0.whole THEN CASE WHEN pos <= cutpos THEN t0.x ELSE t0.x + 0.5 END ELSE lo END AS lo FROM g0 LEFT JOIN t0 USING (source_id, run) LEFT JOIN h0 USING (source_id, run)),
+g2 AS (SELECT *, min(pos) OVER (PARTITION BY source_id, run, lo) AS first FROM g1),
+s1 AS (SELECT source_id, first, sum(words) AS words, arg_max(pause_ms, pos) AS after, row_number() OVER (PARTITION BY source_id ORDER BY first DESC) AS place, lead(first) OVER o AS before, lead(sum(words)) OVER o AS body, lead(arg_max(pause_ms, pos)) OVER o AS gap FROM g2 GROUP BY source_id, first WINDOW o AS (PARTITION BY source_id ORDER BY first DESC)),
+t1 AS (SELECT source_id, before AS x, first AS y, body + words <= 120 AS whole FROM s1 WHERE place = 1 AND before IS NOT NULL AND words < 40 AND coalesce(gap, 0) <= 4000),
+h1 AS (""" + _halved("SELECT g2.source_id, 0 AS run, x, pos, score, sum(words) OVER w AS l, sum(words) OVER p - sum(words) OVER w AS r, sum(words) OVER p AS whole, count(*) OVER p - row_number() OVER w AS later FROM g2 JOIN t1 ON g2.source_id = t1.source_id AND g2.first IN (x, y) AND NOT t1.whole WINDOW w AS (PARTITION BY g2.source_id ORDER BY pos ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY g2.source_id)", "l", "r", "40", "score", "1.0::DOUBLE") + f"""),
+g3 AS (SELECT g2.*, CASE WHEN g2.first = t1.y AND t1.whole THEN t1.x WHEN g2.first IN (t1.x, t1.y) AND NOT t1.whole THEN CASE WHEN pos <= cutpos THEN t1.x ELSE cutpos + 1 END ELSE g2.first END AS piece FROM g2 LEFT JOIN t1 USING (source_id) LEFT JOIN h1 USING (source_id)),
+o AS (SELECT source_id, piece, string_agg(text, ' ' ORDER BY pos) FILTER (words > 0) AS text, arg_min(a, pos) AS start_ms, arg_max(b, pos) AS end_ms, CAST(sum(words) AS BIGINT) AS n_words FROM g3 GROUP BY source_id, piece HAVING sum(words) > 0)
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY piece) AS BIGINT) AS para_no, text, start_ms, end_ms, n_words FROM o"""
+
+_CLIPS = _REPAIR.replace("WITH w AS", "WITH RECURSIVE w AS", 1) + f""",
+c0 AS (SELECT *, {_b("lw")} AS bare, {_HEADS}[1] AS head, sentence AS ended, 3.0::DOUBLE * coalesce(gap_ms, 0) / 1000 AS pause FROM f),
+x0 AS (SELECT *, pause + (CASE WHEN sentence THEN 2.0::DOUBLE WHEN clause THEN 0.6::DOUBLE ELSE {_PLAIN.replace("lw", "bare")} END + {_OPENING}) AS score, pause + CASE WHEN sentence THEN 2.0::DOUBLE WHEN clause THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS plain FROM c0),
+y AS (SELECT *, coalesce(sum(CASE WHEN gap_ms > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM x0),
+z AS (SELECT *, row_number() OVER (PARTITION BY source_id, run ORDER BY pos) AS k FROM y),""" + _greedy("max(z.end_ms) OVER w - min(z.start_ms) OVER w", "size >= 15000", "greatest(over - 1, i + 1)", "score - 0.8::DOUBLE * abs(size - 7300.0::DOUBLE) / 14000.0::DOUBLE", "size BETWEEN 1000 AND 15000 AND k < m") + """,
+g2 AS (SELECT z.*, min(pos) OVER (PARTITION BY z.source_id, z.run, piece.lo) AS first FROM z JOIN piece ON z.source_id = piece.source_id AND z.run = piece.run AND z.k BETWEEN lo AND hi),
+s1 AS (SELECT source_id, first, min(start_ms) AS lo, max(end_ms) AS hi, row_number() OVER (PARTITION BY source_id ORDER BY first DESC) AS place, lead(first) OVER o AS before, lead(min(start_ms)) OVER o AS blo, lead(max(end_ms)) OVER o AS bhi, lead(arg_max(gap_ms, pos)) OVER o AS gap FROM g2 GROUP BY source_id, first WINDOW o AS (PARTITION BY source_id ORDER BY first DESC)),
+m0 AS (SELECT source_id, median(gap_ms) AS usual FROM y WHERE gap_ms > 0 GROUP BY source_id),
+t1 AS (SELECT source_id, before AS x, first AS y, greatest(hi, bhi) - least(lo, blo) <= 15000 AS whole FROM s1 LEFT JOIN m0 USING (source_id) WHERE place = 1 AND before IS NOT NULL AND hi - lo < 1000 AND coalesce(gap, 0) <= 2 * greatest(coalesce(usual, 0), 500)),
+h1 AS (""" + _halved("SELECT g2.source_id, 0 AS run, pos, plain, max(end_ms) OVER w - min(start_ms) OVER w AS l, max(end_ms) OVER v - min(start_ms) OVER v AS r, max(end_ms) OVER p - min(start_ms) OVER p AS whole, count(*) OVER p - row_number() OVER w AS later FROM g2 JOIN t1 ON g2.source_id = t1.source_id AND g2.first IN (x, y) AND NOT t1.whole WINDOW w AS (PARTITION BY g2.source_id ORDER BY pos ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY g2.source_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), p AS (PARTITION BY g2.source_id)", "l", "r", "1000", "plain", "0.000001::DOUBLE") + f"""),
+g3 AS (SELECT g2.*, CASE WHEN g2.first = t1.y AND t1.whole THEN t1.x WHEN g2.first IN (t1.x, t1.y) AND NOT t1.whole THEN CASE WHEN pos <= cutpos THEN t1.x ELSE cutpos + 1 END ELSE g2.first END AS piece FROM g2 LEFT JOIN t1 USING (source_id) LEFT JOIN h1 USING (source_id)),
+g4 AS (SELECT *, CASE WHEN pos < max(pos) OVER (PARTITION BY source_id, piece) THEN gap_ms END AS inner_gap FROM g3),
+o AS (SELECT source_id, piece, regexp_replace(string_agg(CASE WHEN j THEN '' ELSE ' ' END || t, '' ORDER BY pos) FILTER (NOT blank), '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g') AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, CAST(round(sum(conf) * 1000) AS BIGINT) AS thousandths, CAST(coalesce(max(inner_gap), 0) AS BIGINT) AS silence_ms FROM g4 GROUP BY source_id, piece HAVING count(*) FILTER (NOT blank) > 0)
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY piece) AS BIGINT) AS clip_no, text, start_ms, end_ms, n_words, end_ms - start_ms > 15000 AS oversized, thousandths, silence_ms FROM o"""
 _STAMP = "lpad(CAST(CAST(floor({0}) AS BIGINT) // 3600 AS VARCHAR), CAST(greatest(2, len(CAST(CAST(floor({0}) AS BIGINT) // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
 
 SQL = {
@@ -178,7 +236,9 @@ SQL = {
     "pause_runs": _GAPS + f""", r AS (SELECT *, coalesce(sum(CASE WHEN pause_ms > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run_no FROM p)
 SELECT source_id, CAST(run_no AS BIGINT) AS run_no, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos, arg_min(a, pos) AS start_ms, arg_max(b, pos) AS end_ms, CAST(sum(len({_w("text")})) AS BIGINT) AS n_words, {_STAMP.format("arg_min(a, pos) / 1000")} AS at FROM r GROUP BY source_id, run_no""",
     "break_scores": _WORTH,
-    "span_repair": _REPAIR,
+    "grouped_paragraphs": _PARAGRAPHS,
+    "span_repair": _REPAIR + " SELECT source_id, pos, start_ms, end_ms, gap_ms, sentence, clause, blank FROM f",
+    "cut_clips": _CLIPS,
     "joined_tokens": """
 WITH w AS (SELECT DISTINCT source_id, pos, text, start_s, end_s, joins_left FROM words),
 n AS (SELECT *, sum(CASE WHEN coalesce(joins_left, false) THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS word_no FROM w)
