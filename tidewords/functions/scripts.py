@@ -21,11 +21,18 @@ LANGUAGES = {
     "gurmukhi": "pa", "gujarati": "gu", "tamil": "ta", "telugu": "te", "kannada": "kn", "malayalam": "ml", "sinhala": "si", "thai": "th",
     "lao": "lo", "myanmar": "my", "khmer": "km", "ethiopic": "am", "georgian": "ka", "armenian": "hy", "cjk": "zh ja ko",
 }
+# Scripts without spaces, languages by engine and quality, codes a recognizer takes, names people write instead.
 UNSPACED = ("cjk", "thai", "lao", "myanmar", "khmer")
 LARGE_MODEL = "am az ba be bn bo br cy fo gl gu ha haw hi hy jw ka kk km kn la lb ln lo mg mi mk ml mn mr mt my ne nn oc pa ps sa sd si sn so sq su sw ta te tg tk tl tt uk ur uz yi yo yue"
 FAST_ENGINE = "de en it ru"
 UNUSABLE = "am as bn bo gu ka km ln lo mg ml mn my pa ps sd si sn so su te tg tk uz yo"
-NAMED = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "russian": "ru", "ukrainian": "uk", "greek": "el", "turkish": "tr"}
+NAMED = {
+    "english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "russian": "ru",
+    "ukrainian": "uk", "greek": "el", "turkish": "tr", "urdu": "ur", "arabic": "ar", "hindi": "hi", "chinese": "zh", "mandarin": "zh", "japanese": "ja",
+    "korean": "ko", "persian": "fa", "farsi": "fa", "punjabi": "pa", "bengali": "bn", "uzbek": "uz", "pashto": "ps", "sindhi": "sd", "tamil": "ta",
+    "telugu": "te", "indonesian": "id", "vietnamese": "vi", "thai": "th", "polish": "pl",
+}
+CODES = "af am ar as az ba be bg bn bo br bs ca cs cy da de el en es et eu fa fi fo fr gl gu ha haw he hi hr ht hu hy id is it ja jw ka kk km kn ko la lb ln lo lt lv mg mi mk ml mn mr ms mt my ne nl nn no oc pa pl ps pt ro ru sa sd si sk sl sn so sq sr su sv sw ta te tg th tk tl tr tt uk ur uz vi yi yo yue zh"
 
 
 def _class(name: str) -> str:
@@ -81,3 +88,20 @@ def engine(language: Column, *, fast: bool) -> Column:
     name = F.when(F.coalesce(quick, F.lit(False)), "fast").otherwise("whisper")
     model = F.when(F.coalesce(quick, F.lit(False)), "fast").when(large, "large-v3").otherwise("small")
     return F.struct(name.alias("engine"), model.alias("model"), (~F.coalesce(base.isin(*UNUSABLE.split()), F.lit(False))).alias("usable"))
+
+
+def checked_code(language: Column) -> Column:
+    """The code a recognizer takes, without a region it doesn't know; null for null and blank labels. Anything else is an error
+    that names the code of a language's English name."""
+    code = F.replace(F.lower(strip(language)), F.lit("_"), F.lit("-"))
+    base = F.split_part(code, F.lit("-"), F.lit(1))
+    known = CODES.split()
+    guess = F.try_element_at(F.create_map(*[F.lit(x) for p in NAMED.items() for x in p]), code)
+    wrong = F.raise_error(F.concat(F.lit("no language code: "), language, F.coalesce(F.concat(F.lit("; did you mean "), guess, F.lit("?")), F.lit("")))).cast("string")
+    return F.when(language.isNull() | (code == ""), F.lit(None)).when(code.isin(*known), code).when(base.isin(*known), base).otherwise(wrong)
+
+
+def is_code(language: Column) -> Column:
+    """Whether :func:`checked_code` takes a label."""
+    code = F.replace(F.lower(strip(language)), F.lit("_"), F.lit("-"))
+    return language.isNull() | (code == "") | code.isin(*CODES.split()) | F.split_part(code, F.lit("-"), F.lit(1)).isin(*CODES.split())

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space of Unicode; marks that end sentences and clauses; what may close after them.
+# White space of Unicode; marks that end sentences and clauses; what may close after them; abbreviations; words
+# that leave a sentence open, words that open one, hesitations, and words of sound cues.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CLOSERS = r"""\x{22}\x{201c}\x{201d}\x{2018}\x{2019}'\)\]\x{300d}\x{300f}\x{300b}\x{3009}\x{3011}"""
 SENTENCE_MARKS = r".!?\x{3002}\x{ff01}\x{ff1f}\x{61f}\x{6d4}\x{964}\x{965}\x{1362}\x{104b}\x{17d4}\x{17d5}\x{f0d}\x{589}"
@@ -96,6 +97,11 @@ def duration_seconds(c: Column) -> Column:
     return F.greatest(F.coalesce(F.nanvl(total, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
 
 
+def utc_stamp(c: Column) -> Column:
+    """A timestamp as ``2026-01-31T09:05:00Z``."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def slug(c: Column, fallback: str = "episode") -> Column:
     """Lower-case stem of letters, digits and marks joined by hyphens, 80 characters at most."""
     kept = F.lower(strip(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}\p{{M}}{SPACE}_-]", "")))

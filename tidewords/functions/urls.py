@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Path heads before a video id, before a channel's name, and tabs that list videos.
+from tidewords.functions.text import slug
+
+# Path heads before a video id, before a channel's name, tabs that list videos, and suffixes of media.
 VIDEO_HEADS = ("embed", "shorts", "live")
 CHANNEL_HEADS = ("channel", "c", "user")
 TABS = ("videos", "streams", "shorts")
 ID = "^[A-Za-z0-9_-]{11}$"
+MEDIA = (".mp3", ".m4a", ".wav", ".flac", ".ogg", ".opus", ".mp4", ".mkv", ".mov", ".webm", ".aac")
 
 
 def _host(url: Column) -> Column:
@@ -48,3 +51,20 @@ def batch(url: Column, hosts: list[str]) -> Column:
     """Id of a playlist, ``/playlist?list=``, or else the channel; null for single videos."""
     listed = F.when(F.rtrim(F.try_parse_url(url, F.lit("PATH")), F.lit("/")) == "/playlist", F.try_parse_url(url, F.lit("QUERY"), F.lit("list")))
     return F.coalesce(F.when(listed.rlike("^[A-Za-z0-9_-]+$"), listed), channel(url, hosts))
+
+
+def stem(url: Column) -> Column:
+    """A file's stem for a media URL: its last path segment, else its host, else ``media``, as a slug."""
+    segments = _segments(url)
+    tail = F.when(F.size(segments) > 0, F.element_at(segments, -1))
+    return slug(F.coalesce(tail, F.nullif(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("")), F.lit("media")))
+
+
+def suffix(path: Column) -> Column:
+    """The suffix of a path or URL in lower case, with its point; empty without one."""
+    return F.lower(F.regexp_extract(F.regexp_replace(path, "[?#].*$", ""), r"[^/.](\.[A-Za-z0-9]+)$", 1))
+
+
+def is_media(path: Column) -> Column:
+    """Whether a path names audio or video by its suffix."""
+    return suffix(path).isin(*MEDIA)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewords.functions import scripts
-from tidewords.functions.exact import compression_ratio
+from tidewords.functions.exact import compression_ratio, fixed
 from tidewords.functions.text import preview, strip
 
 #: Seconds a spoken word lasts at most when silences are measured.
@@ -82,9 +82,71 @@ def reasons(candidates: DataFrame, limits: Limits | None = None, *, with_compres
     return out.withColumn("reason", F.coalesce("reason", late)).drop("__ratio")
 
 
-def drops(judged: DataFrame, key: str = "ref") -> DataFrame:
-    """``clip, filter, text`` of the dropped rows; texts as previews of 80 characters."""
-    return judged.where("reason is not null").select(F.col(key).alias("clip"), F.col("reason").alias("filter"), preview(strip(F.coalesce("text", F.lit("")))).alias("text"))
+def drops(judged: DataFrame, key: str = "ref", limits: Limits | None = None, *, clip_key: str | None = None) -> DataFrame:
+    """``clip, filter, value, threshold, text`` of the dropped rows, all strings: what was measured, what was asked for, a preview
+    of 80 characters. judged: rows with ``reason`` and what it was found from, as :func:`reasons` takes them, or, where these
+    were measured before, ``silence_ms`` and ``confidence``. Numbers are printed to their own digits, half to even."""
+    lim = limits or Limits()
+    out = judged.where("reason is not null")
+    has = set(judged.columns)
+    text = strip(F.coalesce("text", F.lit("")))
+    start, end = (("start_s", "end_s") if "start_s" in has else ("start_ms", "end_ms"))
+    seconds = F.coalesce(F.round((F.col(end) - F.col(start)) * (1000 if start == "start_s" else 1)), F.lit(0.0)) / 1000
+    silence = F.col("silence_ms") / 1000 if "silence_ms" in has else silence_s(F.col("words"))
+    sure = F.col("confidence") if "confidence" in has else mean_confidence(F.col("words"))
+    script = scripts.target(F.col("language"))
+    rate = F.length(text) / F.nullif(seconds, F.lit(0.0))
+    num = lambda c, digits, unit: F.concat(fixed(c.cast("double"), F.lit(digits)), F.lit(unit))
+    more, less = lambda x, unit="": F.lit(f">={x}{unit}"), lambda x, unit="": F.lit(f"<={x}{unit}")
+    why = F.col("reason")
+    said = {
+        "empty_text": (F.lit("0"), F.lit(">0 chars")),
+        "duration": (num(seconds, 2, "s"), F.when(seconds < lim.least_s, more(lim.least_s, "s")).otherwise(less(lim.most_s, "s"))),
+        "internal_silence": (num(silence, 2, "s"), less(lim.most_silence_s, "s")),
+        "non_target_script": (scripts.dominant(text)["script"], script),
+        "char_rate": (num(rate, 1, "/s"), F.when(rate < lim.least_chars_s, more(lim.least_chars_s, "/s")).otherwise(less(lim.most_chars_s, "/s"))),
+        "compression_ratio": (num(compression_ratio(F.when(why == "compression_ratio", text)), 2, ""), less(lim.most_compression)),
+        "confidence": (num(sure, 2, ""), more(lim.least_confidence)),
+    }
+    value, threshold = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (v, t) in said.items():
+        value, threshold = F.when(why == name, v).otherwise(value), F.when(why == name, t).otherwise(threshold)
+    return out.select(F.col(clip_key or key).alias("clip"), why.alias("filter"), value.alias("value"), threshold.alias("threshold"), preview(F.when(why == "empty_text", F.coalesce("text", F.lit(""))).otherwise(text)).alias("text"))
+
+
+#: Seconds that a written clip must be longer than; failures that a source may have, and what part of its clips.
+LEAST_CLIP_S, FAILURES, FAILURE_RATE = 0.01, 3, 0.2
+#: Share of samples at full scale above which a clip is clipped, and full scale.
+CLIPPED, FULL_SCALE = 0.005, 32_767
+
+
+def sliced(kept: DataFrame, slices: DataFrame, *, clipping: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What came of cutting clips: those written, with ``clip_id`` numbered without holes; drops; sources given up.
+
+    kept: ref, source_id, seg (their order), text. slices: ref, error (null if cut), written_s, and, for ``clipping``, clipped, the
+    share of samples at full scale (null where that can't be told, which drops nothing). The drops are ``slice_failed``,
+    ``empty_slice`` and, by final id, ``clipping``. Of a source more of whose cuts fail than FAILURES and FAILURE_RATE of its
+    clips nothing is written; it comes out as ``source_id, failures, clips``. A clip without a slice has failed.
+    """
+    from tidewords.operators import merge
+
+    rows = kept.join(slices.select("ref", F.col("error").alias("__e"), "written_s", *(["clipped"] if clipping else []), F.lit(True).alias("__s")), "ref", "left")
+    error = F.coalesce("__e", F.when(F.col("__s").isNull(), F.lit("not cut")))
+    rows = rows.withColumn("__e", error)
+    per = rows.groupBy("source_id").agg(F.count("*").alias("clips"), F.count_if(F.col("__e").isNotNull()).alias("failures"))
+    lost = per.where(F.col("failures") > F.greatest(F.lit(float(FAILURES)), F.col("clips") * FAILURE_RATE))
+    rows = rows.join(lost.select("source_id"), "source_id", "left_anti")
+    empty = F.coalesce(F.col("written_s") <= LEAST_CLIP_S, F.lit(True))
+    early = rows.where(F.col("__e").isNotNull() | empty)
+    why = F.when(F.col("__e").isNotNull(), "slice_failed").otherwise("empty_slice")
+    text = F.left(F.coalesce("text", F.lit("")), F.lit(80))
+    drops_ = early.select(F.col("ref").alias("clip"), why.alias("filter"), F.when(F.col("__e").isNotNull(), F.left("__e", F.lit(80))).otherwise("0.00s").alias("value"), F.when(F.col("__e").isNotNull(), "cut").otherwise(">0s").alias("threshold"), text.alias("text"))
+    out = merge.clip_numbers(rows.where(F.col("__e").isNull() & ~empty).drop("__e", "__s"), "seg")
+    if clipping:
+        loud = F.coalesce(F.col("clipped") > CLIPPED, F.lit(False))
+        drops_ = drops_.unionByName(out.where(loud).select(F.col("clip_id").alias("clip"), F.lit("clipping").alias("filter"), F.concat(fixed(F.col("clipped") * 100, F.lit(2)), F.lit("%")).alias("value"), F.lit(f"<={CLIPPED * 100}%").alias("threshold"), preview(F.coalesce("text", F.lit(""))).alias("text")))
+        out = out.where(~loud).drop("clipped")
+    return out, drops_, lost.select("source_id", "failures", "clips")
 
 
 def padded(clips: DataFrame, *, pad_s: float = 0.1, media_s: str | None = None) -> DataFrame:

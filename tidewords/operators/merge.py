@@ -44,6 +44,22 @@ def totals(clips: DataFrame) -> DataFrame:
     return one.rollup("source_id").agg(F.count("*").alias("clips"), F.coalesce(F.sum(ms), F.lit(0)).alias("total_ms"), F.count_if(F.coalesce("r.oversized", F.lit(False))).alias("oversized"), F.grouping("source_id").alias("g")).where("g = 1 or source_id is not null").select("source_id", "clips", "total_ms", "oversized")
 
 
+def outcome(clips: DataFrame, drops: DataFrame, tried: DataFrame) -> DataFrame:
+    """``source_id, clips, dropped, ok, error`` of every source tried (source_id, error). clips: source_id; drops: source_id.
+    A source is ok if it has no error and any clips; one without either says so."""
+    made = clips.groupBy("source_id").agg(F.count("*").alias("clips"))
+    lost = drops.groupBy("source_id").agg(F.count("*").alias("dropped"))
+    one = tried.groupBy("source_id").agg(F.max("error").alias("error"))
+    out = one.join(made, "source_id", "left").join(lost, "source_id", "left").fillna(0, ["clips", "dropped"])
+    error = F.coalesce("error", F.when(F.col("clips") == 0, "no clips"))
+    return out.select("source_id", "clips", "dropped", error.isNull().alias("ok"), error.alias("error"))
+
+
+def succeeded(outcomes: DataFrame) -> DataFrame:
+    """One row: ``succeeded, failed, clips, dropped`` of :func:`outcome`."""
+    return outcomes.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("clips"), F.lit(0)).alias("clips"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
+
+
 def language_vote(languages: DataFrame, language: str = "language") -> DataFrame:
     """One row: ``language``, what all agree on, else ``und``; ``votes``, the counts, commonest first. An empty table gives ``und``."""
     counts = languages.where(F.col(language).isNotNull()).groupBy(F.col(language).alias("lang")).agg(F.count("*").alias("n"))
@@ -80,6 +96,23 @@ def orphans(files: DataFrame, clips: DataFrame, sources: DataFrame) -> DataFrame
     return own.join(clips.select(F.col("audio_path").alias("path")).where("path is not null").distinct(), "path", "left_anti").select("path").distinct()
 
 
+def all_ids(*tables: DataFrame) -> DataFrame:
+    """``source_id`` of every source that any of the tables has, such as those built now and those of a state."""
+    out = tables[0].select("source_id")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("source_id"))
+    return out.where("source_id is not null").distinct()
+
+
+def clamped_limit(asked: object, *, usual: int = 5, most: int = 25) -> int:
+    """A limit that a request asks for: ``usual`` if it is none or no number, else from 1 to ``most``."""
+    try:
+        n = int(asked or usual)
+    except (TypeError, ValueError):
+        return usual
+    return max(1, min(n, most))
+
+
 def picked(items: DataFrame, order: str, *, latest: bool = False, number: int | None = None, everything: bool = False, limit: int | None = None) -> DataFrame:
     """Which items of a listing to take: the one with a number from 1, else the first, else all up to a limit, else none."""
     if number is not None:

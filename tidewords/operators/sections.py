@@ -68,3 +68,11 @@ def sections(paragraphs: DataFrame, sources: DataFrame, *, window_s: float = 300
     span = F.concat(F.lit("["), format_timestamp(F.col("a")), F.lit(" – "), format_timestamp(F.col("b")), F.lit("]"))
     spans = spans.select("source_id", "key", F.row_number().over(Window.partitionBy("source_id").orderBy("key")).alias("section_no"), F.coalesce("title", span).alias("section"))
     return both.select("source_id", "para_no", "key").join(spans, ["source_id", "key"]).select("source_id", "para_no", "section_no", "section")
+
+
+def windows(media: DataFrame, *, window_s: float = 120.0) -> DataFrame:
+    """``source_id, window_no, start_s, end_s``: stretches of ``window_s``, the last one shorter, in which long media are worked off.
+    Media without a positive finite duration_s have none."""
+    some = media.where("source_id is not null and duration_s > 0 and not isnan(duration_s) and duration_s < 1e9")
+    cut = some.select("source_id", "duration_s", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("duration_s") / window_s) - 1).cast("int"))).alias("window_no"))
+    return cut.select("source_id", "window_no", (F.col("window_no") * window_s).alias("start_s"), F.least((F.col("window_no") + 1) * window_s, "duration_s").alias("end_s"))

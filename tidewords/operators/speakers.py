@@ -52,8 +52,9 @@ def dominant(turns: DataFrame) -> DataFrame:
     return per.groupBy("source_id").agg(F.min(F.struct((-F.col("ms")).alias("m"), "first", "speaker")).alias("x")).select("source_id", F.col("x.speaker").alias("speaker"), (-F.col("x.m")).alias("ms"))
 
 
-def speaker_drops(clips: DataFrame, turns: DataFrame, *, mode: str = "tag", least_purity: float = 0.85) -> DataFrame:
-    """``id, speaker, reason`` of every clip: ``no_speaker``, ``cross_speaker``, ``non_dominant_speaker`` or null if kept.
+def speaker_drops(clips: DataFrame, turns: DataFrame, *, mode: str = "tag", least_purity: float = 0.85, measured: bool = False) -> DataFrame:
+    """``id, speaker, reason`` of every clip: ``no_speaker``, ``cross_speaker``, ``non_dominant_speaker`` or null if kept; with
+    ``measured`` also ``purity`` and ``main``, the source's main speaker.
 
     mode ``tag`` and ``per_speaker`` keep all speakers, ``dominant`` only each source's main one.
     """
@@ -66,4 +67,5 @@ def speaker_drops(clips: DataFrame, turns: DataFrame, *, mode: str = "tag", leas
     reason = F.when(F.col("speaker").isNull(), "no_speaker").when(F.col("overlap_ms") < least_purity * F.col("total_ms"), "cross_speaker")
     if mode == "dominant":
         reason = reason.when(F.col("speaker") != F.col("main"), "non_dominant_speaker")
-    return got.select("id", "speaker", reason.alias("reason"))
+    purity = F.col("overlap_ms") / F.nullif("total_ms", F.lit(0))
+    return got.select("id", "speaker", reason.alias("reason"), *([purity.alias("purity"), "main"] if measured else []))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewords.functions import scripts
-from tidewords.functions.exact import compression_ratio
+from tidewords.functions.exact import compression_ratio, fixed
 from tidewords.operators import cutting, filters, merge, sections, speakers, verify
 from tidewords.session import settle
 from tidewords.sinks import rows as sinks
@@ -43,7 +43,7 @@ def dataset(words: DataFrame, sources: DataFrame, turns: DataFrame | None = None
     """Clips and drops out of words.
 
     clips: id, source_id, audio_path, text, start_s, end_s, duration_s, oversized, speaker, with the window to slice,
-    cut_start_ms and cut_end_ms. drops: clip, filter, text. Clip ends are clamped to the media's length, clips past it
+    cut_start_ms and cut_end_ms. drops: clip, filter, value, threshold, text. Clip ends are clamped to the media's length, clips past it
     vanish; ids have no holes before speakers are judged; a source without known language is held to no script.
     """
     cfg = config or DatasetConfig()
@@ -53,20 +53,58 @@ def dataset(words: DataFrame, sources: DataFrame, turns: DataFrame | None = None
     cut = cutting.clips(words, least_s=cfg.least_s, most_s=cfg.most_s, pause_s=cfg.pause_s)
     cut = cut.join(src.select("source_id", "duration_s", language.alias("language")), "source_id", "left")
     media = F.round(F.col("duration_s") * 1000).cast("bigint")
-    cut = cut.withColumn("end_ms", F.when(media > 0, F.least("end_ms", media)).otherwise(F.col("end_ms"))).where("end_ms > start_ms")
+    cut = clamped(cut.withColumn("__media", media), "__media").drop("__media")
     cut = settle(filters.padded(cut, pad_s=cfg.pad_s, media_s="duration_s"), "cut")
     judged = _judged(cut.withColumn("ref", F.concat("source_id", F.lit("_seg"), F.lpad(F.col("clip_no").cast("string"), 4, "0"))), lim)
     judged = settle(judged, "judged")
     kept = merge.clip_numbers(judged.where("reason is null"), "clip_no")
     kept = kept.select(F.col("clip_id").alias("id"), "source_id", F.concat(F.lit("wavs/"), "clip_id", F.lit(".wav")).alias("audio_path"), "text", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), ((F.col("end_ms") - F.col("start_ms")) / 1000).alias("duration_s"), "oversized", "cut_start_ms", "cut_end_ms")
-    drops = filters.drops(judged)
+    drops = filters.drops(judged, limits=lim)
     if turns is None or cfg.speaker_mode is None:
         return kept.withColumn("speaker", F.lit(None).cast("string")), drops
     kept = settle(kept, "kept")
-    said = speakers.speaker_drops(kept, turns, mode=cfg.speaker_mode, least_purity=cfg.least_purity)
+    said = speakers.speaker_drops(kept, turns, mode=cfg.speaker_mode, least_purity=cfg.least_purity, measured=True)
     with_speaker = kept.join(said, "id", "left")
-    lost = with_speaker.where("reason is not null").select(F.col("id").alias("clip"), F.col("reason").alias("filter"), filters.preview(F.col("text")).alias("text"))
-    return with_speaker.where("reason is null").drop("reason"), drops.unionByName(lost)
+    lost = with_speaker.where("reason is not null").select(F.col("id").alias("clip"), F.col("reason").alias("filter"), *_purity(cfg.least_purity), filters.preview(F.col("text")).alias("text"))
+    return with_speaker.where("reason is null").drop("reason", "purity", "main"), drops.unionByName(lost)
+
+
+def clamped(clips: DataFrame, media_ms: str) -> DataFrame:
+    """Clips (start_ms, end_ms) that end with their media at the latest; those that begin at its end or past it vanish. A length that
+    is null or not positive clamps nothing."""
+    end = F.when(F.col(media_ms) > 0, F.least("end_ms", F.col(media_ms).cast("bigint"))).otherwise(F.col("end_ms"))
+    return clips.withColumn("end_ms", end).where("end_ms > start_ms")
+
+
+def wordless(sources: DataFrame, words: DataFrame) -> DataFrame:
+    """``source_id`` of the sources without any word, of which no clips can be made."""
+    said = words.where("source_id is not null and text is not null").groupBy("source_id").agg(F.lit(1).alias("one"))
+    return sources.where("source_id is not null").select("source_id").distinct().join(said, "source_id", "left_anti")
+
+
+def advice(sources: DataFrame, *, rate: int = 22_050, formats: tuple[str, ...] = ("jsonl",)) -> DataFrame:
+    """``source_id, advice``: what to think over before a source is built, an array in this order: ``low_resource`` (recognized by a stock
+    model that can't read its language), ``small_model`` (words may be lost in alignment), ``upsampled`` (its rate is under the target),
+    ``formats`` (indexes that don't go together).
+
+    sources: source_id, language, model (``tiny`` to ``large-v3``, else one's own), rate where known.
+    """
+    base = scripts.base_code(F.col("language"))
+    stock = F.col("model").isin(*STOCK)
+    rules = {"low_resource": stock & base.isin(*scripts.UNUSABLE.split()), "small_model": F.col("model").isin("tiny", "base"), "upsampled": (F.col("rate") > 0) & (F.col("rate") < rate), "formats": F.lit({"hf", "ljspeech"} <= set(formats))}
+    return sources.select("source_id", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()])).alias("advice"))
+
+
+#: Sizes of the recognizer that come ready-made.
+STOCK = ("tiny", "base", "small", "medium", "large-v3")
+
+
+def _purity(least: float) -> list[Column]:
+    """Value and threshold of a drop for speakers: how pure, or who it is and who is wanted."""
+    why = F.col("reason")
+    value = F.when(why == "cross_speaker", fixed("purity", F.lit(2))).otherwise(F.coalesce("speaker", F.lit("none")))
+    asked = F.when(why == "cross_speaker", f">={least}").when(why == "no_speaker", "a speaker").otherwise(F.coalesce("main", F.lit("")))
+    return [value.alias("value"), asked.alias("threshold")]
 
 
 def _judged(cut: DataFrame, lim: filters.Limits) -> DataFrame:

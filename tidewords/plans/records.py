@@ -127,8 +127,8 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_audio(spark: SparkSession, d: str) -> DataFrame:
-    """Clips without their file."""
-    return verify.missing_audio(_clips(spark, d), _files(spark, d))
+    """Clips without their file, in a listing that lacks every tenth."""
+    return verify.missing_audio(_clips(spark, d), _files(spark, d).where("path not like '%7.wav'"))
 
 
 def orphan_audio(spark: SparkSession, d: str) -> DataFrame:
@@ -207,8 +207,7 @@ def audiofolder_lines(spark: SparkSession, d: str) -> DataFrame:
 def speaker_index(spark: SparkSession, d: str) -> DataFrame:
     """Clips and length by speaker label."""
     c = _clips(spark, d).where("speaker is not null")
-    slug = F.regexp_replace(F.regexp_replace("speaker", "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", "")
-    return c.groupBy(F.when(slug == "", "unknown").otherwise(slug).alias("slug")).agg(F.count("*").alias("clips"), F.sum(F.round(F.col("duration_s") * 1000).cast("bigint")).alias("ms"))
+    return c.groupBy(sinks.speaker_slug(F.col("speaker")).alias("slug")).agg(F.count("*").alias("clips"), F.sum(F.round(F.col("duration_s") * 1000).cast("bigint")).alias("ms"))
 
 
 def size_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +341,7 @@ UNION ALL SELECT NULL, count(*), CAST(coalesce(sum(CAST(round(duration_s * 1000)
     "language_vote": f"""
 WITH {_S}, x AS (SELECT {_CODE} AS l FROM s), y AS (SELECT l, count(*) AS n FROM x WHERE l IS NOT NULL GROUP BY l)
 SELECT CASE WHEN count(*) = 1 THEN max(l) ELSE 'und' END AS language, coalesce(string_agg(l || ':' || n, ' ' ORDER BY n DESC, l), '') AS votes FROM y""",
-    "missing_audio": f"WITH {_S}, {_C}, {_F} SELECT DISTINCT id FROM c WHERE audio_path IS NULL OR audio_path NOT IN (SELECT path FROM f WHERE path IS NOT NULL)",
+    "missing_audio": f"WITH {_S}, {_C}, {_F} SELECT DISTINCT id FROM c WHERE audio_path IS NULL OR audio_path NOT IN (SELECT path FROM f WHERE path IS NOT NULL AND path NOT LIKE '%7.wav')",
     "orphan_audio": f"WITH {_S}, {_C}, {_F} SELECT DISTINCT path FROM f WHERE regexp_matches(path, '_\\d{{4}}\\.wav$') AND regexp_extract(path, '([^/]+)_\\d{{4}}\\.wav$', 1) IN (SELECT source_id FROM s) AND path NOT IN (SELECT audio_path FROM c WHERE audio_path IS NOT NULL)",
     "duplicate_ids": "SELECT id, count(*) AS n FROM clips WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
     "duration_off": f"WITH {_S}, {_C}, {_F} SELECT DISTINCT id FROM c JOIN f ON path = audio_path WHERE abs(CAST(round(duration_s * 1000) AS BIGINT) - CAST(round(actual_s * 1000) AS BIGINT)) > 50",
@@ -368,6 +367,8 @@ SELECT source_id, CASE WHEN len(bad) > 0 THEN 'not trainable' WHEN len(fair) > 0
 WITH {_S}, {_C}, {_F}, g AS (SELECT DISTINCT source_id FROM verifications WHERE model = 'whisper-small' AND verdict = 'trainable' AND source_id IN (SELECT source_id FROM s) AND source_id IN (SELECT source_id FROM c))
 SELECT source_id FROM g WHERE source_id NOT IN (SELECT source_id FROM c WHERE source_id IS NOT NULL AND audio_path IS NOT NULL AND audio_path NOT IN (SELECT path FROM f WHERE path IS NOT NULL))""",
     "ljspeech_lines": f"WITH {_C} SELECT id || '|' || {_PIPE} || '|' || {_PIPE} AS line FROM c",
+    "manifest_lines": f"WITH {_C} SELECT '{{' || concat_ws(',', '\"audio_filepath\":' || to_json(audio_path), '\"duration\":' || to_json(round(duration_s, 3)), '\"text\":' || to_json(text), '\"offset\":0.0', '\"speaker\":' || to_json(speaker)) || '}}' AS line FROM c",
+    "audiofolder_lines": f"WITH {_C} SELECT '{{' || concat_ws(',', '\"file_name\":' || to_json(audio_path), '\"transcription\":' || to_json(text)) || '}}' AS line FROM c",
     "speaker_index": f"""
 WITH {_C}, x AS (SELECT regexp_replace(regexp_replace(speaker, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS g, CAST(round(duration_s * 1000) AS BIGINT) AS d FROM c WHERE speaker IS NOT NULL)
 SELECT CASE WHEN g = '' THEN 'unknown' ELSE g END AS slug, count(*) AS clips, CAST(sum(d) AS BIGINT) AS ms FROM x GROUP BY 1""",

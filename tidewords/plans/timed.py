@@ -231,7 +231,45 @@ o AS (SELECT source_id, piece, regexp_replace(string_agg(CASE WHEN j THEN '' ELS
 SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY piece) AS BIGINT) AS clip_no, text, start_ms, end_ms, n_words, end_ms - start_ms > 15000 AS oversized, thousandths, silence_ms FROM o"""
 _STAMP = "lpad(CAST(CAST(floor({0}) AS BIGINT) // 3600 AS VARCHAR), CAST(greatest(2, len(CAST(CAST(floor({0}) AS BIGINT) // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
 
+_PARAS = "p AS (SELECT DISTINCT source_id, para_no, section, text, start_s, end_s FROM paragraphs WHERE source_id IS NOT NULL AND para_no IS NOT NULL)"
+_FLOOR = "lpad(CAST({0} // 3600 AS VARCHAR), CAST(greatest(2, len(CAST({0} // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST({0} // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0')"
+# sections: chapters where a source has any, else slices that the first paragraph past their end begins anew
+_SECTIONS = f"""
+WITH RECURSIVE {_PARAS},
+h AS (SELECT source_id, any_value(chapters) AS chapters FROM sources WHERE source_id IS NOT NULL GROUP BY source_id),
+c AS (SELECT source_id, u.i AS i, u.c.start_time AS s, u.c.title AS title FROM (SELECT source_id, unnest(list_transform(chapters, lambda c, i: {{'c': c, 'i': i}})) AS u FROM h) WHERE u.c.start_time IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s, i) - 1 AS no FROM c),
+a AS (SELECT p.source_id, p.para_no, coalesce(max(no), -1) AS key, arg_max(n.title, no) AS title FROM p LEFT JOIN n ON p.source_id = n.source_id AND n.s <= p.start_s WHERE p.source_id IN (SELECT source_id FROM h WHERE len(chapters) > 0) GROUP BY p.source_id, p.para_no),
+t AS (SELECT source_id, para_no, coalesce(start_s, 0) AS s FROM p WHERE source_id NOT IN (SELECT source_id FROM h WHERE len(chapters) > 0)),
+chain AS (
+  SELECT source_id, para_no, s FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY para_no) AS r FROM t) WHERE r = 1
+  UNION ALL
+  SELECT c.source_id, n.para_no, n.s FROM chain c, LATERAL (SELECT t.para_no, t.s FROM t WHERE t.source_id = c.source_id AND t.para_no > c.para_no AND t.s >= c.s + 300 ORDER BY t.para_no LIMIT 1) n),
+b AS (SELECT t.source_id, t.para_no, max(c.para_no) AS key, NULL AS title FROM t JOIN chain c ON t.source_id = c.source_id AND c.para_no <= t.para_no GROUP BY t.source_id, t.para_no),
+k AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+z AS (SELECT source_id, key, max(title) AS title, CAST(floor(coalesce(arg_min(start_s, para_no), 0)) AS BIGINT) AS lo, CAST(floor(coalesce(max(end_s), 0)) AS BIGINT) AS hi, row_number() OVER (PARTITION BY source_id ORDER BY key) AS section_no FROM k JOIN p USING (source_id, para_no) GROUP BY source_id, key),
+q AS (SELECT source_id, para_no, section_no, coalesce(z.title, '[' || {_FLOOR.replace("{0}", "lo")} || ' – ' || {_FLOOR.replace("{0}", "hi")} || ']') AS section FROM k JOIN z USING (source_id, key)),
+w AS (SELECT source_id, para_no AS pos, start_s, end_s, q.section, text FROM p JOIN q USING (source_id, para_no))"""
+_QUOTED = "'\"' || replace(replace(coalesce({0}, ''), '\\', '\\\\'), '\"', '\\\"') || '\"'"
+_FLAT = "trim(regexp_replace({0}, '[" + tx.SPACE + "]+', ' ', 'g'))"
+_TABS = "list_reduce(string_split({0}, chr(9)), lambda acc, x: acc || repeat(' ', 8 - len(list_last(string_split(replace(acc, chr(13), chr(10)), chr(10)))) % 8) || x)"
+_WRAPPED = "list_reduce(regexp_extract_all({0}, '[ \\t-\\r]*[^ \\t-\\r]+'), lambda acc, x: acc || CASE WHEN len(list_last(string_split(acc, chr(10)))) + len(x) <= 80 THEN regexp_replace(x, '[\\t-\\r]', ' ', 'g') ELSE chr(10) || ltrim(regexp_replace(x, '[\\t-\\r]', ' ', 'g')) END)"
+_MARKDOWN = _SECTIONS + f""",
+s AS (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY title DESC NULLS LAST, source DESC NULLS LAST, channel DESC NULLS LAST, duration_s DESC NULLS LAST, language DESC NULLS LAST, method DESC NULLS LAST, ingested_at DESC NULLS LAST) = 1),
+v AS (SELECT *, CAST(floor(duration_s) AS BIGINT) AS sec FROM s)
+SELECT source_id, CAST(-1 AS DOUBLE) AS line_no, concat_ws(chr(10), '---', 'title: ' || {_QUOTED.replace("{0}", "title")}, 'source: ' || {_QUOTED.replace("{0}", "source")}, 'channel: ' || {_QUOTED.replace("{0}", "channel")}, 'duration: ' || {_QUOTED.replace("{0}", _FLOOR.replace("{0}", "sec"))}, 'language: ' || {_QUOTED.replace("{0}", "language")}, 'method: ' || {_QUOTED.replace("{0}", "method")}, 'ingested_at: ' || {_QUOTED.replace("{0}", "strftime(ingested_at, '%Y-%m-%dT%H:%M:%SZ')")}, '---', '', '# ' || {_FLAT.replace("{0}", "coalesce(title, 'Untitled')")}) AS line FROM v
+UNION ALL SELECT source_id, min(pos) - 0.5, '## ' || {_FLAT.replace("{0}", "coalesce(section, '')")} FROM w GROUP BY source_id, section
+UNION ALL SELECT source_id, CAST(pos AS DOUBLE), {_WRAPPED.replace("{0}", _TABS).replace("{0}", "'**[' || " + _FLOOR.replace("{0}", "CAST(floor(start_s) AS BIGINT)") + " || ']** ' || coalesce(text, '')")} FROM w"""
+
 SQL = {
+    "titled_sections": _SECTIONS + " SELECT source_id, para_no, CAST(section_no AS INTEGER) AS section_no, section FROM q",
+    "chunks": _SECTIONS + " SELECT * FROM w",
+    "markdown": _MARKDOWN,
+    "clean_snippets": f"""
+WITH s AS (SELECT DISTINCT source_id, pos, {_FLAT.replace("{0}", "replace(replace(replace(replace(replace(replace(text, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')")} AS text, start_s, end_s - start_s AS d FROM segments),
+c AS (SELECT *, regexp_matches(text, '^[\\[(] *[^\\])]{{0,40}} *[\\])]$') AS cued, regexp_extract(text, '^[\\[(] *([^\\])]{{0,40}}) *[\\])]$', 1) AS i FROM s),
+k AS (SELECT *, trim(regexp_replace(trim(i), '^[\\x{{266a}}\\x{{266b}}\\x{{1f3b5}}\\x{{1f3b6}}]+|[\\x{{266a}}\\x{{266b}}\\x{{1f3b5}}\\x{{1f3b6}}]+$', '', 'g')) AS inner_text FROM c)
+SELECT source_id, pos, text, start_s, start_s + coalesce(d, 0) AS end_s FROM k WHERE text <> '' AND NOT (cued AND (inner_text = '' OR len(list_filter(string_split(inner_text, ' '), lambda x: lower(regexp_replace(x, '^[.,!?]+|[.,!?]+$', '', 'g')) IN {_IN(tx.NOISE_WORDS)})) > 0))""",
     "effective_gaps": _GAPS + " SELECT source_id, CAST(pos AS BIGINT) AS pos, gap_ms, pause_ms FROM p",
     "pause_runs": _GAPS + f""", r AS (SELECT *, coalesce(sum(CASE WHEN pause_ms > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run_no FROM p)
 SELECT source_id, CAST(run_no AS BIGINT) AS run_no, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos, arg_min(a, pos) AS start_ms, arg_max(b, pos) AS end_ms, CAST(sum(len({_w("text")})) AS BIGINT) AS n_words, {_STAMP.format("arg_min(a, pos) / 1000")} AS at FROM r GROUP BY source_id, run_no""",

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewords.errors import SourceError
 from tidewords.functions.exact import loud_edges, unescape
 from tidewords.functions.text import collapse, duration_seconds, is_noise_cue, strip
 from tidewords.operators import blocks
@@ -25,6 +26,11 @@ def _given(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`metadata` of JSON files, one object each, over several lines or one a line."""
+    return metadata(spark.read.schema(METADATA).option("multiLine", "true").json(path))
+
+
 def metadata(raw: DataFrame) -> DataFrame:
     """Sources out of raw metadata (METADATA): titles and channels with defaults, duration 0 where unknown. A null id is an error."""
     vid = F.when(_given(F.col("id")).isNull(), F.raise_error(F.lit("metadata without an id"))).otherwise(F.col("id"))
@@ -33,8 +39,11 @@ def metadata(raw: DataFrame) -> DataFrame:
 
 
 def playlist(raw: DataFrame, watch: str = "https://video.example/watch?v=") -> DataFrame:
-    """``pos, video_id, title, url`` of a listing (PLAYLIST): entries without id are skipped, titles and URLs default to the id's."""
-    e = raw.select(F.posexplode("entries").alias("pos", "e")).where("e is not null and e.id <> ''")
+    """``pos, video_id, title, url`` of a listing (PLAYLIST): entries without id are skipped, titles and URLs default to the id's.
+    A listing without any such entry is an error."""
+    some = F.exists(F.coalesce("entries", F.array().cast(raw.schema["entries"].dataType)), lambda e: F.coalesce(e["id"] != "", F.lit(False)))
+    empty = F.raise_error(F.concat(F.lit("nothing is listed under "), F.coalesce("title", F.lit("no title")))).cast("boolean")
+    e = raw.where(F.when(some, F.lit(True)).otherwise(empty)).select(F.posexplode("entries").alias("pos", "e")).where("e is not null and e.id <> ''")
     return e.select("pos", F.col("e.id").alias("video_id"), F.coalesce(_given(F.col("e.title")), F.col("e.id")).alias("title"), F.coalesce(_given(F.col("e.url")), F.concat(F.lit(watch), "e.id")).alias("url"))
 
 
@@ -44,6 +53,12 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     return episodes(items.withColumnRenamed("itunes:duration", "duration"))
 
 
+def show(spark: SparkSession, path: str) -> DataFrame:
+    """``title`` of each feed, ``Podcast`` where it has none."""
+    feeds = spark.read.format("xml").option("rowTag", "channel").schema("title string").load(path)
+    return feeds.select(F.coalesce(_given(strip(F.col("title"))), F.lit("Podcast")).alias("title"))
+
+
 def episodes(items: DataFrame) -> DataFrame:
     """``title, audio_url, duration_s, guid`` of feed items (FEED_ITEM)."""
     return items.select(F.coalesce(_given(F.col("title")), F.lit("Untitled episode")).alias("title"), enclosure(F.col("enclosure")).alias("audio_url"), F.coalesce(duration_seconds(F.col("duration")), F.lit(0.0)).alias("duration_s"), F.coalesce(_given(F.col("guid")), _given(F.col("link")), F.lit("")).alias("guid"))
@@ -68,6 +83,11 @@ def track_choice(tracks: DataFrame, requested: Column) -> DataFrame:
     return best.select("source_id", F.col("t.language_code").alias("language_code"), F.col("t.is_generated").alias("is_generated"))
 
 
+def fetched_track(tracks: DataFrame, requested: Column, fetched: DataFrame) -> DataFrame:
+    """Rows of ``fetched`` (source_id, language_code, is_generated, ...) of the track that :func:`track_choice` picks."""
+    return fetched.join(track_choice(tracks, requested), ["source_id", "language_code", "is_generated"], "left_semi")
+
+
 def snippets(raw: DataFrame) -> DataFrame:
     """``source_id, pos, text, start_s, end_s`` of caption snippets (source_id, pos, text, start, duration): entities
     resolved, white space collapsed, blank snippets and lone sound cues dropped."""
@@ -112,10 +132,45 @@ def index_rows(spark: SparkSession, root: str, kind: str) -> DataFrame:
     if kind == "ljspeech":
         df = spark.read.text(f"{root}/metadata.csv").where("value <> ''")
         cut = F.split("value", r"\|")
-        return df.select(cut[0].alias("id"), F.concat(F.lit("wavs/"), cut[0], F.lit(".wav")).alias("audio_path"), F.element_at(cut, -1).alias("text"), F.lit(None).cast("double").alias("duration_s"))
+        df = df.where(strip(F.col("value")) != "")
+        return df.select(cut[0].alias("id"), F.concat(F.lit("wavs/"), cut[0], F.lit(".wav")).alias("audio_path"), F.when(F.size(cut) > 1, F.element_at(cut, -1)).otherwise("").alias("text"), F.lit(None).cast("double").alias("duration_s"))
     raise ValueError(f"no such index: {kind}")
 
 
+#: Names of index files by kind, the one that tells most first.
+INDEXES = {"manifest": "manifest.jsonl", "ljspeech": "metadata.csv", "audiofolder": "metadata.jsonl"}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def index_scan(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
+    """:func:`index_rows` of the first index in the order of INDEXES that a folder has, and that index's kind; without any it is
+    an error."""
+    for kind, name in INDEXES.items():
+        if exists(spark, f"{root.rstrip('/')}/{name}"):
+            return index_rows(spark, root.rstrip("/"), kind), kind
+    raise SourceError(f"{root} has no index", f"One of {', '.join(INDEXES.values())} is needed.")
+
+
+def card_facts(cards: DataFrame) -> DataFrame:
+    """``language, model`` that each dataset card (column ``text``) declares; null where it doesn't, or the language is ``und``."""
+    language = F.regexp_extract("text", r'(?m)^language:\s*\n-\s*"?([A-Za-z-]+)"?', 1)
+    method = F.regexp_extract("text", r"\*\*transcription_method:\*\*\s*(\S+)", 1)
+    model = F.when(F.startswith(method, F.lit("whisper-")), F.substr(method, F.lit(9))).when(F.startswith(method, F.lit("parakeet")), "parakeet")
+    return cards.select(F.when(~language.isin("", "und"), language).alias("language"), model.alias("model"))
+
+
+def read_card(spark: SparkSession, root: str) -> DataFrame:
+    """:func:`card_facts` of a folder's card; nulls without one."""
+    at = f"{root.rstrip('/')}/dataset_card.md"
+    if not exists(spark, at):
+        return spark.createDataFrame([(None, None)], "language string, model string")
+    return card_facts(spark.read.option("wholetext", "true").text(at).withColumnRenamed("value", "text"))
+
+
 def wav_info(files: DataFrame, *, edges: bool = False) -> DataFrame:
     """``path, channels, width, rate, actual_s`` of PCM files (``spark.read.format("binaryFile")``); nulls if unreadable.
 
