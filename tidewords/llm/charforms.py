@@ -174,7 +174,8 @@ def suspect(text: Column) -> Column:
     """Quick check on the JVM: true where the canonical form may differ from the text."""
     java = _unstable()[0]
     has = lambda *cls: text.rlike("[" + "".join(cls) + "]")
-    return has(java) | (has(LATIN) & has(GREEK, CYRILLIC)) | (has(GREEK) & has(CYRILLIC))
+    # plain ASCII, most words, is told by one range
+    return has("^ -~") & (has(java) | (has(LATIN) & has(GREEK, CYRILLIC)) | (has(GREEK) & has(CYRILLIC)))
 
 
 def opens_with_mark(text: Column) -> Column:
