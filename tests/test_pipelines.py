@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewords.__main__ import main
 from tidewords.plans import pipelines
@@ -76,12 +77,89 @@ def test_verify_reads_the_audio(spark, tmp_path):
     assert {r.malformed for r in spark.read.parquet(str(tmp_path / "report")).collect()} == {1}
 
 
+def _wav(path, x, rate=16_000):
+    import wave
+
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes(x.tobytes())
+
+
+def _tone(seconds):
+    import numpy as np
+
+    x = (np.sin(np.arange(int(16_000 * seconds)) * 220 * 2 * np.pi / 16_000) * 9_000).astype(np.int16)
+    x[:1_600] = x[-1_600:] = 0
+    return x
+
+
 def test_command_line(spark, data, tmp_path):
-    assert main(["transcripts", data, str(tmp_path / "md")]) == 0
+    assert main(["transcripts", data, str(tmp_path / "md"), "--json"]) == 0
     names = sorted(p.name for p in (tmp_path / "md").iterdir() if p.suffix == ".md")
     assert len(names) == read(spark, data, "sources").select("source_id").distinct().count()
     assert (tmp_path / "md" / names[0]).read_text().startswith("---\ntitle: ")
-    assert main(["dataset", data, str(tmp_path / "ds"), "--language", "en"]) == 0
-    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "ds" / "manifest.jsonl")).collect()]
+    for name in names:
+        got = json.loads((tmp_path / "md" / name.replace(".md", ".json")).read_text())
+        assert list(got) == ["title", "source", "channel", "duration", "ingested", "method", "language", "chunks"]
+        assert all(set(c) <= {"start_s", "end_s", "section", "text"} for c in got["chunks"])
+    assert sum(len(json.loads((tmp_path / "md" / n.replace(".md", ".json")).read_text())["chunks"]) for n in names) > 10
+
+
+def test_dataset_is_built_resumed_and_verified(spark, data, tmp_path):
+    out = tmp_path / "ds"
+    args = ["dataset", data, str(out), "--language", "en", "--format", "jsonl", "--format", "ljspeech"]
+    assert main(args) in (0, 1)
+    lines = [json.loads(r.value) for r in spark.read.text(str(out / "manifest.jsonl")).collect()]
     assert lines and set(lines[0]) == {"audio_filepath", "duration", "text", "offset"}
-    assert main(["verify", data, str(tmp_path / "report")]) in (0, 2)
+    drops = [json.loads(r.value) for r in spark.read.text(str(out / "dropped.jsonl")).collect()]
+    assert drops and set(drops[0]) == {"clip", "filter", "value", "threshold", "text"}
+    card = (out / "dataset_card.md").read_text()
+    assert "language:\n- \"en\"" in card and f"{len(lines)} clips" in card
+    builds = len(list((out / "clips").glob("build=*")))
+    good = spark.read.parquet(str(out / "state")).where("ok").count()
+    main(args)  # what went well is taken over, only failed sources are tried again
+    assert spark.read.parquet(str(out / "state")).where("ok").count() == good
+    assert len(list((out / "clips").glob("build=*"))) == builds + 1
+    assert sorted(r.value for r in spark.read.text(str(out / "manifest.jsonl")).collect()) == sorted(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in lines)
+    # the dataset's own audio, then a deleted file
+    (out / "wavs").mkdir()
+    for x in lines:
+        _wav(out / x["audio_filepath"], _tone(x["duration"]))
+    assert main(["verify", str(out), str(out)]) == 1
+    v = json.loads((out / "verification.json").read_text())
+    assert v["verdict"] == "marginal" and v["clips"] == len(lines) and v["language"] == "en" and all(c["ok"] for c in v["checks"])
+    assert [c["check"] for c in v["checks"]] == ["audio present", "ids unique", "texts whole", "audio format", "durations", "no orphans", "index agrees"]
+    (out / lines[0]["audio_filepath"]).unlink()
+    _wav(out / "wavs" / "spare_0001.wav", _tone(1.0))
+    assert main(["verify", str(out), str(out)]) == 2
+    v = json.loads((out / "verification.json").read_text())
+    assert {c["check"] for c in v["checks"] if not c["ok"]} == {"audio present", "no orphans"}
+    md = (out / "verification.md").read_text()
+    assert md.startswith("# Verification: not trainable") and "Broken: audio present fails for 1 of" in md and "Untidy: no orphans fails for 1, such as" in md
+    assert main(["verify", str(tmp_path), str(tmp_path)]) == 3  # no index
+
+
+def test_folder_with_pairing(spark, tmp_path):
+    (tmp_path / "wavs").mkdir()
+    said = ["the quick fox", "a lazy dog sleeps", "jumping over hills", "seven bright stars"]
+    for i, t in enumerate(said):
+        _wav(tmp_path / "wavs" / f"a_{i:04}.wav", _tone(1.5))
+    (tmp_path / "metadata.csv").write_text("".join(f"a_{i:04}|{t}|{t}\n" for i, t in enumerate(said)))
+    heard = spark.createDataFrame([(f"a_{i:04}", t.upper() + "!") for i, t in enumerate(said)], "id string, heard string")
+    v, checks, reasons, pairs = pipelines.verify_folder(spark, str(tmp_path), heard, language="en")
+    assert v["verdict"] == "trainable" and v["pairing_mean"] == 1.0 and reasons == [] and len(pairs) == 4 and v["index"] == "ljspeech"
+    assert [c["check"] for c in checks] == ["audio present", "ids unique", "texts whole", "audio format", "no orphans"]
+    wrong = heard.withColumn("heard", F.concat(F.lit("zz "), "id"))
+    v, _, reasons, _ = pipelines.verify_folder(spark, str(tmp_path), wrong, language="en")
+    assert v["verdict"] == "not trainable" and "don't belong together" in reasons[0]
+
+
+def test_advice_clamping_and_words(spark):
+    s = spark.createDataFrame([("a", "uz", "small", 16_000), ("b", "uz-Latn", "me/uz", 44_100), ("c", "en", "tiny", None), ("d", None, None, 0)], "source_id string, language string, model string, rate int")
+    got = {r.source_id: r.advice for r in pipelines.advice(s).collect()}
+    assert got == {"a": ["low_resource", "upsampled"], "b": [], "c": ["small_model"], "d": []}
+    assert pipelines.advice(s, formats=("hf", "ljspeech")).where("array_contains(advice, 'formats')").count() == 4
+    c = spark.createDataFrame([(0, 900, 1_000), (900, 1_200, 1_000), (1_000, 1_100, 1_000), (5, 9, None), (5, 9, 0)], "start_ms bigint, end_ms bigint, m bigint")
+    assert sorted((r.start_ms, r.end_ms) for r in pipelines.clamped(c, "m").collect()) == [(0, 900), (5, 9), (5, 9), (900, 1_000)]
+    words = spark.createDataFrame([("a", "x"), ("b", None)], "source_id string, text string")
+    assert sorted(r[0] for r in pipelines.wordless(s, words).collect()) == ["b", "c", "d"]

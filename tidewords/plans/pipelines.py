@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewords.functions import scripts
@@ -12,6 +12,7 @@ from tidewords.functions.exact import compression_ratio, fixed
 from tidewords.operators import cutting, filters, merge, sections, speakers, verify
 from tidewords.session import settle
 from tidewords.sinks import rows as sinks
+from tidewords.sources import landed
 
 
 @dataclass(frozen=True)
@@ -154,6 +155,43 @@ def verification(clips: DataFrame, files: DataFrame, sources: DataFrame, heard:
     return out.withColumn("v", v).select(*out.columns, F.col("v.verdict").alias("verdict"), F.col("v.reasons").alias("reasons"))
 
 
+def verify_folder(spark: SparkSession, root: str, heard: DataFrame | None = None, *, language: str | None = None, sample: int = 8, seed: int = 0) -> tuple[dict, list[dict], list[str], list[dict]]:
+    """A dataset folder measured and judged: the measures with the verdict, the checks, what speaks against it in sentences, and
+    the pairs that were compared. The first index of landed.INDEXES that is there counts; language and model are the card's.
+
+    heard: id, heard, what was recognized again from a sample of the clips; without it pairing is unmeasured, which is marginal.
+    """
+    root = root.rstrip("/")
+    clips, kind = landed.index_scan(spark, root)
+    clips = settle(clips, "index")
+    files = settle(landed.wav_listing(spark, root), "files")  # the audio is read once
+    said = landed.read_card(spark, root).first()
+    language = language or said.language
+    csv = f"{root}/{landed.INDEXES['ljspeech']}"
+    lines = spark.read.text(csv).withColumnRenamed("value", "line") if kind == "manifest" and landed.exists(spark, csv) else None
+    found = [r.asDict() for r in verify.checks(clips, files, lines).orderBy("place").collect()]  # seven rows at most
+    one = spark.createDataFrame([("all", language)], "source_id string, language string")
+    share = verify.script_share(clips.withColumn("source_id", F.lit("all")), one).select((F.col("matching") / F.col("judged")).alias("script_share"))
+    used = clips.select(F.col("audio_path").alias("path"), "id").distinct().join(files, "path")
+    edges = verify.hot_share(used.withColumn("one", F.lit(1)), ["one"]).select("hot_edges")
+    total = used.select("path", "actual_s").distinct().agg(F.sum("actual_s").alias("seconds"))
+    pairs: list[dict] = []
+    v = {"clips": clips.count(), "language": language, "model": said.model, "index": kind, "pairing_mean": None, "pairing_median": None, "control_mean": None, "pairing_gap": None}
+    for df in (share, edges, total):
+        got = df.first()
+        v |= got.asDict() if got else dict.fromkeys(df.columns)
+    if heard is not None and sample > 0:
+        rows = clips.where("id is not null").groupBy("id").agg(F.max("text").alias("text")).join(heard.groupBy("id").agg(F.max("heard").alias("heard")), "id")
+        compared = verify.controls(verify.sampled(rows, sample, seed))
+        v |= verify.pairing(compared).first().asDict()
+        pairs = [r.asDict() for r in compared.orderBy("h").select(F.col("id").alias("clip"), F.round(verify.similarity("heard", "text"), 3).alias("own"), F.round(verify.similarity("heard", "control"), 3).alias("control"), "heard").collect()]
+    broken, untidy = (any(not c["ok"] and c["fatal"] is fatal for c in found) for fatal in (True, False))
+    lit = lambda k: F.lit(v[k]).cast("double")
+    judged = verify.verdict(lit("pairing_gap"), lit("pairing_mean"), lit("script_share"), lit("hot_edges"), fatal=F.lit(broken), soft=F.lit(untidy))
+    v["verdict"] = spark.range(1).select(judged["verdict"]).first()[0]
+    return v, found, verify.sentences(v, [c for c in found if not c["ok"]]), pairs
+
+
 def _off(own: DataFrame, files: DataFrame) -> DataFrame:
     """``source_id, off``: clips of each source whose listed duration isn't that of their file."""
     if "duration_s" not in own.columns:

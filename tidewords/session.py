@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -33,14 +34,51 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Tables that this process has settled.
+_SETTLED: list[str] = []
+
+
+def _leave(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped context can't reach the folder
+        swept(spark)
+
+
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors. Results are lazy and may read
+    it at any time, so it stays until :func:`swept` or the end of this process."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tidewords-{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    if not _SETTLED:
+        atexit.register(_leave, spark)
+    _SETTLED.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file, over what is there, to any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def swept(spark: SparkSession, names: tuple[str, ...] = ()) -> int:
+    """Deletes what this process settled (of the given names, else all) and gives the number of tables: to be called when no result
+    that was built on them is read any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for at in list(_SETTLED):
+        if not names or any(f"/tidewords-{n}-" in at for n in names):
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+            _SETTLED.remove(at)
+            gone += 1
+    return gone
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, if ``PYTHONPATH`` doesn't already: on this machine by its path,
     on other machines as a zip in the shared folder. Once per context."""

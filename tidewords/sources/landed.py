@@ -168,7 +168,7 @@ def read_card(spark: SparkSession, root: str) -> DataFrame:
     at = f"{root.rstrip('/')}/dataset_card.md"
     if not exists(spark, at):
         return spark.createDataFrame([(None, None)], "language string, model string")
-    return card_facts(spark.read.option("wholetext", "true").text(at).withColumnRenamed("value", "text"))
+    return card_facts(spark.read.text(at, wholetext=True).withColumnRenamed("value", "text"))
 
 
 def wav_info(files: DataFrame, *, edges: bool = False) -> DataFrame:
