@@ -55,9 +55,9 @@ def batch(url: Column, hosts: list[str]) -> Column:
 
 def stem(url: Column) -> Column:
     """A file's stem for a media URL: its last path segment, else its host, else ``media``, as a slug."""
-    segments = _segments(url)
-    tail = F.when(F.size(segments) > 0, F.element_at(segments, -1))
-    return slug(F.coalesce(tail, F.nullif(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("")), F.lit("media")))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)", 1))
+    return slug(F.coalesce(F.nullif(F.regexp_extract(path, "([^/]*)/*$", 1), F.lit("")), F.nullif(host, F.lit("")), F.lit("media")))
 
 
 def suffix(path: Column) -> Column:
