@@ -5,7 +5,7 @@ import pytest
 from models import clips as clips_model
 from models import paragraphs as paragraphs_model
 
-from tidewords.operators import cutting
+from tidewords.operators import blocks, cutting
 
 SEG = "source_id string, pos int, text string, start_s double, end_s double, landed_at timestamp"
 WORD = "source_id string, pos int, text string, start_s double, end_s double, confidence double, joins_left boolean"
@@ -71,3 +71,37 @@ def test_repeated_and_null_rows(spark, order):
     rows = [("a", 0, "one two", 0.0, 1.0, None), ("a", 0, "one two", 0.0, 1.0, None), (None, 1, "x", 0.0, 1.0, None), ("a", 1, None, None, None, None)][::order]
     got = cutting.paragraphs(spark.createDataFrame(rows, SEG)).collect()
     assert [(r.source_id, r.text) for r in got] == [("a", "one two")]
+
+
+def test_long_runs_stream_through(spark, monkeypatch):
+    """Runs of which only parts are held are cut as whole ones are."""
+    rng = random.Random(21)
+    words, lines = [], []
+    for src, pauses in (("one", 0.0), ("two", 0.01), ("three", 0.1)):
+        t = u = 0.0
+        for i in range(1_500):
+            d = rng.choice([0.0, 0.1, 0.3, 0.5, 20.0 if rng.random() < 0.01 else 0.2])
+            words.append((src, i, rng.choice(["so", "word", "end.", "part,", "the", "", "7"]), t, t + d, 1.0, rng.random() < 0.1))
+            t += d + (3.0 if rng.random() < pauses else rng.choice([0.0, 0.05, 0.3]))
+            k = rng.choice([0, 1, 3, 8, 8, 8, 30])
+            lines.append((src, i, " ".join(rng.choice(["so", "word", "end.", "part,"]) for _ in range(k)), u, u + 2.0, None))
+            u += 2.0 + (3.0 if rng.random() < pauses else 0.0)
+    w = spark.createDataFrame(words, "source_id string, pos int, text string, start_s double, end_s double, confidence double, joins_left boolean")
+    s = spark.createDataFrame(lines, "source_id string, pos int, text string, start_s double, end_s double, landed_at timestamp")
+    key = lambda r: (r[0], r[1])
+    want = [sorted(map(tuple, f(df).collect()), key=key) for f, df in ((cutting.clips, w), (cutting.paragraphs, s))]
+    monkeypatch.setattr(blocks, "HOLD", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        got = [sorted(map(tuple, f(df).collect()), key=key) for f, df in ((cutting.clips, w), (cutting.paragraphs, s))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert len(want[0]) > 200 and len(want[1]) > 60
+
+
+def test_lookup_equals_a_join(spark):
+    rows = spark.createDataFrame([(k, i) for i in range(90) for k in ("a", "b", None)], "k string, i int")
+    table = spark.createDataFrame([("a", 1), ("c", 2)], "k string, v int")
+    for how in ("left", "inner"):
+        assert sorted(map(str, blocks.lookup(rows, table, ["k"], ["i"], how).collect())) == sorted(map(str, rows.join(table, "k", how).collect()))

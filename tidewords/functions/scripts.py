@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidewords.functions.text import strip
 
@@ -35,31 +41,42 @@ NAMED = {
 CODES = "af am ar as az ba be bg bn bo br bs ca cs cy da de el en es et eu fa fi fo fr gl gu ha haw he hi hr ht hu hy id is it ja jw ka kk km kn ko la lb ln lo lt lv mg mi mk ml mn mr ms mt my ne nl nn no oc pa pl ps pt ro ru sa sd si sk sl sn so sq sr su sv sw ta te tg th tk tl tr tt uk ur uz vi yi yo yue zh"
 
 
-def _class(name: str) -> str:
-    return "".join("\\x{%s}-\\x{%s}" % tuple(r.split("-")) for r in RANGES[name].split())
-
+@cache
+def _letters() -> np.ndarray:
+    """Of each code point 0 if it is no letter, else the number of its script in the order of RANGES, from 1, or one more for others."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    out[[n for n in range(sys.maxunicode + 1) if chr(n).isalpha()]] = len(RANGES) + 1
+    for k, ranges in enumerate(RANGES.values()):
+        for r in ranges.split():
+            a, b = (int(x, 16) for x in r.split("-"))
+            own = out[a : b + 1]
+            own[own > 0] = k + 1
+    return out
 
-def counts(text: Column) -> list[Column]:
-    """Number of letters of each script in the order of RANGES, then of all others."""
-    own = [F.regexp_count(text, F.lit(f"[{_class(n)}&&[\\p{{L}}]]")) for n in RANGES]
-    every = "".join(_class(n) for n in RANGES)
-    return [*own, F.regexp_count(text, F.lit(f"[\\p{{L}}&&[^{every}]]"))]
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Letters of each text by script in the order of RANGES, then of all others: one pass over the characters."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = len(RANGES) + 2
+    cell = np.repeat(np.arange(len(texts)), [len(t) for t in texts]) * kinds + _letters()[codes]
+    return np.bincount(cell, minlength=len(texts) * kinds).reshape(len(texts), kinds)[:, 1:]
 
-def dominant(text: Column) -> Column:
-    """Struct of the commonest ``script`` of a text's letters, its count ``n`` and ``letters`` in all; null without letters.
 
-    Of equals the first in the order of RANGES, which no rule here can tell from another: a tie has no majority.
-    """
-    names = F.array(*[F.lit(x) for x in [*RANGES, "other"]])
+@F.pandas_udf(StructType([StructField("script", StringType()), StructField("n", IntegerType()), StructField("letters", IntegerType())]))
+def _dominant(text: pd.Series) -> pd.DataFrame:
+    n = letter_counts(text.fillna("").tolist())
+    top, letters = n.argmax(1), n.sum(1)
+    names = np.array([*RANGES, "other"], object)[top]
+    some = letters > 0
+    whole = lambda x: pd.Series(np.where(some, x, 0), dtype="Int32").mask(~some)
+    return pd.DataFrame({"script": np.where(some, names, None), "n": whole(n[np.arange(len(n)), top]), "letters": whole(letters)})
 
-    def pick(n: Column) -> Column:
-        top = F.array_max(n)
-        letters = F.aggregate(n, F.lit(0), lambda a, x: a + x)
-        return F.when(top > 0, F.struct(F.element_at(names, F.array_position(n, top).cast("int")).alias("script"), top.alias("n"), letters.alias("letters")))
 
-    # inside the lambda the counts have a name, so that they are counted once
-    return F.transform(F.array(F.array(*counts(text))), pick)[0]
+def dominant(text: Column) -> Column:
+    """Struct of the commonest ``script`` of a text's letters, its count ``n`` and ``letters`` in all; null without
+    letters. Of equals the first in the order of RANGES, which no rule here can tell from another: a tie has no majority."""
+    d = _dominant(text)
+    return F.when(d["letters"].isNotNull(), d)
 
 
 def base_code(language: Column) -> Column:

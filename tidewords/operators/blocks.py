@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewords.session import settle
 
@@ -74,6 +76,38 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     return out.drop("__b", "__start", _BLOCK, *[f"__{k}" for k in keys])
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Sorted batches as tables of whole groups, with the row each group begins at. Only the group at a batch's end is held."""
+    held: list[pa.RecordBatch] = []
+    held_key: tuple | None = None
+
+    def made() -> tuple[pa.Table, list[int]]:
+        table = pa.Table.from_batches(held)
+        key = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
+        return table, [i for i in range(len(key)) if not i or key[i] != key[i - 1]]
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        at = lambda i: tuple(batch.column(k)[i].as_py() for k in keys)  # noqa: E731, B023
+        last = at(n - 1)
+        if held and at(0) == last == held_key:
+            held.append(batch)
+            continue
+        low, high = 0, n - 1  # where the last group begins
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if at(mid) == last else (mid + 1, high)
+        if low:
+            held.append(batch.slice(0, low))
+        if held:
+            yield made()
+        held, held_key = [batch.slice(low)], last
+    if held:
+        yield made()
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """One pass of Python over each group's rows in order.
 
@@ -81,44 +115,84 @@ def fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[st
     out of a sorted partition, many to an Arrow batch; only the group at a batch's end is held.
     For groups that are bounded by what they are (a run without a pause, the last two pieces of a source).
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-        def work(table: pa.Table) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
             cols = table.to_pydict()
-            key = list(zip(*(cols[k] for k in keys), strict=True))
             out: dict[str, list] = {}
-            a = 0
-            for b in range(1, len(key) + 1):
-                if b == len(key) or key[b] != key[a]:
-                    for c, v in fn({c: v[a:b] for c, v in cols.items()}).items():
-                        out.setdefault(c, []).extend(v)
-                    a = b
-            return pa.RecordBatch.from_pydict({f.name: out.get(f.name, []) for f in target}, schema=target)
+            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                for c, v in fn({c: v[a:b] for c, v in cols.items()}).items():
+                    out.setdefault(c, []).extend(v)
+            yield pa.RecordBatch.from_pydict({f.name: out.get(f.name, []) for f in target}, schema=target)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+#: Copies of a looked-up table that rows of one key are spread over.
+SALTS = 32
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], how: str = "left", *, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``table``, which has few rows for each of ``keys``, such as one per source: the rows of a key are spread
+    over ``salts`` by a hash of ``spread`` and the table is copied to each, so that a hot key's rows meet it in several tasks."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int").alias("__salt")
+    copies = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    return rows.select("*", salt).join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+#: Rows of a group that :func:`along` holds before it works off what it can.
+HOLD = 100_000
+
+
+def along(df: DataFrame, keys: list[str], order: list[str], numbers: list[str], fn: Callable[[dict[str, np.ndarray], bool], np.ndarray], name: str) -> DataFrame:
+    """``df`` with ``name BIGINT``, which ``fn`` makes of the ``numbers`` of each group in order, arrays without nulls; one value a row.
+
+    As :func:`fold`, but the rows go along, so nothing has to be joined back to them; and of a group of more than HOLD rows not
+    all are held: ``fn`` then gets those at hand and false, gives values of as many leading rows as no later row can change,
+    and sees the others again with more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        open_key: tuple | None = None
+        most = HOLD
+
+        def work(table: pa.Table, whole: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+            key = [table.column(k).to_pylist() for k in keys]
+            starts = [i for i in range(table.num_rows) if not i or any(c[i] != c[i - 1] for c in key)]
+            cols = {c: table.column(c).to_numpy() for c in numbers}
+            made = [fn({c: v[a:b] for c, v in cols.items()}, whole) for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True)]
+            values = np.concatenate(made) if made else np.zeros(0, np.int64)
+            done = table.slice(0, len(values))
+            return done.append_column(name, pa.array(values, pa.int64())).to_batches(), table.slice(len(values))
 
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            held.append(batch)
-            ends = batch.slice(batch.num_rows - 1)
-            last = tuple(ends.column(k)[0].as_py() for k in keys)
-            head = tuple(batch.column(k)[0].as_py() for k in keys)
-            if head == last and len(held) > 1:
-                continue  # still the same group
-            table = pa.Table.from_batches(held)
-            names = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
-            cut = len(names)
-            while cut and names[cut - 1] == last:
-                cut -= 1
-            if cut:
-                yield work(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
+            at = lambda i: tuple(batch.column(k)[i].as_py() for k in keys)  # noqa: E731, B023
+            last, low, high = at(n - 1), 0, n - 1
+            while low < high:  # where the batch's last group begins
+                mid = (low + high) // 2
+                low, high = (low, mid) if at(mid) == last else (mid + 1, high)
+            if not low and last == open_key:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= most:
+                    out, rest = work(pa.Table.from_batches(held), False)
+                    yield from out
+                    held, most = rest.to_batches(), max(HOLD, 2 * rest.num_rows)
+                continue
+            if low:
+                held.append(batch.slice(0, low))
+            if held:
+                yield from work(pa.Table.from_batches(held), True)[0]
+            held, open_key, most = [batch.slice(low)], last, HOLD
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held), True)[0]
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType([*df.schema.fields, StructField(name, LongType())])
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

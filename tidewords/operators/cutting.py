@@ -2,15 +2,13 @@
 
 Both cutters have one shape: hard breaks at long pauses make runs; runs are cut to a budget at the best
 boundary; a tiny rest at the end goes back into its neighbour. What a boundary is worth is a column
-expression over a row and its successor, so all scoring is on the JVM; Python only folds over numbers,
-run by run (:func:`blocks.fold`), and the ends of sources are repaired by two aggregates and one more
-fold over the last two pieces.
+expression over a row and its successor, so all scoring is on the JVM; Python only goes along the numbers,
+run by run (:func:`blocks.along`), and holds no more of a run than what later rows may change: a run without end streams
+through one task. The ends of sources are repaired by two aggregates and one more fold over the last two pieces.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,8 +64,8 @@ def halve(worth: np.ndarray, left: np.ndarray, right: np.ndarray, least: float,
     return best(pool, worth[pool] - REBALANCE * np.abs(left[pool] - half) / max(half, floor))
 
 
-def cut_by_words(words: list[int], worth: list[float], least: int, most: int) -> list[int]:
-    """Ends (exclusive) of the groups of one run of lines."""
+def cut_by_words(words: np.ndarray, worth: np.ndarray, least: int, most: int, whole: bool = True) -> list[int]:
+    """Ends (exclusive) of the groups of one run of lines; of a run that goes on (``whole`` false) only of groups that stay."""
     total, score = np.cumsum(words), np.asarray(worth)
     target = least + TARGET * (most - least)
     ends, i, n = [], 0, len(words)
@@ -77,7 +75,8 @@ def cut_by_words(words: list[int], worth: list[float], least: int, most: int) ->
         while over < n and over < i:
             over += 1
         if over >= n:
-            ends.append(n)
+            if whole:
+                ends.append(n)
             break
         at = np.arange(i, over + 1)
         size = total[at] - base
@@ -85,6 +84,8 @@ def cut_by_words(words: list[int], worth: list[float], least: int, most: int) ->
         cut = best(at, score[at] - BALANCE * np.abs(size - target) / target) if len(at) else over
         i = cut + 1
         ends.append(i)
+    if not whole:
+        return ends[:-1]  # the last one may have to take in a tail
     if len(ends) > 1:
         a = ends[-3] if len(ends) > 2 else 0
         base = total[a - 1] if a else 0
@@ -97,8 +98,9 @@ def cut_by_words(words: list[int], worth: list[float], least: int, most: int) ->
     return ends
 
 
-def cut_by_time(start: list[float], end: list[float], worth: list[float], least: float, most: float, target: float) -> list[int]:
-    """Ends (exclusive) of the clips of one run of words; sizes are extents, from the least start to the largest end."""
+def cut_by_time(start: np.ndarray, end: np.ndarray, worth: np.ndarray, least: float, most: float, target: float, whole: bool = True) -> list[int]:
+    """Ends (exclusive) of the clips of one run of words; sizes are extents, from the least start to the largest end. Of a run that
+    goes on (``whole`` false) only of clips that stay."""
     a, b, score = np.asarray(start), np.asarray(end), np.asarray(worth)
     ends, i, n = [], 0, len(a)
     while i < n:
@@ -111,8 +113,11 @@ def cut_by_time(start: list[float], end: list[float], worth: list[float], least:
                 break
         over = int(np.searchsorted(size, most))
         if over == len(size):
-            ends.append(n)
+            if whole:
+                ends.append(n)
             break
+        if not whole and i + over == n - 1:
+            break  # whether a word follows is not known yet
         at = np.arange(over + 1)
         at = at[(size[at] >= least) & (size[at] <= most) & (at + i < n - 1)]
         if len(at):
@@ -138,30 +143,27 @@ def _last_two(pieces: DataFrame) -> DataFrame:
 def _repaired(placed: DataFrame, ends: DataFrame, fn) -> DataFrame:
     """``placed`` with ``piece``, the first position of each row's piece, after the tails are repaired.
 
-    ends: sources whose tail goes back, with ``a``, the first position of the piece before it, and ``whole``, whether
-    one piece holds both. fn folds over the rows of the two and gives the cut.
+    ends: sources whose tail goes back, with ``a`` and ``t``, the first positions of the piece before it and of the tail, and
+    ``whole``, whether one piece holds both. fn folds over the rows of the two and gives the cut. Rows meet it by source and
+    piece, of which there are two a source.
     """
     cols = placed.columns
-    placed = placed.join(ends, "source_id", "left")
-    inner = F.col("a").isNotNull() & (F.col("piece") >= F.col("a"))
-    cut = blocks.fold(placed.where(inner & ~F.col("whole")).drop("whole"), ["source_id"], ["pos"], fn, "source_id string, cut bigint")
-    placed = placed.join(cut, "source_id", "left")
-    piece = F.when(inner & F.col("whole"), F.col("a")).when(inner & F.col("cut").isNotNull(), F.when(F.col("pos") < F.col("cut"), F.col("a")).otherwise(F.col("cut"))).otherwise(F.col("piece"))
+    ends = settle(ends.select("source_id", "a", F.explode(F.array("a", "t")).alias("piece"), "whole"), "ends")
+    two = placed.join(ends.where("not whole").select("source_id", "piece"), ["source_id", "piece"], "left_semi")
+    cut = blocks.fold(two, ["source_id"], ["pos"], fn, "source_id string, cut bigint")
+    placed = placed.join(ends.join(cut, "source_id", "left"), ["source_id", "piece"], "left")
+    piece = F.when(F.col("whole"), F.col("a")).when(F.col("cut").isNotNull(), F.when(F.col("pos") < F.col("cut"), F.col("a")).otherwise(F.col("cut"))).otherwise(F.col("piece"))
     return placed.withColumn("piece", piece.cast("bigint")).select(*cols)
 
 
 def _placed(rows: DataFrame, numbers: list[str], fn) -> DataFrame:
-    """``rows`` with ``piece``, the first position of the piece the fold over ``numbers`` puts each row in."""
-    runs = blocks.fold(rows.select("source_id", "pos", "run_no", *numbers), ["source_id", "run_no"], ["pos"], fn, "source_id string, pos bigint, piece bigint")
-    return settle(rows.join(runs, ["source_id", "pos"]), "placed")
+    """``rows`` with ``piece``, the first position of the piece that ``fn``, going along ``numbers``, puts each row in."""
+    return settle(blocks.along(rows, ["source_id", "run_no"], ["pos"], ["pos", *numbers], fn, "piece"), "placed")
 
 
-def _marked(cols: dict[str, list], ends: list[int]) -> dict[str, list]:
-    first, a = [], 0
-    for b in ends:
-        first += [cols["pos"][a]] * (b - a)
-        a = b
-    return {"source_id": cols["source_id"], "pos": cols["pos"], "piece": first}
+def _first(pos: np.ndarray, ends: list[int]) -> np.ndarray:
+    starts = np.array([0, *ends[:-1]], np.int64)[: len(ends)]
+    return np.repeat(pos[starts], np.diff([0, *ends]))
 
 
 # --- paragraphs --------------------------------------------------------------------------------
@@ -178,7 +180,7 @@ def with_gaps(segments: DataFrame) -> DataFrame:
     seg = blocks.neighbours(seg, ["source_id"], "pos", ["start_ms", "text"]).drop("prev")
     seg = seg.withColumn("gap_ms", F.col("next.start_ms") - F.col("end_ms"))
     base = seg.groupBy("source_id").agg(F.least(F.lit(0.0), F.median("gap_ms")).alias("base"))
-    return seg.join(base, "source_id").withColumn("pause_ms", F.greatest(F.lit(0.0), F.col("gap_ms") - F.col("base"))).drop("base")
+    return blocks.lookup(seg, base, ["source_id"], ["pos"], "inner").withColumn("pause_ms", F.greatest(F.lit(0.0), F.col("gap_ms") - F.col("base"))).drop("base")
 
 
 def break_scores(gapped: DataFrame) -> DataFrame:
@@ -206,11 +208,11 @@ def paragraphs(segments: DataFrame, *, pause_s: float = 2.0, least: int = 40, mo
     least = max(1, least)
     most, pause_ms = max(least, most), 1000 * max(pause_s, LEAST_PAUSE_S)
     rows = settle(with_runs(break_scores(with_gaps(segments)), F.col("pause_ms") > pause_ms), "lines")
-    fn = partial(lambda cols, a, b: _marked(cols, cut_by_words(cols["n_words"], cols["score"], a, b)), a=least, b=most)
+    fn = lambda cols, whole: _first(cols["pos"], cut_by_words(cols["n_words"], cols["score"], least, most, whole))
     placed = _placed(rows, ["n_words", "score"], fn)
     pieces = placed.groupBy("source_id", F.col("piece").alias("first_pos")).agg(F.sum("n_words").alias("size"), F.max_by("pause_ms", "pos").alias("pause_after"))
     two = _last_two(pieces).where((F.col("tail.size") < least) & (F.coalesce("body.pause_after", F.lit(0.0)) <= LONG_PAUSE * pause_ms))
-    ends = two.select("source_id", F.col("body.first_pos").alias("a"), (F.col("body.size") + F.col("tail.size") <= most).alias("whole"))
+    ends = two.select("source_id", F.col("body.first_pos").alias("a"), F.col("tail.first_pos").alias("t"), (F.col("body.size") + F.col("tail.size") <= most).alias("whole"))
 
     def again(cols: dict[str, list]) -> dict[str, list]:
         total, score = np.cumsum(cols["n_words"]), np.asarray(cols["score"])
@@ -272,7 +274,7 @@ def clips(words: DataFrame, *, least_s: float = 1.0, most_s: float = 15.0, pause
     pause = GAP * F.coalesce(F.col("gap_ms"), F.lit(0)) / 1000
     w = with_runs(w.withColumn("score", pause + worth).withColumn("plain", pause + plain), F.col("gap_ms") > pause_ms)
     w = settle(w.drop("next", "start_s", "end_s", "last", "head"), "words")
-    fn = partial(lambda cols, a, b, t: _marked(cols, cut_by_time(cols["start_ms"], cols["end_ms"], cols["score"], a, b, t)), a=least, b=most, t=target)
+    fn = lambda cols, whole: _first(cols["pos"], cut_by_time(cols["start_ms"], cols["end_ms"], cols["score"], least, most, target, whole))
     placed = _placed(w, ["start_ms", "end_ms", "score"], fn)
     pieces = placed.groupBy("source_id", F.col("piece").alias("first_pos")).agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"), F.max_by("gap_ms", "pos").alias("gap_after"))
     usual = w.where("gap_ms > 0").groupBy("source_id").agg(F.median("gap_ms").alias("usual"))
@@ -280,7 +282,7 @@ def clips(words: DataFrame, *, least_s: float = 1.0, most_s: float = 15.0, pause
     scale = F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1000 * LEAST_PAUSE_S))
     two = two.where((F.col("tail.hi") - F.col("tail.lo") < least) & (F.coalesce("body.gap_after", F.lit(0)) <= isolate * scale))
     extent = F.greatest("body.hi", "tail.hi") - F.least("body.lo", "tail.lo")
-    ends = two.select("source_id", F.col("body.first_pos").alias("a"), (extent <= most).alias("whole"))
+    ends = two.select("source_id", F.col("body.first_pos").alias("a"), F.col("tail.first_pos").alias("t"), (extent <= most).alias("whole"))
 
     def again(cols: dict[str, list]) -> dict[str, list]:
         a, b, score = (np.asarray(cols[c], float) for c in ("start_ms", "end_ms", "plain"))

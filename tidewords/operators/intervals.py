@@ -79,14 +79,15 @@ def _local(bridge_ms: int, at_least: int = 400_000):
 
 
 def _events(periods: DataFrame, block_ms: int) -> DataFrame:
-    """Net change of the number of open intervals at each moment, with its block."""
+    """Net change of the number of open intervals at each moment, with its block; in one shuffle, by key and block."""
     both = F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d"))))
     e = periods.select("key", both.alias("e")).select("key", F.floor(F.col("e.t") / block_ms).alias("block"), F.col("e.t").alias("t"), F.col("e.d").alias("d"))
-    return e.groupBy("key", "block", "t").agg(F.sum("d").alias("d"))
+    return e.repartition("key", "block").groupBy("key", "block", "t").agg(F.sum("d").alias("d"))
 
 
-def _swept(df: DataFrame, bridge_ms: int, block_ms: int) -> DataFrame:
-    """Events in time order with the count after each (``active``) and the time of the next (``next_t``)."""
+def _swept(df: DataFrame, bridge_ms: int, block_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Events in time order with their block, the count after each (``active``) and the time of the next (``next_t``); and the
+    periods that input tasks found."""
     # A minus event moved on by bridge_ms - 1 would join periods here too, but the gaps are measured between true ends.
     # written once, as the events and the blocks both come from it and the input is far larger
     local = settle(df.mapInArrow(_local(bridge_ms), "key string, start_ms bigint, end_ms bigint"), "periods")
@@ -95,7 +96,7 @@ def _swept(df: DataFrame, bridge_ms: int, block_ms: int) -> DataFrame:
     blocks = events.groupBy("key", "block").agg(F.sum("d").alias("net"), F.min("t").alias("first_t"))
     over = Window.partitionBy("key").orderBy("block")
     blocks = blocks.select("key", "block", F.coalesce(F.sum("net").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("open"), F.lead("first_t").over(over).alias("later"))
-    return events.join(blocks, ["key", "block"]).select("key", "t", "d", (F.col("run") + F.col("open")).alias("active"), F.coalesce("after", "later").alias("next_t"))
+    return events.join(blocks, ["key", "block"]).select("key", "block", "t", "d", (F.col("run") + F.col("open")).alias("active"), F.coalesce("after", "later").alias("next_t")), local
 
 
 def gaps(df: DataFrame, *, least_ms: int = 1, most_ms: int | None = None, block_ms: int = BLOCK_MS) -> DataFrame:
@@ -106,7 +107,7 @@ def gaps(df: DataFrame, *, least_ms: int = 1, most_ms: int | None = None, block_
     are one, an empty table has no gaps. Only gaps of least_ms to most_ms, both included, come out.
     """
     df = df.select("key", "start_ms", "end_ms").where("key is not null and start_ms <= end_ms")
-    out = _swept(df, max(1, least_ms), block_ms).where((F.col("active") == 0) & F.col("next_t").isNotNull())
+    out = _swept(df, max(1, least_ms), block_ms)[0].where((F.col("active") == 0) & F.col("next_t").isNotNull())
     length = F.col("next_t") - F.col("t")
     out = out.where(length >= max(1, least_ms)) if most_ms is None else out.where(length.between(max(1, least_ms), most_ms))
     return out.select("key", F.col("t").alias("gap_start_ms"), F.col("next_t").alias("gap_end_ms"))
@@ -120,12 +121,13 @@ def periods(df: DataFrame, *, block_ms: int = BLOCK_MS) -> DataFrame:
     zero of each block is carried in the rows of blocks.
     """
     df = df.select("key", "start_ms", "end_ms").where("key is not null and start_ms <= end_ms")
-    zeros = _swept(df, 1, block_ms).where("active = 0").select("key", F.floor(F.col("t") / block_ms).alias("block"), "t", "next_t")
+    swept, local = _swept(df, 1, block_ms)
+    zeros = swept.where("active = 0").select("key", "block", "t", "next_t")
     inside = Window.partitionBy("key", "block").orderBy("t")
     here = zeros.select("*", F.lag("next_t").over(inside).alias("began"))
     over = Window.partitionBy("key").orderBy("block")
-    last = zeros.groupBy("key", "block").agg(F.max("next_t").alias("last_next"), F.count(F.when(F.col("next_t").isNull(), 1)).alias("ends"))
-    last = last.select("key", "block", F.lag("last_next").over(over).alias("carried"))
-    first = df.groupBy("key").agg(F.min("start_ms").alias("first_ms"))
-    out = here.join(last, ["key", "block"]).join(first, "key")
-    return out.select("key", F.coalesce("began", "carried", "first_ms").alias("start_ms"), F.col("t").alias("end_ms"))
+    first = local.groupBy("key").agg(F.min("start_ms").alias("first_ms"))
+    # the key's first moment goes into the rows of blocks, so that no row of events meets its whole key
+    last = zeros.groupBy("key", "block").agg(F.max("next_t").alias("last_next"))
+    last = last.select("key", "block", F.lag("last_next").over(over).alias("carried")).join(first, "key")
+    return here.join(last, ["key", "block"]).select("key", F.coalesce("began", "carried", "first_ms").alias("start_ms"), F.col("t").alias("end_ms"))

@@ -18,12 +18,12 @@ def chapter_of(paragraphs: DataFrame, sources: DataFrame) -> DataFrame:
     equal starts by their place in the list.
 
     An as-of join by list search: a source's chapters, a handful, travel with its row in one array, and each
-    paragraph looks up its place by a filter on the JVM. Paragraphs of a hot source meet one row.
+    paragraph looks up its place by a filter on the JVM. Paragraphs of a hot source meet one row, in several tasks.
     """
     placed = F.transform("chapters", lambda c, i: F.struct(c["start_time"].alias("s"), i.alias("i"), c["title"].alias("title")))
     chapters = latest(sources.where("source_id is not null").select("source_id", F.array_sort(F.filter(placed, lambda c: c["s"].isNotNull())).alias("chapters")), ["source_id"], None)
     begun = F.filter("chapters", lambda c: c["s"] <= F.col("start_s"))
-    out = paragraphs.join(chapters, "source_id", "left").withColumn("begun", F.coalesce(F.size(begun), F.lit(0)))
+    out = blocks.lookup(paragraphs, chapters, ["source_id"], ["para_no"]).withColumn("begun", F.coalesce(F.size(begun), F.lit(0)))
     at = F.when(F.col("begun") > 0, F.col("begun") - 1)
     return out.withColumn("chapter_no", at).withColumn("title", F.get("chapters", at)["title"]).drop("begun", "chapters")
 

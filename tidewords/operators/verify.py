@@ -128,8 +128,10 @@ def script_share(clips: DataFrame, sources: DataFrame) -> DataFrame:
     Sources whose language or script isn't known have no row.
     """
     lang = sources.where("source_id is not null").groupBy("source_id").agg(F.max("language").alias("language")).select("source_id", scripts.target(F.col("language")).alias("script")).where("script is not null")
-    one = clips.select("id", "source_id", "text").distinct().select("source_id", scripts.dominant(F.col("text"))["script"].alias("own")).where("own is not null")
-    return one.join(lang, "source_id").groupBy("source_id").agg(F.count("*").alias("judged"), F.count_if(F.col("own") == F.col("script")).alias("matching"))
+    # texts stay where they lie: of each goes on its script and, to know it again, a hash
+    one = clips.select("id", "source_id", F.xxhash64("text").alias("h"), F.length("text").alias("k"), scripts.dominant(F.col("text"))["script"].alias("own")).where("own is not null").distinct()
+    one = one.groupBy("source_id", "own").agg(F.count("*").alias("n")).join(lang, "source_id")
+    return one.groupBy("source_id").agg(F.sum("n").alias("judged"), F.coalesce(F.sum(F.when(F.col("own") == F.col("script"), F.col("n"))), F.lit(0)).alias("matching"))
 
 
 def sampled(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
