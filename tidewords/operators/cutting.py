@@ -136,7 +136,7 @@ def _last_two(pieces: DataFrame) -> DataFrame:
     """``source_id``, the struct ``tail`` of the last piece and ``body`` of the one before it."""
     row = F.struct("first_pos", *[c for c in pieces.columns if c not in ("source_id", "first_pos")])
     tail = pieces.groupBy("source_id").agg(F.max(row).alias("tail"))
-    rest = pieces.join(tail.select("source_id", F.col("tail.first_pos").alias("__t")), "source_id").where("first_pos < __t")
+    rest = blocks.lookup(pieces, tail.select("source_id", F.col("tail.first_pos").alias("__t")), ["source_id"], ["first_pos"], "inner").where("first_pos < __t")
     return tail.join(rest.groupBy("source_id").agg(F.max(row).alias("body")), "source_id")
 
 

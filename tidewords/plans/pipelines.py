@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewords.functions import scripts
 from tidewords.functions.exact import compression_ratio, fixed
-from tidewords.operators import cutting, filters, merge, sections, speakers, verify
+from tidewords.operators import blocks, cutting, filters, merge, sections, speakers, verify
 from tidewords.session import settle
 from tidewords.sinks import rows as sinks
 from tidewords.sources import landed
@@ -52,7 +52,7 @@ def dataset(words: DataFrame, sources: DataFrame, turns: DataFrame | None = None
     src = cutting.latest(sources.where("source_id is not null").select("source_id", "duration_s", "language", "ingested_at"), ["source_id"], "ingested_at")
     language = F.coalesce(F.lit(cfg.target_language), scripts.normalized_code(F.col("language")))
     cut = cutting.clips(words, least_s=cfg.least_s, most_s=cfg.most_s, pause_s=cfg.pause_s)
-    cut = cut.join(src.select("source_id", "duration_s", language.alias("language")), "source_id", "left")
+    cut = blocks.lookup(cut, src.select("source_id", "duration_s", language.alias("language")), ["source_id"], ["clip_no"])
     media = F.round(F.col("duration_s") * 1000).cast("bigint")
     cut = clamped(cut.withColumn("__media", media), "__media").drop("__media")
     cut = settle(filters.padded(cut, pad_s=cfg.pad_s, media_s="duration_s"), "cut")

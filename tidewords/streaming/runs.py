@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewords.operators import intervals, merge
+from tidewords.operators import blocks, intervals, merge
 from tidewords.sources.landed import exists
 
 
@@ -17,10 +17,18 @@ def sessions(events: DataFrame, *, pause: str = "6 hours", late: str | None = "1
     """``user_id, start_ts, end_ts, n, total`` of runs of events no farther apart than ``pause``, in batch or streaming.
 
     events: ts, user_id, value. In a stream rows later than ``late`` behind the newest are dropped, and a run
-    comes out once the watermark has passed it.
+    comes out once the watermark has passed it. In batch a user's events are ranked and compared in blocks, so that a
+    user with a third of all events is spread over tasks.
     """
     df = events.where("user_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
-    if late and df.isStreaming:
+    if not df.isStreaming:
+        df = blocks.ranked(df.select("user_id", "ts", "value"), ["user_id"], ["ts"], "n").withColumn("n", F.col("n").cast("bigint"))
+        df = blocks.neighbours(df, ["user_id"], "n", ["ts"]).drop("next")
+        apart = F.col("prev").isNull() | (F.col("ts") > F.col("prev.ts") + F.expr(f"interval {pause}"))
+        df = blocks.running(df, ["user_id"], "n", apart.cast("bigint"), "no").drop("prev")
+        out = df.groupBy("user_id", "no").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        return out.select("user_id", "start_ts", "end_ts", "n", "total")
+    if late:
         df = df.withWatermark("ts", late)
     out = df.groupBy("user_id", F.session_window("ts", pause).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("ts").alias("last_ts"))
     return out.select("user_id", F.col("w.start").alias("start_ts"), F.col("last_ts").alias("end_ts"), "n", "total")
