@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewords.functions import exact, scripts, urls
 from tidewords.functions import text as tx
-from tidewords.operators import filters, merge, verify
+from tidewords.operators import blocks, filters, merge, verify
 from tidewords.operators.cutting import latest
 from tidewords.session import read
 from tidewords.sinks import rows as sinks
@@ -26,7 +26,7 @@ def _clips(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     c = latest(read(spark, d, "clip_candidates"), ["ref"], None)
-    return c.join(_sources(spark, d).select("source_id", scripts.normalized_code(F.col("language")).alias("language")), "source_id", "left")
+    return blocks.lookup(c, _sources(spark, d).select("source_id", scripts.normalized_code(F.col("language")).alias("language")), ["source_id"], ["ref"])
 
 
 def url_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def edge_padding(spark: SparkSession, d: str) -> DataFrame:
     """Slice windows of all clips, padded but not into their neighbours."""
     ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
     c = _clips(spark, d).select("id", "source_id", F.try_to_number(F.regexp_extract("id", "_([0-9]+)$", 1), F.lit("999999999")).cast("bigint").alias("clip_no"), ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms")).where("clip_no is not null and end_ms is not null")
-    c = c.join(_sources(spark, d).select("source_id", "duration_s"), "source_id", "left")
+    c = blocks.lookup(c, _sources(spark, d).select("source_id", "duration_s"), ["source_id"], ["id"])
     return filters.padded(c, media_s="duration_s").select("id", "cut_start_ms", "cut_end_ms")
 
 
