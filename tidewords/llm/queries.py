@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewords.llm import bpe, charforms, leakage, pieces, profiles, splits, turns
+from tidewords.operators import blocks
 from tidewords.session import read
 
 
@@ -50,7 +51,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     clips = profiles.profiled(tables("clips"), ["id", "source_id"], lang=lang, repeats=field).where("words >= 8 and not repetitive")
     top = F.array_max(F.transform(large(0), lambda x: F.struct(x["n"], x["lang"])))["lang"]
-    clips = clips.select("id", "source_id", top.alias("lang")).join(spoken.where("size(big) = 1"), "source_id").where("lang <> big[0].lang")
+    clips = blocks.lookup(clips.select("id", "source_id", top.alias("lang")), spoken.where("size(big) = 1"), ["source_id"], ["id"], "inner").where("lang <> big[0].lang")
     clips = clips.select(F.lit("clips").alias("tbl"), F.col("id").alias("row_key"), "lang").distinct()
     return wrong("documents", docs).unionByName(wrong("sources", sources)).unionByName(clips)
 
