@@ -269,11 +269,12 @@ def _placed(rows: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
     said = said.to_numpy(zero_copy_only=False).astype(bool)
     hang, holds, waits = hung(start, named & ~said, group)
     pos = rows.column("pos").to_numpy()
-    prior = np.append(0, pos[:-1])
+    back = np.where(holds, pos - np.append(0, pos[:-1]), 0)  # how far back the row is whose edge holds; small, as times of dated rows are left out
+    hang[start == start] = np.nan
     out = {c: rows.column(c).combine_chunks() for c in ("source_id", "part", "pos")}
     out |= {"start_s": pa.array(start, pa.float64(), mask=np.isnan(start))}
     out |= {c: rows.column(c).combine_chunks() for c in ("end_s", "form", "rest", "whole")}
-    out |= {"hang_s": pa.array(hang, pa.float64(), mask=np.isnan(hang)), "prior": pa.array(prior, pa.int64(), mask=~holds), "waits": pa.array(waits, pa.int32())}
+    out |= {"hang_s": pa.array(hang, pa.float64(), mask=np.isnan(hang)), "back": pa.array(back, pa.int64()), "waits": pa.array(waits, pa.int32())}
     yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
@@ -284,7 +285,7 @@ def _segments(segments: DataFrame, text: bool) -> DataFrame:
     rows = _parsed(segments.where("source_id is not null and pos is not null"), text)
     rows = rows.repartition("source_id", "part").sortWithinPartitions(*keys, "landed_at", "start_s", "end_s", "form", "rest", "whole")
     kind = rows.schema["rest"].dataType.simpleString()
-    schema = f"source_id string, part bigint, pos bigint, start_s double, end_s double, form string, rest {kind}, whole {kind}, hang_s double, prior bigint, waits int"
+    schema = f"source_id string, part bigint, pos bigint, start_s double, end_s double, form string, rest {kind}, whole {kind}, hang_s double, back bigint, waits int"
     rows = settle(rows.mapInArrow(_groups(["source_id", "part"], _placed, _latest), schema), "segments")
     waiting = rows.where("waits > 0")
     if waiting.isEmpty():
@@ -429,7 +430,9 @@ def _spoken(text: bool) -> Callable[[pa.Table, bool], Iterator[pa.RecordBatch]]:
         starts = np.flatnonzero(np.append(True, (src[1:] != src[:-1]) | (block[1:] != block[:-1])))
         kind = table.column("kind").to_numpy()
         start, end, hang = (np.array(table.column(c).to_numpy(zero_copy_only=False), np.float64) for c in ("start_s", "end_s", "hang_s"))
-        pos, prior = table.column("pos").to_numpy(), table.column("prior").fill_null(-1).to_numpy()
+        hang = np.where(np.isnan(start), hang, start)
+        pos, back = table.column("pos").to_numpy(), table.column("back").fill_null(0).to_numpy()
+        prior = np.where(back > 0, pos - back, -1)
         name, is_said = table.column("name").to_pylist(), table.column("is_said").to_pylist()
         out: list[tuple] = []
         at: list[int] = []
@@ -457,7 +460,8 @@ def _spoken(text: bool) -> Callable[[pa.Table, bool], Iterator[pa.RecordBatch]]:
                 one = label.step(name[mid + i], said)
                 two = bare.step(heard[i] if said else None, said)
                 if said and (text or one or two):
-                    out.append((*key, True, rank, one, label.now, two, bare.now, None, None))
+                    # of a turn that opens for certain the speaker is wanted with the text only
+                    out.append((*key, True, rank, one, label.now if text or one != YES else None, two, bare.now if text or two != YES else None, None, None))
                     at.append(mid + i)
                 rank += 1
             state[:] = [key, label, bare, spans, notes, rank]
@@ -499,7 +503,7 @@ def _names(seg: DataFrame, heard: DataFrame) -> DataFrame:
 
 def _worked(segments: DataFrame, turns: DataFrame, text: bool) -> tuple[DataFrame, DataFrame]:
     """Rows of :func:`_spoken` and, by source and block, what each block inherits."""
-    seg = _segments(segments, text)
+    seg = _segments(segments, text).drop("part")
     heard = turns.select("source_id", person_of(F.col("speaker")).alias("speaker"), F.col("start_s").cast("double"), F.col("end_s").cast("double")).where("source_id is not null and speaker is not null")
     heard = settle(heard, "heard")
     plain = seg
@@ -509,16 +513,16 @@ def _worked(segments: DataFrame, turns: DataFrame, text: bool) -> tuple[DataFram
     label = F.when(F.col("form").startswith("#") | F.col("form").startswith("?"), F.col("form")).otherwise(F.col("speaker"))
     said = F.when(label.isNotNull(), F.col("rest")).otherwise(F.col("whole"))
     # segments of no time at all follow in blocks of positions
-    block = F.coalesce(F.floor(F.col("hang_s") / BLOCK_S), F.lit(1 << 40) + F.floor(F.col("pos") / blocks.SIZE)).alias("block")
+    block = F.coalesce(F.floor(F.coalesce("start_s", "hang_s") / BLOCK_S), F.lit(1 << 40) + F.floor(F.col("pos") / blocks.SIZE)).alias("block")
     kind = lambda n: F.lit(n).cast("tinyint").alias("kind")
-    rows = seg.select("source_id", block, kind(SEGMENT), "hang_s", "pos", "start_s", "end_s", "prior", label.alias("name"), (said != "" if text else said).alias("is_said"), *([said.alias("text")] if text else []))
+    rows = seg.select("source_id", block, kind(SEGMENT), "hang_s", "pos", "start_s", "end_s", "back", label.alias("name"), (said != "" if text else said).alias("is_said"), *([said.alias("text")] if text else []))
     # a segment that reaches past its block meets turns of several; the few there are meet them beforehand
     far = plain.select("*", block).where(f"start_s is not null and end_s > start_s and not isnan(end_s) and abs(end_s) < 1e9 and floor(end_s / {BLOCK_S}) <> block")
     notes = _overlapping(far, heard).select("source_id", "block", kind(NOTE), "pos", F.col("heard").alias("name"))
     finite = "start_s is not null and end_s is not null and not isnan(start_s) and not isnan(end_s) and abs(start_s) < 1e9 and abs(end_s) < 1e9 and end_s > start_s"
     spans = heard.where(finite).select("source_id", F.explode(F.sequence(F.floor(F.col("start_s") / BLOCK_S), F.floor(F.col("end_s") / BLOCK_S))).alias("block"), kind(TURN), "start_s", "end_s", F.lit(-1).cast("bigint").alias("pos"), F.col("speaker").alias("name"))
     both = rows.unionByName(notes, allowMissingColumns=True).unionByName(spans, allowMissingColumns=True)
-    both = both.repartition("source_id", "block").sortWithinPartitions("source_id", "block", "kind", "hang_s", "pos")
+    both = both.repartition("source_id", "block").sortWithinPartitions("source_id", "block", "kind", F.coalesce("start_s", "hang_s"), "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _groups(["source_id", "block"], _spoken(text))(batches)
@@ -572,7 +576,7 @@ def with_turns(segments: DataFrame, turns: DataFrame) -> DataFrame:
 def conflicts(segments: DataFrame) -> DataFrame:
     """``source_id, kept, dropped``: dialogue and cue edges of each source that hold, and those that gave way to timing."""
     seg = _segments(segments, False)
-    first = F.col("prior").isNull()
+    first = F.col("back") == 0
     over = Window.partitionBy("source_id", "part").orderBy("pos")
     edge = seg.select("source_id", first.alias("cut"), (F.row_number().over(over) > 1).alias("inner"))
     return edge.groupBy("source_id").agg(F.count_if(~F.col("cut")).alias("kept"), F.count_if(F.col("cut") & F.col("inner")).alias("dropped"))
