@@ -142,8 +142,10 @@ def p6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The component of every source, by its root."""
-    return splits.components(read(spark, sf_dir, "clips"), read(spark, sf_dir, "sources")).select(F.col("vertex").alias("source_id"), "root")
+    """The component of every source, by its least source and its size."""
+    labels = splits.components(read(spark, sf_dir, "clips"), read(spark, sf_dir, "sources"))
+    least = labels.groupBy("root").agg(F.min("vertex").alias("least"), F.count("*").alias("n"))
+    return labels.join(least, "root").select(F.col("vertex").alias("source_id"), "least", "n")
 
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,20 +165,24 @@ _FULL = "".join(chr(n) for n in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B),
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _FULL)
 _LOOKS, _LOOK = "аесорхуіһјѕАВСЕНІКМОРТХУοινυρΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aecopxyihjsABCEHIKMOPTXYoivupABEHIKMNOPTYXZ"
 
+_TIED = f"""
+WITH n AS (SELECT DISTINCT source_id, trim(replace(regexp_replace(translate(regexp_replace(speaker, '[{_UNSEEN}]', '', 'g'), '{_FULL}{_LOOKS}', '{_NARROW}{_LOOK}'), '[ _{_SPACES}]+', ' ', 'g'), ':', '')) AS s FROM clips WHERE speaker IS NOT NULL AND source_id IS NOT NULL),
+p AS (SELECT source_id, lower(CASE WHEN contains(s, ',') THEN trim(split_part(s, ',', 2)) || ' ' || trim(split_part(s, ',', 1)) ELSE s END) AS s FROM n),
+k AS (SELECT source_id, 'p:' || s AS tie FROM p WHERE s NOT IN ('', 'host', 'guest', 'unknown') AND NOT regexp_matches(s, '^(speaker|spk) ?[0-9]+$')
+  UNION SELECT source_id, 'v:' || CASE WHEN trim(coalesce(video_id, '')) <> '' THEN trim(video_id) ELSE regexp_extract(source, '(?:[?&]v=|/)([A-Za-z0-9_-]{{11}})(?:[&?#]|$)', 1) END FROM sources),
+e AS (SELECT DISTINCT a.source_id AS a, b.source_id AS b FROM k a JOIN k b USING (tie) WHERE tie <> 'v:' AND a.source_id <> b.source_id),
+r AS (WITH RECURSIVE w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT * FROM w)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""
 WITH t AS (SELECT 'words' AS tbl, source_id || ':' || pos AS row_key, text FROM words UNION ALL SELECT 'clips', id, text FROM clips),
 e AS (SELECT tbl, row_key, regexp_replace(text, '([\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}])[\\x{{200D}}\\x{{FE0F}}]+', '\\1', 'g') AS x FROM t)
 SELECT DISTINCT tbl, row_key FROM e
 WHERE regexp_matches(x, '[{_WIDE}{_UNSEEN}{_SPACES}\\x{{300}}-\\x{{36F}}\\x{{FB00}}-\\x{{FB06}}]') OR regexp_matches(x, '{_LATIN}{_SOLID}{_OTHER}|{_OTHER}{_SOLID}{_LATIN}')""",
-    "p6_found": f"""
-WITH n AS (SELECT DISTINCT source_id, trim(replace(regexp_replace(translate(regexp_replace(speaker, '[{_UNSEEN}]', '', 'g'), '{_FULL}{_LOOKS}', '{_NARROW}{_LOOK}'), '[ _{_SPACES}]+', ' ', 'g'), ':', '')) AS s FROM clips WHERE speaker IS NOT NULL AND source_id IS NOT NULL),
-p AS (SELECT source_id, lower(CASE WHEN contains(s, ',') THEN trim(split_part(s, ',', 2)) || ' ' || trim(split_part(s, ',', 1)) ELSE s END) AS s FROM n),
-k AS (SELECT source_id, 'p:' || s AS tie FROM p WHERE s NOT IN ('', 'host', 'guest', 'unknown') AND NOT regexp_matches(s, '^(speaker|spk) ?[0-9]+$')
-  UNION SELECT source_id, 'v:' || CASE WHEN trim(coalesce(video_id, '')) <> '' THEN trim(video_id) ELSE regexp_extract(source, '(?:[?&]v=|/)([A-Za-z0-9_-]{{11}})(?:[&?#]|$)', 1) END FROM sources),
-e AS (SELECT DISTINCT a.source_id AS a, b.source_id AS b FROM k a JOIN k b USING (tie) WHERE tie <> 'v:' AND a.source_id <> b.source_id),
-r AS (WITH RECURSIVE w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT * FROM w)
-SELECT DISTINCT a AS source_a, b AS source_b FROM r WHERE a < b""",
+    "p6_found": _TIED + " SELECT DISTINCT a AS source_a, b AS source_b FROM r WHERE a < b",
+    "p6_members": _TIED + """, v AS (SELECT source_id FROM clips WHERE source_id IS NOT NULL UNION SELECT source_id FROM sources WHERE source_id IS NOT NULL),
+m AS (SELECT v.source_id, least(v.source_id, coalesce(min(b), v.source_id)) AS least FROM v LEFT JOIN r ON r.a = v.source_id GROUP BY v.source_id)
+SELECT source_id, least, count(*) OVER (PARTITION BY least) AS n FROM m""",
     "p7_found": f"""
 WITH t AS (SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS row_key, text FROM documents UNION SELECT 'clips', id, text FROM clips UNION SELECT 'segments', source_id || ':' || pos, text FROM segments),
 s AS (SELECT tbl, row_key, list_filter(regexp_split_to_array(lower(translate(text, '{_FULL}', '{_NARROW}')), '[ \\t-\\r{_SPACES}]+'), lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}]*[0-9]{{1,3}}:[0-9]{{2}}(:[0-9]{{2}})?([.,][0-9]{{1,3}})?[^\\p{{L}}\\p{{N}}]*$')) AS raw FROM t),
