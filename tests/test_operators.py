@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewords.errors import SourceError
 from tidewords.functions import exact, scripts, urls
 from tidewords.functions import text as tx
 from tidewords.operators import blocks, filters, merge, sections, speakers, verify
@@ -124,6 +125,9 @@ def test_merge(spark):
     assert pick(latest=True) == [0] and pick(number=3) == [2] and pick(everything=True, limit=2) == [0, 1] and pick() == []
     with pytest.raises(ValueError):
         pick(number=0)
+    for bad in ({"number": 6}, {"everything": True, "limit": 0}):
+        with pytest.raises(SourceError):
+            pick(**bad)
 
 
 def test_merge_gathers_no_source(spark, data):

@@ -17,6 +17,9 @@ def test_dataset(spark, data):
     assert {r["filter"] for r in lost} <= {"empty_text", "duration", "internal_silence", "non_target_script", "char_rate", "compression_ratio", "confidence", "no_speaker", "cross_speaker"}
     with pytest.raises(ValueError):
         pipelines.DatasetConfig(least_s=5, most_s=1)
+    for bad in ({"speaker_mode": "all"}, {"least_purity": 1.5}):
+        with pytest.raises(ValueError):
+            pipelines.DatasetConfig(**bad)
 
 
 def test_verification(spark):
@@ -149,6 +152,18 @@ def test_folder_with_pairing(spark, tmp_path):
     v, checks, reasons, pairs = pipelines.verify_folder(spark, str(tmp_path), heard, language="en")
     assert v["verdict"] == "trainable" and v["pairing_mean"] == 1.0 and reasons == [] and len(pairs) == 4 and v["index"] == "ljspeech"
     assert [c["check"] for c in checks] == ["audio present", "ids unique", "texts whole", "audio format", "no orphans"]
+    texts = dict(zip([f"a_{i:04}" for i in range(4)], said, strict=True))
+
+    def recognize(path):
+        name = path.rsplit("/", 1)[-1][:-4]
+        if name == "a_0003":
+            raise OSError("no sound")
+        return [{"text": w} for w in texts[name].split()]
+
+    again = {r.id: (r.heard, r.error) for r in pipelines.heard_again(pipelines.landed.index_rows(spark, str(tmp_path), "ljspeech"), str(tmp_path), recognize).collect()}
+    assert again == {i: (t, None) if i != "a_0003" else (None, "no sound") for i, t in texts.items()}
+    v, _, _, pairs = pipelines.verify_folder(spark, str(tmp_path), recognize=recognize, language="en")
+    assert v["verdict"] == "trainable" and len(pairs) == 3
     wrong = heard.withColumn("heard", F.concat(F.lit("zz "), "id"))
     v, _, reasons, _ = pipelines.verify_folder(spark, str(tmp_path), wrong, language="en")
     assert v["verdict"] == "not trainable" and "don't belong together" in reasons[0]

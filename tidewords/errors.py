@@ -16,7 +16,7 @@ class TidewordsError(Exception):
         self.message, self.hint = message, hint
 
 
-class SourceError(TidewordsError):
+class SourceError(TidewordsError, ValueError):
     """Not something that can be read: a wrong URL, a missing file or folder, a suffix of no medium."""
 
 

@@ -9,6 +9,7 @@ from dataclasses import asdict, is_dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewords.errors import SourceError
 from tidewords.operators import blocks
 
 
@@ -114,11 +115,15 @@ def clamped_limit(asked: object, *, usual: int = 5, most: int = 25) -> int:
 
 
 def picked(items: DataFrame, order: str, *, latest: bool = False, number: int | None = None, everything: bool = False, limit: int | None = None) -> DataFrame:
-    """Which items of a listing to take: the one with a number from 1, else the first, else all up to a limit, else none."""
+    """Which items of a listing to take: the one with a number from 1, else the first, else all up to a limit, else none. A number that
+    no item has, and a limit under 1, are errors."""
+    if limit is not None and limit < 1:
+        raise SourceError(f"a limit of {limit} takes nothing", "Give 1 or more, or none to take all.")
     if number is not None:
-        if number < 1:
-            raise ValueError("items are numbered from 1")
-        return items.orderBy(order).offset(number - 1).limit(1)
+        one = items.orderBy(order).offset(max(0, number - 1)).limit(1)
+        if number < 1 or one.isEmpty():
+            raise SourceError(f"no item has the number {number}", "Items are numbered from 1.")
+        return one
     if latest:
         return items.orderBy(order).limit(1)
     if everything:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,10 @@ class DatasetConfig:
     def __post_init__(self):
         if self.most_s < self.least_s:
             raise ValueError("most_s is less than least_s")
+        if self.speaker_mode not in (None, "tag", "dominant", "per_speaker"):
+            raise ValueError(f"no such mode: {self.speaker_mode}")
+        if not 0 <= self.least_purity <= 1:
+            raise ValueError("least_purity is a share")
 
 
 def transcripts(sources: DataFrame, segments: DataFrame) -> DataFrame:
@@ -155,15 +160,28 @@ def verification(clips: DataFrame, files: DataFrame, sources: DataFrame, heard:
     return out.withColumn("v", v).select(*out.columns, F.col("v.verdict").alias("verdict"), F.col("v.reasons").alias("reasons"))
 
 
-def verify_folder(spark: SparkSession, root: str, heard: DataFrame | None = None, *, language: str | None = None, sample: int = 8, seed: int = 0) -> tuple[dict, list[dict], list[str], list[dict]]:
+def heard_again(clips: DataFrame, root: str, recognize: Callable[[str], list[dict]], *, sample: int = 8, seed: int = 0) -> DataFrame:
+    """``id, heard, error`` of a sample of clips, recognized again by an outside ``recognize(path)``, which gives rows with ``text`` for the
+    file at ``root/audio_path``. A file it fails for has its error and no text."""
+    some = verify.sampled(clips.where("id is not null and audio_path is not null").select("id", "audio_path").dropDuplicates(["id"]), sample, seed)
+    some = settle(some.select("id", F.concat(F.lit(root.rstrip("/") + "/"), "audio_path").alias("path")), "sample")
+    said = landed.recognized(some.select("path"), recognize, "text string")
+    text = F.array_join(F.collect_list("text"), " ")
+    return some.join(said.groupBy("path").agg(F.when(F.count("text") > 0, text).alias("heard"), F.max("error").alias("error")), "path", "left").select("id", "heard", "error")
+
+
+def verify_folder(spark: SparkSession, root: str, heard: DataFrame | None = None, *, recognize: Callable[[str], list[dict]] | None = None, language: str | None = None, sample: int = 8, seed: int = 0) -> tuple[dict, list[dict], list[str], list[dict]]:
     """A dataset folder measured and judged: the measures with the verdict, the checks, what speaks against it in sentences, and
     the pairs that were compared. The first index of landed.INDEXES that is there counts; language and model are the card's.
 
-    heard: id, heard, what was recognized again from a sample of the clips; without it pairing is unmeasured, which is marginal.
+    heard: id, heard, what was recognized again from clips; or recognize, which hears a sample of them. Without either pairing is
+    unmeasured, which is marginal.
     """
     root = root.rstrip("/")
     clips, kind = landed.index_scan(spark, root)
     clips = settle(clips, "index")
+    if heard is None and recognize is not None and sample > 0:
+        heard = heard_again(clips, root, recognize, sample=sample, seed=seed).where("heard is not null")
     files = settle(landed.wav_listing(spark, root), "files")  # the audio is read once
     said = landed.read_card(spark, root).first()
     language = language or said.language

@@ -71,6 +71,14 @@ def batch_selection(spark: SparkSession, d: str) -> DataFrame:
     return merge.picked(_sources(spark, d).select("source_id", "title"), "source_id", everything=True, limit=25)
 
 
+def batch_modes(spark: SparkSession, d: str) -> DataFrame:
+    """What the other ways of selecting take of the listing: its first item, its seventh, nothing."""
+    items = _sources(spark, d).select("source_id", "title")
+    named = lambda mode, df: df.withColumn("mode", F.lit(mode))
+    out = named("latest", merge.picked(items, "source_id", latest=True)).unionByName(named("number", merge.picked(items, "source_id", number=7, latest=True)))
+    return out.unionByName(named("none", merge.picked(items, "source_id")))
+
+
 def filter_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why each candidate is dropped, by the rules that need no zlib."""
     return filters.reasons(_candidates(spark, d), with_compression=False).select("ref", "reason")
@@ -251,7 +259,7 @@ def source_rank(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("place", F.row_number().over(over)).where("place <= 3")
 
 
-QUERIES = {f.__name__: f for f in (url_routes, language_codes, durations, names, unique_names, track_choice, batch_selection, filter_reasons, filter_drops, drop_histogram, word_measures, edge_padding, combined_totals, language_vote, renumbered, missing_audio, orphan_audio, duplicate_ids, duration_off, csv_agreement, structure, script_share, document_scripts, verdicts, measures, resume, ljspeech_lines, manifest_lines, audiofolder_lines, speaker_index, size_categories, normalized_text, compression, cyclic_control, pairing, sample_measures, source_rank)}
+QUERIES = {f.__name__: f for f in (url_routes, language_codes, durations, names, unique_names, track_choice, batch_selection, batch_modes, filter_reasons, filter_drops, drop_histogram, word_measures, edge_padding, combined_totals, language_vote, renumbered, missing_audio, orphan_audio, duplicate_ids, duration_off, csv_agreement, structure, script_share, document_scripts, verdicts, measures, resume, ljspeech_lines, manifest_lines, audiofolder_lines, speaker_index, size_categories, normalized_text, compression, cyclic_control, pairing, sample_measures, source_rank)}
 
 # --- SQL ------------------------------------------------------------------------------------------
 
@@ -325,6 +333,7 @@ WITH {_S}, t AS (SELECT channel, source_id, coalesce(language, '') AS l, coalesc
 r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY CASE WHEN l = 'en' OR starts_with(l, 'en-') THEN 0 ELSE 2 END + CASE WHEN g THEN 1 ELSE 0 END, source_id) AS k FROM t)
 SELECT channel, l AS language_code, g AS is_generated FROM r WHERE k = 1""",
     "batch_selection": f"WITH {_S} SELECT source_id, title FROM s ORDER BY source_id LIMIT 25",
+    "batch_modes": f"WITH {_S}, n AS (SELECT source_id, title, row_number() OVER (ORDER BY source_id) AS k FROM s) SELECT source_id, title, CASE k WHEN 1 THEN 'latest' ELSE 'number' END AS mode FROM n WHERE k IN (1, 7)",
     "filter_reasons": _REASON + " SELECT ref, reason FROM r",
     "drop_histogram": _REASON + " SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1",
     "word_measures": _REASON + " SELECT ref, CAST(least(round(silence * 1000), 1e12) AS BIGINT) AS silence_ms, round(conf, 3) AS confidence FROM m",
