@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -40,7 +41,8 @@ _SETTLED: list[str] = []
 
 def _leave(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is not None:  # a stopped context can't reach the folder
-        swept(spark)
+        with contextlib.suppress(Exception):  # nor can one whose JVM has left first
+            swept(spark)
 
 
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
