@@ -19,17 +19,27 @@ from tidewords.session import settle
 
 #: Positions in a block.
 SIZE = 4_096
-_BLOCK = "__block"
+BLOCK = _BLOCK = "__block"
 
 
 def with_block(df: DataFrame, order: str, size: int = SIZE) -> DataFrame:
-    return df.withColumn(_BLOCK, F.floor(F.col(order) / size))
+    """``df`` with its block; a frame that has one already, from :func:`latest` or another step here, keeps its partitioning."""
+    return df if _BLOCK in df.columns else df.withColumn(_BLOCK, F.floor(F.col(order) / size))
 
 
-def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str], *, size: int = SIZE) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], order: str, by: str | None, *, size: int = SIZE) -> DataFrame:
+    """One row per keys and ``order``: the one that landed last by column ``by``, of equals the greatest; with its block, by which the
+    rows are shuffled and sorted, once for all steps here that follow with ``keep``."""
+    rest = ([by] if by else []) + [c for c in df.columns if c not in (*keys, order, by)]
+    df = with_block(df, order, size).repartition(*keys, _BLOCK)
+    over = Window.partitionBy(*keys, _BLOCK, order).orderBy(*[F.col(c).desc_nulls_last() for c in rest])
+    return df.withColumn("__r", F.row_number().over(over)).where("__r = 1").drop("__r")
+
+
+def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str], *, size: int = SIZE, keep: bool = False) -> DataFrame:
     """``df`` with structs ``prev`` and ``next``: ``cols`` of the row before and after; null at the ends.
 
-    ``order`` must be unique within keys; values may have holes of any width.
+    ``order`` must be unique within keys; values may have holes of any width. With ``keep`` the block stays for a next step.
     """
     df = with_block(df, order, size)
     what = F.struct(*cols)
@@ -38,10 +48,10 @@ def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str], *, s
     edges = df.groupBy(*keys, _BLOCK).agg(F.min_by(what, order).alias("first"), F.max_by(what, order).alias("last"))
     edges = edges.select(*keys, _BLOCK, F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
     df = df.select("*", F.lag(what).over(inside).alias("prev"), F.lead(what).over(inside).alias("next")).join(edges, [*keys, _BLOCK])
-    return df.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after")).drop("before", "after", _BLOCK)
+    return df.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after")).drop("before", "after", *([] if keep else [_BLOCK]))
 
 
-def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, size: int = SIZE, highest: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, size: int = SIZE, highest: bool = False, keep: bool = False) -> DataFrame:
     """``df`` with ``name``, the sum (or with ``highest`` the maximum) of ``value`` over the rows up to and with this one."""
     agg = F.max if highest else F.sum
     df = with_block(df, order, size).withColumn(name, value)
@@ -51,7 +61,7 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str
     sums = df.groupBy(*keys, _BLOCK).agg(agg(name).alias("__s")).select(*keys, _BLOCK, (carried if highest else F.coalesce(carried, F.lit(0))).alias("__carried"))
     df = df.withColumn(name, agg(name).over(inside)).join(sums, [*keys, _BLOCK])
     whole = F.greatest(name, "__carried") if highest else F.col(name) + F.col("__carried")
-    return df.withColumn(name, whole).drop("__carried", _BLOCK)
+    return df.withColumn(name, whole).drop("__carried", *([] if keep else [_BLOCK]))
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, name: str, *, size: int = SIZE) -> DataFrame:

@@ -176,8 +176,14 @@ def with_gaps(segments: DataFrame) -> DataFrame:
     pauses. Pauses are never negative; the last line of a source has nulls. Of repeated rows the one that
     landed last counts; rows without source or position are dropped, null times give null gaps.
     """
-    seg = latest(segments.where("source_id is not null and pos is not null").select("source_id", F.col("pos").cast("bigint").alias("pos"), "text", F.round(F.col("start_s") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("end_s") * 1000).cast("bigint").alias("end_ms"), "landed_at"), ["source_id", "pos"], "landed_at").drop("landed_at")
-    seg = blocks.neighbours(seg, ["source_id"], "pos", ["start_ms", "text"]).drop("prev")
+    return _gapped(segments).drop(blocks.BLOCK)
+
+
+def _gapped(segments: DataFrame) -> DataFrame:
+    """:func:`with_gaps` with the blocks that its rows lie in."""
+    seg = segments.where("source_id is not null and pos is not null").select("source_id", F.col("pos").cast("bigint").alias("pos"), "text", F.round(F.col("start_s") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("end_s") * 1000).cast("bigint").alias("end_ms"), "landed_at")
+    seg = blocks.latest(seg, ["source_id"], "pos", "landed_at").drop("landed_at")
+    seg = blocks.neighbours(seg, ["source_id"], "pos", ["start_ms", "text"], keep=True).drop("prev")
     seg = seg.withColumn("gap_ms", F.col("next.start_ms") - F.col("end_ms"))
     base = seg.groupBy("source_id").agg(F.least(F.lit(0.0), F.median("gap_ms")).alias("base"))
     return blocks.lookup(seg, base, ["source_id"], ["pos"], "inner").withColumn("pause_ms", F.greatest(F.lit(0.0), F.col("gap_ms") - F.col("base"))).drop("base")
@@ -190,7 +196,8 @@ def break_scores(gapped: DataFrame) -> DataFrame:
     df = gapped.withColumns({"__last": tx.bare(tx.last_word(raw)), "__head": tx.first_word(F.col("next.text")), "__soft": tx.ends_ellipsis(raw), "__mark": tx.ends_sentence_mark(raw), "__clause": tx.ends_clause_mark(raw)})
     df = df.withColumn("__full", F.col("__mark") & ~tx.is_abbreviation(F.col("__last")))
     worth = closing(F.col("__last"), F.col("__full"), F.col("__mark") | F.col("__clause"), F.col("__soft")) + opening(F.col("__head"), F.col("__full") & ~F.col("__soft"))
-    return df.select("source_id", "pos", "text", "start_ms", "end_ms", "pause_ms", tx.word_count(F.col("text")).cast("bigint").alias("n_words"), (GAP * F.coalesce(F.col("pause_ms") / 1000, F.lit(0.0)) + worth).alias("score"))
+    kept = [c for c in (blocks.BLOCK,) if c in df.columns]
+    return df.select("source_id", "pos", *kept, "text", "start_ms", "end_ms", "pause_ms", tx.word_count(F.col("text")).cast("bigint").alias("n_words"), (GAP * F.coalesce(F.col("pause_ms") / 1000, F.lit(0.0)) + worth).alias("score"))
 
 
 def with_runs(rows: DataFrame, pause: Column) -> DataFrame:
@@ -207,7 +214,7 @@ def paragraphs(segments: DataFrame, *, pause_s: float = 2.0, least: int = 40, mo
     """
     least = max(1, least)
     most, pause_ms = max(least, most), 1000 * max(pause_s, LEAST_PAUSE_S)
-    rows = settle(with_runs(break_scores(with_gaps(segments)), F.col("pause_ms") > pause_ms), "lines")
+    rows = with_runs(break_scores(_gapped(segments)), F.col("pause_ms") > pause_ms)
     fn = lambda cols, whole: _first(cols["pos"], cut_by_words(cols["n_words"], cols["score"], least, most, whole))
     placed = _placed(rows, ["n_words", "score"], fn)
     pieces = placed.groupBy("source_id", F.col("piece").alias("first_pos")).agg(F.sum("n_words").alias("size"), F.max_by("pause_ms", "pos").alias("pause_after"))
@@ -233,18 +240,23 @@ def paragraphs(segments: DataFrame, *, pause_s: float = 2.0, least: int = 40, mo
 
 
 def repaired_words(words: DataFrame) -> DataFrame:
+    """:func:`_repaired_words` without the blocks that its rows lie in."""
+    return _repaired_words(words).drop(blocks.BLOCK)
+
+
+def _repaired_words(words: DataFrame) -> DataFrame:
     """Words with spans made whole, ``start_ms, end_ms``, the pause after them and whether they end a sentence or clause.
 
     A start that is null, NaN, infinite or negative is 0, such an end is the start, an end before the start
     is the start. A word that the next one joins ends nothing. Repeated rows count once.
     """
     w = words.where("source_id is not null and pos is not null").select("source_id", F.col("pos").cast("bigint").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), "start_s", "end_s", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("joins_left", F.lit(False)).alias("joins_left"))
-    w = latest(w, ["source_id", "pos"], None)
+    w = blocks.latest(w, ["source_id"], "pos", None)
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     start = F.greatest(F.when(finite("start_s"), F.round(F.col("start_s") * 1000)).otherwise(F.lit(0.0)), F.lit(0.0)).cast("bigint")
     w = w.withColumn("start_ms", start)
     w = w.withColumn("end_ms", F.greatest(F.when(finite("end_s"), F.round(F.col("end_s") * 1000).cast("bigint")).otherwise(F.col("start_ms")), F.col("start_ms")))
-    w = blocks.neighbours(w, ["source_id"], "pos", ["start_ms", "text", "joins_left"]).drop("prev")
+    w = blocks.neighbours(w, ["source_id"], "pos", ["start_ms", "text", "joins_left"], keep=True).drop("prev")
     w = w.withColumn("__t", tx.strip(F.col("text")))
     t = F.col("__t")
     w = w.withColumns({"__soft": tx.ends_ellipsis(t), "last": tx.bare(tx.last_word(t))})
@@ -267,17 +279,17 @@ def clips(words: DataFrame, *, least_s: float = 1.0, most_s: float = 15.0, pause
     most = max(1000 * most_s, least)
     pause_ms = 1000 * max(pause_s, LEAST_PAUSE_S)
     target = min(most, max(least, least + TARGET * (most - least) if target_s is None or not np.isfinite(target_s) else 1000 * target_s))
-    w = repaired_words(words)
+    w = _repaired_words(words)
     w = w.withColumn("head", tx.first_word(F.col("next.text")))
     worth = closing(F.col("last"), F.col("sentence"), F.col("clause")) + opening(F.col("head"), F.col("sentence"))
     plain = F.when(F.col("sentence"), SENTENCE).when(F.col("clause"), CLAUSE).otherwise(0.0)
     pause = GAP * F.coalesce(F.col("gap_ms"), F.lit(0)) / 1000
     w = with_runs(w.withColumn("score", pause + worth).withColumn("plain", pause + plain), F.col("gap_ms") > pause_ms)
-    w = settle(w.drop("next", "start_s", "end_s", "last", "head"), "words")
+    w = w.drop("next", "start_s", "end_s", "last", "head")
     fn = lambda cols, whole: _first(cols["pos"], cut_by_time(cols["start_ms"], cols["end_ms"], cols["score"], least, most, target, whole))
     placed = _placed(w, ["start_ms", "end_ms", "score"], fn)
     pieces = placed.groupBy("source_id", F.col("piece").alias("first_pos")).agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"), F.max_by("gap_ms", "pos").alias("gap_after"))
-    usual = w.where("gap_ms > 0").groupBy("source_id").agg(F.median("gap_ms").alias("usual"))
+    usual = placed.where("gap_ms > 0").groupBy("source_id").agg(F.median("gap_ms").alias("usual"))
     two = _last_two(pieces).join(usual, "source_id", "left")
     scale = F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1000 * LEAST_PAUSE_S))
     two = two.where((F.col("tail.hi") - F.col("tail.lo") < least) & (F.coalesce("body.gap_after", F.lit(0)) <= isolate * scale))
