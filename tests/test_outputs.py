@@ -128,9 +128,9 @@ def test_formats_indexes_and_speakers(spark, tmp_path):
     assert sinks.checked_formats(["jsonl", "hf"]) == [] and len(sinks.write_indices(c, str(tmp_path / "i"), ["hf", "ljspeech", "jsonl", "hf"])) == 1
     assert [spark.read.text(str(tmp_path / "i" / n)).count() for n in ("manifest.jsonl", "metadata.csv", "metadata.jsonl")] == [3, 3, 3]
     sinks.write_by_speaker(c, str(tmp_path / "s"), ["ljspeech"])
-    assert {p.name for p in (tmp_path / "s" / "manifest.jsonl").glob("speaker*")} == {"speaker_slug=Ada-B", "speaker_slug=unknown"}
-    assert spark.read.text(str(tmp_path / "s" / "metadata.csv" / "speaker_slug=Ada-B")).first().value == "a_0001|one two|one two"
-    assert sinks.zipped(str(tmp_path / "s"), str(tmp_path / "s.zip")) == 4
+    assert {p.name for p in (tmp_path / "s").glob("speaker*")} == {"speaker_slug=Ada-B", "speaker_slug=unknown"}
+    assert spark.read.text(str(tmp_path / "s_ljspeech" / "speaker_slug=Ada-B")).first().value == "a_0001|one two|one two"
+    assert sinks.zipped(str(tmp_path / "s"), str(tmp_path / "s.zip")) == 2
     assert all(n.endswith(".txt") for n in zipfile.ZipFile(tmp_path / "s.zip").namelist())
 
 

@@ -70,10 +70,12 @@ def speaker_slug(speaker: Column) -> Column:
 
 
 def write_by_speaker(clips: DataFrame, path: str, formats: list[str] | None = None) -> None:
-    """One manifest folder per speaker, and with ``ljspeech`` among the formats its lines too; clips without speaker are left out."""
+    """One manifest folder per speaker under ``path``, and with ``ljspeech`` among the formats one of lines under ``path_ljspeech``; clips
+    without speaker are left out."""
     named = clips.where("speaker is not null").withColumn("speaker_slug", speaker_slug(F.col("speaker")))
-    for name, line in [("manifest.jsonl", manifest_line()), *([("metadata.csv", ljspeech_line())] if "ljspeech" in (formats or ()) else [])]:
-        named.select("speaker_slug", line.alias("line")).write.mode("overwrite").partitionBy("speaker_slug").text(f"{path}/{name}")
+    to = {path: manifest_line()} | ({f"{path}_ljspeech": ljspeech_line()} if "ljspeech" in (formats or ()) else {})
+    for folder, line in to.items():
+        named.select("speaker_slug", line.alias("line")).write.mode("overwrite").partitionBy("speaker_slug").text(folder)
 
 
 def write_drops(drops: DataFrame, path: str) -> None:
