@@ -68,7 +68,8 @@ class WriteError(TidewordsError):
     """An output could not be written."""
 
 
-#: Kinds of failures of a fetch by what its log says, in this order: kind, class of the error, texts that must all be there.
+# Kinds of failures of a fetch by what its log says, in this order: kind, class of the error, texts of which one
+# group must all be there.
 FETCH = (
     ("private", UnavailableError, (("private video",),)),
     ("gone", UnavailableError, (("video unavailable",), ("this video has been removed",))),

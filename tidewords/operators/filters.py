@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewords.functions import scripts
 from tidewords.functions.exact import compression_ratio, fixed
 from tidewords.functions.text import preview, strip
+from tidewords.operators import blocks
 
 #: Seconds a spoken word lasts at most when silences are measured.
 LONGEST_WORD_S = 2.0
@@ -114,9 +115,9 @@ def drops(judged: DataFrame, key: str = "ref", limits: Limits | None = None, *,
     return out.select(F.col(clip_key or key).alias("clip"), why.alias("filter"), value.alias("value"), threshold.alias("threshold"), preview(F.when(why == "empty_text", F.coalesce("text", F.lit(""))).otherwise(text)).alias("text"))
 
 
-#: Seconds that a written clip must be longer than; failures that a source may have, and what part of its clips.
+# Seconds that a written clip must be longer than; failures that a source may have, and what part of its clips.
 LEAST_CLIP_S, FAILURES, FAILURE_RATE = 0.01, 3, 0.2
-#: Share of samples at full scale above which a clip is clipped, and full scale.
+# Share of samples at full scale above which a clip is clipped, and full scale.
 CLIPPED, FULL_SCALE = 0.005, 32_767
 
 
@@ -135,7 +136,7 @@ def sliced(kept: DataFrame, slices: DataFrame, *, clipping: bool = False) -> tup
     rows = rows.withColumn("__e", error)
     per = rows.groupBy("source_id").agg(F.count("*").alias("clips"), F.count_if(F.col("__e").isNotNull()).alias("failures"))
     lost = per.where(F.col("failures") > F.greatest(F.lit(float(FAILURES)), F.col("clips") * FAILURE_RATE))
-    rows = rows.join(lost.select("source_id"), "source_id", "left_anti")
+    rows = blocks.lookup(rows, lost.select("source_id"), ["source_id"], ["ref"], "left_anti")
     empty = F.coalesce(F.col("written_s") <= LEAST_CLIP_S, F.lit(True))
     early = rows.where(F.col("__e").isNotNull() | empty)
     why = F.when(F.col("__e").isNotNull(), "slice_failed").otherwise("empty_slice")
@@ -152,8 +153,6 @@ def sliced(kept: DataFrame, slices: DataFrame, *, clipping: bool = False) -> tup
 def padded(clips: DataFrame, *, pad_s: float = 0.1, media_s: str | None = None) -> DataFrame:
     """Clips (``source_id, clip_no, start_ms, end_ms``) with ``cut_start_ms, cut_end_ms``: widened by the pad, at most to
     the middle of the way to the neighbours, kept or not, and not past the media's end."""
-    from tidewords.operators import blocks
-
     pad = int(round(pad_s * 1000))
     rows = blocks.neighbours(clips, ["source_id"], "clip_no", ["start_ms", "end_ms"])
     # greatest and least skip nulls, so an absent neighbour is asked for by name

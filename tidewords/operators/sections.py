@@ -60,8 +60,8 @@ def sections(paragraphs: DataFrame, sources: DataFrame, *, window_s: float = 300
     """
     paras = latest(paragraphs.where("source_id is not null and para_no is not null").select("source_id", "para_no", "start_s", "end_s"), ["source_id", "para_no"], None)
     has = latest(sources.where("source_id is not null").select("source_id", (F.coalesce(F.size("chapters"), F.lit(0)) > 0).alias("has")), ["source_id"], None)
-    by_chapter = chapter_of(paras.join(has.where("has"), "source_id", "left_semi"), sources).select("source_id", "para_no", "start_s", "end_s", F.coalesce("chapter_no", F.lit(-1)).cast("bigint").alias("key"), "title")
-    rest = paras.join(has.where("has"), "source_id", "left_anti")
+    by_chapter = chapter_of(blocks.lookup(paras, has.where("has"), ["source_id"], ["para_no"], "left_semi"), sources).select("source_id", "para_no", "start_s", "end_s", F.coalesce("chapter_no", F.lit(-1)).cast("bigint").alias("key"), "title")
+    rest = blocks.lookup(paras, has.where("has"), ["source_id"], ["para_no"], "left_anti")
     by_time = rest.join(time_sections(rest, window_s=window_s), ["source_id", "para_no"]).select("source_id", "para_no", "start_s", "end_s", F.col("first_no").alias("key"), F.lit(None).cast("string").alias("title"))
     both = by_chapter.unionByName(by_time)
     spans = both.groupBy("source_id", "key").agg(F.min_by("start_s", "para_no").alias("a"), F.max("end_s").alias("b"), F.max("title").alias("title"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewords.operators import blocks
+
 #: Milliseconds in a bucket of the overlap join.
 BUCKET_MS = 60_000
 
@@ -63,7 +65,7 @@ def speaker_drops(clips: DataFrame, turns: DataFrame, *, mode: str = "tag", leas
     got = assigned(clips, turns)
     main = dominant(turns).select("source_id", F.col("speaker").alias("main"))
     of = clips.select("id", "source_id").where("id is not null").distinct()
-    got = got.join(of, "id").join(main, "source_id", "left")
+    got = blocks.lookup(got.join(of, "id"), main, ["source_id"], ["id"])
     reason = F.when(F.col("speaker").isNull(), "no_speaker").when(F.col("overlap_ms") < least_purity * F.col("total_ms"), "cross_speaker")
     if mode == "dominant":
         reason = reason.when(F.col("speaker") != F.col("main"), "non_dominant_speaker")

@@ -101,7 +101,7 @@ def advice(sources: DataFrame, *, rate: int = 22_050, formats: tuple[str, ...] =
     return sources.select("source_id", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()])).alias("advice"))
 
 
-#: Sizes of the recognizer that come ready-made.
+# Sizes of the recognizer that come ready-made.
 STOCK = ("tiny", "base", "small", "medium", "large-v3")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewords.errors import DatasetError
 from tidewords.functions.exact import wrapped
 from tidewords.functions.text import collapse, format_timestamp, pipe_safe, utc_stamp
+from tidewords.operators import blocks
 
 
 def ljspeech_line() -> Column:
@@ -133,7 +134,7 @@ def sidecar(sources: DataFrame, chunked: DataFrame) -> DataFrame:
     ends = src.select("source_id", F.lit(1e15).alias("line_no"), F.lit("]}").alias("line"))
     last = chunked.groupBy("source_id").agg(F.max("pos").alias("last"))
     body = F.to_json(F.struct("start_s", "end_s", F.coalesce("section", F.lit("")).alias("section"), F.coalesce("text", F.lit("")).alias("text")))
-    lines = chunked.join(src.select("source_id"), "source_id", "left_semi").join(last, "source_id")
+    lines = blocks.lookup(chunked, src.select("source_id").join(last, "source_id"), ["source_id"], ["pos"], "inner")
     lines = lines.select("source_id", F.col("pos").cast("double").alias("line_no"), F.concat(body, F.when(F.col("pos") < F.col("last"), ",").otherwise("")).alias("line"))
     return heads.unionByName(lines).unionByName(ends)
 

@@ -155,10 +155,14 @@ def index_scan(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
     raise SourceError(f"{root} has no index", f"One of {', '.join(INDEXES.values())} is needed.")
 
 
+# Where a card says its language and how it was recognized.
+_LANGUAGE = r'(?m)^language:\s*\n-\s*"?([A-Za-z-]+)"?'
+_METHOD = r"\*\*transcription_method:\*\*\s*(\S+)"
+
+
 def card_facts(cards: DataFrame) -> DataFrame:
     """``language, model`` that each dataset card (column ``text``) declares; null where it doesn't, or the language is ``und``."""
-    language = F.regexp_extract("text", r'(?m)^language:\s*\n-\s*"?([A-Za-z-]+)"?', 1)
-    method = F.regexp_extract("text", r"\*\*transcription_method:\*\*\s*(\S+)", 1)
+    language, method = F.regexp_extract("text", _LANGUAGE, 1), F.regexp_extract("text", _METHOD, 1)
     model = F.when(F.startswith(method, F.lit("whisper-")), F.substr(method, F.lit(9))).when(F.startswith(method, F.lit("parakeet")), "parakeet")
     return cards.select(F.when(~language.isin("", "und"), language).alias("language"), model.alias("model"))
 
